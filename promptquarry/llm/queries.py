@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, secrets
+from . import exact_dedup, language_id, mixing, secrets, token_counts, warc
 from .common import table
 
 
@@ -30,8 +30,26 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(language_id.document_evidence(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
+    return found.select("doc_id", F.col("lang").alias("declared"), F.col("__language").alias("language"), F.round("__posterior", 6).alias("posterior"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(language_id.page_evidence(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return found.select("page_id", F.col("__language").alias("language"), F.round("__posterior", 6).alias("posterior"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.attribute_tokens(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_exact_dedup, op9_secret_scan, op7_mixing)}
+    return {f.__name__: f for f in (op4_language_id, op5_warc, op6_token_counts, op7_mixing, op9_secret_scan, op10_exact_dedup, language_id_pages)}
 
 
 WS = r"[\x20\x09-\x0D]"
@@ -75,5 +93,17 @@ FROM p
 """
 
 
+OP5_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+k AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL, "op7_mixing": OP7_SQL}
+    return {"op10_exact_dedup": OP10_SQL, "op7_mixing": OP7_SQL, "op5_warc": OP5_SQL}
