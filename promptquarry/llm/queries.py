@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, near_dedup, secrets, token_counts, warc
+from . import decontamination, exact_dedup, language_id, mixing, near_dedup, secrets, token_counts, warc
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(language_id.document_evidence(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
     return found.select("doc_id", F.col("lang").alias("declared"), F.col("__language").alias("language"), F.round("__posterior", 6).alias("posterior"))
@@ -53,7 +57,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op4_language_id, op5_warc, op6_token_counts, op7_mixing, op9_secret_scan, op10_exact_dedup, language_id_pages)}
+    return {f.__name__: f for f in (op2_near_dedup, op3_decontamination, op4_language_id, op5_warc, op6_token_counts, op7_mixing, op9_secret_scan, op10_exact_dedup, language_id_pages)}
 
 
 WS = r"[\x20\x09-\x0D]"
