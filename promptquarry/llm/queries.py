@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, mixing, near_dedup, secrets, token_counts, warc
+from . import decontamination, exact_dedup, language_id, lm_scoring, mixing, near_dedup, secrets, token_counts, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op3_decontamination, op4_language_id, op5_warc, op6_token_counts, op7_mixing, op9_secret_scan, op10_exact_dedup, language_id_pages)}
+    return {f.__name__: f for f in (op2_near_dedup, op3_decontamination, op4_language_id, op5_warc, op6_token_counts, op7_mixing, op8_lm_scoring, op9_secret_scan, op10_exact_dedup, language_id_pages)}
 
 
 WS = r"[\x20\x09-\x0D]"
