@@ -1,0 +1,457 @@
+"""Registered queries: each applies operators to the whole test tables. The SQL of each is in oracles.py."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import checks, dedupe, events, labels, outcomes, pairs, scoring, search, stats
+from .fixture import open_corpus
+
+_QUERIES: dict[str, Callable] = {}
+
+
+def query(f: Callable) -> Callable:
+    _QUERIES[f.__name__] = lambda spark, sf_dir: f(Corpus(spark, sf_dir))
+    return f
+
+
+class Corpus:
+    """The corpus tables of one folder, each built on first use."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self._views = open_corpus(spark, sf_dir)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self._views[name]
+
+    @property
+    def normalized(self) -> DataFrame:
+        return self.prompts.withColumn("normalized_content", T.normalized(F.col("content")))
+
+    @property
+    def user_prompts(self) -> DataFrame:
+        return self.prompts.filter("role = 'user'")
+
+    @property
+    def rule_pairs(self) -> DataFrame:
+        return pairs.clarifying_pairs(self.prompts)
+
+    @property
+    def pairs(self) -> DataFrame:
+        """Rule, llm and manual pairs with ids; llm and manual ones follow from the rule ones by fixed rules."""
+        code = {"files": 1, "criteria": 2, "constraints": 3, "tests": 4, "shape": 5, "ui": 6}
+        which = F.element_at(F.create_map(*[F.lit(x) for kv in code.items() for x in kv]), F.col("rule")).cast("long")
+        step = F.col("clarifying_prompt_id") - F.col("originating_prompt_id")
+        rule = self.rule_pairs.withColumn("base", F.col("originating_prompt_id") * 100000 + step * 10 + which)
+        k = F.col("base")
+        rows = F.array(
+            F.struct((k * 10).alias("pair_id"), F.lit("rule").alias("extraction_method"), F.col("confidence").alias("confidence"), F.lit(None).cast("string").alias("reason"), F.col("clarification_kind").alias("kind")),
+            F.when(k % 3 != 0, F.struct((k * 10 + 1).alias("pair_id"), F.lit("llm").alias("extraction_method"), (0.5 + (k % 5) / 10.0).alias("confidence"), F.when(k % 2 == 0, F.lit("because")).alias("reason"), F.col("clarification_kind").alias("kind"))),
+            F.when(k % 7 == 0, F.struct((k * 10 + 2).alias("pair_id"), F.lit("manual").alias("extraction_method"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("reason"), F.when(k % 14 != 0, F.col("clarification_kind")).alias("kind"))),
+        )
+        each = rule.select("session_id", "originating_prompt_id", "clarifying_prompt_id", "clarification_text", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r"))
+        return each.select("r.pair_id", "session_id", "originating_prompt_id", "clarifying_prompt_id", F.col("r.kind").alias("clarification_kind"), "clarification_text", "r.extraction_method", F.lit("v1").alias("extractor_version"), "r.confidence", "r.reason")
+
+    @property
+    def snapshots(self) -> DataFrame:
+        """Documents as snapshots of their lines: even ones belong to sessions, every third odd one lies in the trash."""
+        d = self.documents
+        kind = F.when(F.col("doc_id") % 2 == 0, "cowork-outputs").when(F.col("doc_id") % 3 == 0, "trash-snapshot")
+        own = self.sessions.agg(F.max("session_id").alias("m")).first()["m"] or 0
+        rows = d.select(F.col("doc_id").alias("snapshot_id"), kind.alias("snapshot_type"), F.when(F.col("doc_id") % 2 == 0, F.pmod((F.col("doc_id") / 2).cast("long"), F.lit(own + 1))).alias("session_id"))
+        return rows.filter("snapshot_type IS NOT NULL")
+
+    @property
+    def files(self) -> DataFrame:
+        lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+        rows = self.documents.select(F.col("doc_id").alias("snapshot_id"), F.posexplode(lines).alias("i", "line"))
+        return rows.select("snapshot_id", F.sha2("line", 256).alias("content_hash"), F.octet_length("line").cast("long").alias("size_bytes"))
+
+    @property
+    def cases(self) -> DataFrame:
+        """Gold cases with recorded answers: each question takes words of the clarification or of the origin."""
+        gold = self.pairs.filter("extraction_method = 'llm'").join(self.prompts.select(F.col("prompt_id").alias("originating_prompt_id"), F.col("content").alias("prompt")), "originating_prompt_id")
+        q = lambda text, kind, confidence: F.struct(text.alias("text"), kind.alias("kind"), confidence.alias("confidence"))
+        k = F.col("pair_id")
+        questions = F.filter(
+            F.array(
+                F.when(k % 2 == 1, q(F.concat(F.lit("does 'it' mean "), F.substring("clarification_text", 1, 30)), F.lit("file-scope"), (k % 10) / 10.0)),
+                F.when(k % 3 != 0, q(F.concat(F.lit("live on production or local src/ "), F.substring("prompt", 1, 40)), F.lit("success-criteria"), F.lit(0.5))),
+                F.when(k % 4 != 0, q(F.col("clarification_text"), F.lit("constraint"), (k % 7) / 10.0)),
+                F.when(k % 5 == 0, q(F.lit("anything else to know?"), F.lit("other"), F.lit(0.9))),
+            ),
+            lambda x: x.isNotNull(),
+        )
+        return gold.select(k.alias("case_id"), F.when(k % 11 != 0, F.col("clarification_kind")).alias("gold_kind"), F.when(k % 11 != 0, F.col("clarification_text")).otherwise("__rejected__").alias("gold_text"), "prompt", questions.alias("questions"))
+
+    @property
+    def searches(self) -> DataFrame:
+        """Every tenth conversation's first turn is a query of its project; every twentieth one has no project."""
+        rows = self.raw_turns.filter("turn = 0 AND conv_id % 10 = 0")
+        return rows.select(F.col("conv_id").alias("query_id"), F.substring("text", 1, 120).alias("text"), F.when(F.col("conv_id") % 20 != 0, F.col("conv_id") % 5).alias("project_id"))
+
+    @property
+    def context_files(self) -> DataFrame:
+        """Context files of the projects: the first documents under five names."""
+        names = F.array(*[F.lit(n) for n in ("PROJECT.md", "SOUL.md", "AGENTS.md", "CONTEXT.md", "README.md")])
+        rows = self.documents.filter("doc_id < 20")
+        return rows.select((F.col("doc_id") % 4).alias("project_id"), F.element_at(names, (F.floor(F.col("doc_id") / 4) + 1).cast("int")).alias("name"), F.floor(F.col("doc_id") / 4).cast("long").alias("position"), F.col("text").alias("content"))
+
+
+def _ints(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+@query
+def normalize_text(c: Corpus) -> DataFrame:
+    return c.prompts.select("prompt_id", T.normalized(F.col("content")).alias("normalized"))
+
+
+@query
+def tag_prompts(c: Corpus) -> DataFrame:
+    return c.prompts.select("prompt_id", *[v.alias(k) for k, v in T.prompt_tags(F.col("content")).items()])
+
+
+@query
+def tag_documents(c: Corpus) -> DataFrame:
+    return c.documents.select("doc_id", *[v.alias(k) for k, v in T.prompt_tags(F.col("text")).items()])
+
+
+@query
+def alpha_ratio(c: Corpus) -> DataFrame:
+    return c.documents.select("doc_id", F.round(T.alpha_ratio(F.col("text")), 6).alias("ratio"))
+
+
+@query
+def synthetic_filter_label(c: Corpus) -> DataFrame:
+    return c.prompts.select("prompt_id", T.synthetic_for_labels(F.col("content")).alias("synthetic"))
+
+
+@query
+def synthetic_filter_retrieval(c: Corpus) -> DataFrame:
+    return c.prompts.select("prompt_id", T.synthetic_for_search(F.col("content")).alias("synthetic"))
+
+
+@query
+def extract_files(c: Corpus) -> DataFrame:
+    return c.prompts.select("prompt_id", F.array_join(T.files_in(F.col("content")), ",").alias("files"))
+
+
+@query
+def extract_phrases(c: Corpus) -> DataFrame:
+    from ..functions import vocabulary as V
+
+    named = {"criteria": V.CRITERIA_PHRASE, "constraint_text": V.CONSTRAINT_PHRASE, "shape": V.SHAPE_PHRASE, "ui": V.UI_PHRASE, "tests": V.TESTS_PHRASE}
+    return c.prompts.select("prompt_id", *[T.first_phrase(F.col("content"), p).alias(k) for k, p in named.items()])
+
+
+@query
+def sanitize_context(c: Corpus) -> DataFrame:
+    return c.prompts.select("prompt_id", T.sanitized(F.col("content")).alias("sanitized"))
+
+
+@query
+def token_estimate(c: Corpus) -> DataFrame:
+    return c.documents.select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query
+def truncate_context(c: Corpus) -> DataFrame:
+    return c.documents.select("doc_id", T.truncated(F.col("text"), 2000).alias("content"))
+
+
+@query
+def tool_operation(c: Corpus) -> DataFrame:
+    return c.events.groupBy("event_type").agg(F.count("*").alias("n")).select("event_type", T.tool_operation(F.col("event_type")).alias("operation"), "n")
+
+
+@query
+def project_ids(c: Corpus) -> DataFrame:
+    args = (F.col("title"), F.col("cwd"), F.col("scheduled_task_id"))
+    pid = T.project_id(F.col("source"), F.col("session_id").cast("string"), *args)
+    return c.sessions.select("session_id", pid.alias("project_key"), T.project_name(*args).alias("project_name"))
+
+
+@query
+def title_normalize(c: Corpus) -> DataFrame:
+    return c.sessions.select("session_id", T.normalized_title(F.col("title")).alias("title"))
+
+
+@query
+def local_env_issues(c: Corpus) -> DataFrame:
+    return c.prompts.select("prompt_id", F.array_join(T.local_env_issues(F.col("content")), ";").alias("issues"))
+
+
+@query
+def vague_verb(c: Corpus) -> DataFrame:
+    return c.prompts.select("prompt_id", T.has_vague_verb(F.col("content")).alias("vague"))
+
+
+@query
+def search_terms(c: Corpus) -> DataFrame:
+    return c.prompts.select("prompt_id", F.array_join(T.search_terms(F.col("content")), " ").alias("terms"))
+
+
+@query
+def score_tokens(c: Corpus) -> DataFrame:
+    return c.prompts.select("prompt_id", F.array_join(T.score_tokens(F.col("content")), " ").alias("tokens"))
+
+
+@query
+def source_counts(c: Corpus) -> DataFrame:
+    return stats.source_counts(c.sessions, c.prompts)
+
+
+@query
+def session_eligibility(c: Corpus) -> DataFrame:
+    own = c.sessions.withColumn("eligible", T.eligible(F.col("scheduled_task_id"), F.col("user_type")))
+    return stats.session_eligibility(own)
+
+
+@query
+def top_projects(c: Corpus) -> DataFrame:
+    return stats.top_projects(c.projects, c.sessions, c.prompts)
+
+
+@query
+def role_counts(c: Corpus) -> DataFrame:
+    return stats.role_counts(c.sessions, c.prompts)
+
+
+@query
+def operation_histogram(c: Corpus) -> DataFrame:
+    return stats.operation_histogram(c.events.select(T.tool_operation(F.concat("event_type", F.when(F.col("event_id") % 3 == 0, "Edit").otherwise(""))).alias("operation")))
+
+
+@query
+def snapshot_totals(c: Corpus) -> DataFrame:
+    return stats.snapshot_totals(c.snapshots, c.files)
+
+
+@query
+def pair_density(c: Corpus) -> DataFrame:
+    return stats.pair_density(c.rule_pairs, c.prompts, c.projects)
+
+
+@query
+def kind_histogram(c: Corpus) -> DataFrame:
+    return stats.kind_histogram(c.pairs)
+
+
+@query
+def random_prompts(c: Corpus) -> DataFrame:
+    return stats.random_prompts(c.prompts, 3)
+
+
+@query
+def lookahead_pairs(c: Corpus) -> DataFrame:
+    own = pairs.eligible_user_prompts(c.prompts).select("session_id", "prompt_id", "turn_index")
+    return pairs.lookahead(own).select("session_id", F.col("orig.prompt_id").alias("originating_prompt_id"), F.col("clar.prompt_id").alias("clarifying_prompt_id"), F.col("step").cast("long").alias("step"))
+
+
+@query
+def clarifying_pairs(c: Corpus) -> DataFrame:
+    return c.rule_pairs
+
+
+@query
+def successor_sessions(c: Corpus) -> DataFrame:
+    return outcomes.successors(c.sessions)
+
+
+@query
+def trash_jaccard(c: Corpus) -> DataFrame:
+    s = c.snapshots
+    found = outcomes.snapshot_overlap(c.files, s.filter("snapshot_type = 'cowork-outputs'"), s.filter("snapshot_type = 'trash-snapshot'"))
+    return found.select("left_id", "right_id", F.round("jaccard", 6).alias("jaccard")).filter("jaccard >= 0.5")
+
+
+@query
+def session_outcomes(c: Corpus) -> DataFrame:
+    return outcomes.session_outcomes(c.sessions, c.snapshots, c.files, c.prompts)
+
+
+@query
+def outcome_histogram(c: Corpus) -> DataFrame:
+    return stats.outcome_histogram(outcomes.session_outcomes(c.sessions, c.snapshots, c.files, c.prompts))
+
+
+@query
+def trash_remap(c: Corpus) -> DataFrame:
+    return outcomes.trash_remap(c.sessions, c.snapshots, c.files)
+
+
+@query
+def replay_groups(c: Corpus) -> DataFrame:
+    return dedupe.replay_groups(c.normalized)
+
+
+@query
+def dedupe_prompts(c: Corpus) -> DataFrame:
+    return dedupe.deduped_prompts(c.normalized).select("prompt_id", "session_id", "turn_index", "role")
+
+
+@query
+def dedupe_pairs(c: Corpus) -> DataFrame:
+    return dedupe.deduped_pairs(c.pairs, c.normalized).select("pair_id", "originating_prompt_id", "clarifying_prompt_id", "extraction_method")
+
+
+@query
+def high_confidence(c: Corpus) -> DataFrame:
+    return labels.high_confidence(c.pairs)
+
+
+@query
+def unlabeled_pairs(c: Corpus) -> DataFrame:
+    return labels.unlabeled_pairs(c.pairs, c.normalized, c.projects)
+
+
+@query
+def wide_cases(c: Corpus) -> DataFrame:
+    return labels.wide_cases(c.pairs, c.normalized, c.projects)
+
+
+@query
+def retry_missing(c: Corpus) -> DataFrame:
+    return labels.retry_missing(c.pairs)
+
+
+@query
+def gold_progress(c: Corpus) -> DataFrame:
+    return labels.gold_progress(c.pairs, c.normalized, c.projects, "v1")
+
+
+@query
+def backfill_rows(c: Corpus) -> DataFrame:
+    return labels.backfill_rows(c.pairs)
+
+
+@query
+def pair_context(c: Corpus) -> DataFrame:
+    return labels.pair_context(labels.by_method(c.pairs, "manual"), c.normalized)
+
+
+@query
+def balanced_sample(c: Corpus) -> DataFrame:
+    return labels.balanced_sample(c.pairs, c.prompts, 4)
+
+
+@query
+def bm25_topk_nostem(c: Corpus) -> DataFrame:
+    found = search.retrieve(c.searches.withColumn("project_id", F.lit(None).cast("long")), c.normalized, c.projects, 5, porter=False)
+    return found.select("query_id", "prompt_id", F.round("rank", 6).alias("rank"), F.col("pos").cast("long").alias("pos"))
+
+
+@query
+def bm25_project_fallback(c: Corpus) -> DataFrame:
+    found = search.retrieve(c.searches, c.normalized, c.projects, 6, porter=False)
+    return found.select("query_id", "prompt_id", F.round("rank", 6).alias("rank"), F.col("pos").cast("long").alias("pos"))
+
+
+@query
+def bm25_topk_porter(c: Corpus) -> DataFrame:
+    found = search.with_clarification_flag(search.retrieve(c.searches, c.normalized, c.projects), c.pairs)
+    return found.select("query_id", "prompt_id", F.round("rank", 6).alias("rank"), F.col("pos").cast("long").alias("pos"), "has_clarification")
+
+
+@query
+def score_cases(c: Corpus) -> DataFrame:
+    s = scoring.score_cases(c.cases)
+    return s.withColumns({k: F.round(k, 6) for k in ("overlap_at_1", "overlap_at_3")})
+
+
+@query
+def eval_aggregate(c: Corpus) -> DataFrame:
+    s = scoring.aggregate(scoring.score_cases(c.cases))
+    return s.withColumns({k: F.round(k, 6) for k in s.columns if k != "case_count"})
+
+
+@query
+def per_kind_overlap(c: Corpus) -> DataFrame:
+    return scoring.per_kind(scoring.score_cases(c.cases)).withColumn("mean_overlap_at_3", F.round("mean_overlap_at_3", 6))
+
+
+@query
+def worst_cases(c: Corpus) -> DataFrame:
+    return scoring.worst_cases(scoring.score_cases(c.cases)).withColumn("overlap_at_3", F.round("overlap_at_3", 6))
+
+
+@query
+def eval_instruments(c: Corpus) -> DataFrame:
+    return scoring.instrumented(c.cases)
+
+
+@query
+def instrument_counts(c: Corpus) -> DataFrame:
+    return scoring.instrument_counts(scoring.instrumented(c.cases))
+
+
+@query
+def budget_stop(c: Corpus) -> DataFrame:
+    own = c.cases.select(F.col("case_id"), (F.col("case_id") % 3).alias("run_id"), ((F.col("case_id") % 5 + 1) / 10.0).alias("cost_usd"))
+    return scoring.within_budget(own, 0.75).select("run_id", "case_id", F.round("spent_before", 6).alias("spent_before"))
+
+
+@query
+def cost_estimate(c: Corpus) -> DataFrame:
+    k = F.col("event_id")
+    return c.events.select("event_id", F.round(T.cost_usd(k * 10, F.when(k % 2 == 0, k * 3), F.when(k % 3 != 0, k)), 9).alias("cost_usd"))
+
+
+def _check_inputs(c: Corpus) -> DataFrame:
+    return c.user_prompts.select("prompt_id", "content", (F.col("prompt_id") % 40 * 100).alias("context_tokens"), (F.col("prompt_id") % 5).alias("context_files"))
+
+
+@query
+def check_pipeline(c: Corpus) -> DataFrame:
+    return checks.run_checks(_check_inputs(c))
+
+
+@query
+def context_window_check(c: Corpus) -> DataFrame:
+    return checks.run_checks(_check_inputs(c), ["context-window", "unknown"], 3000)
+
+
+@query
+def enhance_budget(c: Corpus) -> DataFrame:
+    return checks.enhance_parts(c.user_prompts.filter("project_id < 4"), c.context_files, 1500).select("prompt_id", "name", "is_cut", F.length("content").cast("long").alias("chars"))
+
+
+@query
+def enhance_prompts(c: Corpus) -> DataFrame:
+    return checks.enhance(c.user_prompts, c.context_files, 1500)
+
+
+@query
+def context_relevance(c: Corpus) -> DataFrame:
+    return _ints(checks.context_relevance(c.user_prompts, c.context_files), "place").withColumn("score", F.round("score", 6))
+
+
+@query
+def tool_call_asof(c: Corpus) -> DataFrame:
+    is_turn = F.col("event_type") == "view"
+    return events.owning_turn(c.events, "user_id", ["ts", "event_id"], is_turn, F.col("event_id")).select("event_id", "user_id", F.col("owner").alias("turn_event_id"))
+
+
+@query
+def turn_numbers(c: Corpus) -> DataFrame:
+    return events.numbered_turns(c.events, "user_id", ["ts", "event_id"], F.col("event_type") == "view").select("event_id", "user_id", "turn_index")
+
+
+@query
+def event_props_json(c: Corpus) -> DataFrame:
+    return events.json_field(c.events, "props", "$.k", "long", "k").select("event_id", "k")
+
+
+@query
+def pii_scrub(c: Corpus) -> DataFrame:
+    return c.documents.select("doc_id", checks.scrubbed(F.col("text")).alias("scrubbed"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)

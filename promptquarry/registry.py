@@ -1,15 +1,6 @@
 """Every query of the engine by name, with its SQL where SQL can express it."""
 
-from __future__ import annotations
+from .plans.oracles import oracle_sql
+from .plans.queries import queries
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
