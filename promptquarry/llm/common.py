@@ -30,9 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path for a table or for files in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this session's operators have left in the shared folder, through Hadoop's file system. Results that
+    haven't been written or counted yet still read it, so call it between jobs."""
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -50,20 +63,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def text_batches(spark: SparkSession) -> None:
+    """Batches of whole texts for Python: 10,000 rows (Spark's default) of long texts are more than a worker should
+    hold at once. A setting of the session's own stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1500")
 
 
 def pieces(total: float, per_piece: float, least: int = 1) -> int:
     return max(least, math.ceil(total / per_piece))
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Removes a scratch path through Hadoop's file system, wherever it lives."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 def words_count(text: str = "text"):
     """Number of maximal runs of characters outside ASCII white space; null counts as empty."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_CLASS)), F.lit(0)).cast("long")

@@ -7,10 +7,11 @@ all pairs within that distance meet under some key. At a similarity of 0.85 a pa
 average and misses all of its keys with a chance of 2e-8.
 
 Documents of equal sets form one class before anything is paired. Under a key, classes are first compared with the
-key's least class only (links grow with the rows, not with their square), links are confirmed on full sets, and
-components are formed. Keys whose classes then lie in one component are done: any further link there changes
-nothing. For the rest all pairs of classes from different components are compared in blocks, so no link between
-components is lost, whatever the size of a key.
+key's most central class only (links grow with the rows, not with their square), links are confirmed on full sets,
+and components are formed. Keys whose classes then lie in one component are done: any further link there changes
+nothing. For the rest all pairs of classes from different components are looked at in blocks, so no link between
+components is lost, whatever the size of a key; a pair goes on to the comparison of full sets only if sizes, the
+shingles that either shares with any class at all, and bit masks of both sets leave room for a link.
 
 Defined cases: texts without words (null and empty ones too) have empty sets and link with nothing; a text of fewer
 words than a shingle has its whole sequence as its one shingle; rows that repeat a doc_id are one node with the
@@ -29,14 +30,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, text_batches
 from .components import connected_components
+from .keyfilter import only_likely
 from .shingles import as_bytes, chunks, mix64, shingle_sets, word_shingles
 
 SYMBOLS, CHUNKS, ERRORS = 32, 8, 1
 PERCENT = 85
 WIDTH = 5
 BLOCK = 2048
+MASKS = 8  # 64-bit words of a set's bit mask
 _RNG = np.random.Generator(np.random.PCG64(20240101))
 _XOR = _RNG.integers(0, 1 << 64, SYMBOLS, dtype=np.uint64)
 _MUL = _RNG.integers(0, 1 << 64, SYMBOLS, dtype=np.uint64) | np.uint64(1)
@@ -81,7 +84,7 @@ def index_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + symbols[:, c, i])
                 keys[:, c, v] = key
         per = CHUNKS * len(kept)
-        yield pd.DataFrame({"key": keys.reshape(-1).view(np.int64), "rep": np.repeat(frame["rep"].to_numpy(), per), "n": np.repeat(frame["n_shingles"].to_numpy(), per)})
+        yield pd.DataFrame({"key": keys.reshape(-1).view(np.int64), "rep": np.repeat(frame["rep"].to_numpy(), per)})
 
 
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,45 +117,94 @@ def _confirm(percent: int):
     return confirm
 
 
-def _near_sizes(a: str, b: str, percent: int):
-    """A link needs sizes within the threshold."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rep, shingles (sorted uint64) of the wanted classes."""
+    wanted = stored(wanted.distinct().join(classes.select("rep", "digest"), "rep"), "near-wanted")
+    own = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    texts = only_likely(own.filter("rep IS NOT NULL"), wanted, ["rep"]).join(wanted.select("rep").distinct(), "rep")
+    sets = texts.mapInPandas(_sets, "rep long, digest binary, shingles binary").join(wanted, ["rep", "digest"]).dropDuplicates(["rep", "digest"])
+    return stored(sets.select("rep", "shingles"), "near-sets")
+
+
+def _exploded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        sets = [np.frombuffer(blob, np.int64) for blob in frame["shingles"]]
+        for i in range(0, len(sets), 256):
+            part = sets[i : i + 256]
+            yield pd.DataFrame({"shingle": np.concatenate(part), "rep": np.repeat(frame["rep"].to_numpy()[i : i + 256], [len(s) for s in part])})
+
+
+def _masks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per set MASKS * 64 bits, one of them set by each shingle."""
+    for frame in frames:
+        bits = np.zeros((len(frame), MASKS * 64), np.uint8)
+        for i, blob in enumerate(frame["shingles"]):
+            bits[i, (np.frombuffer(blob, np.uint64) >> np.uint64(20)) % np.uint64(MASKS * 64)] = 1
+        words = np.packbits(bits, axis=1).view(np.int64)
+        yield pd.DataFrame({"rep": frame["rep"], **{f"b{i}": words[:, i] for i in range(MASKS)}})
+
+
+def _shared_sizes(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """rep, n, s: how many of a class's n shingles any other of these classes has. The rest can't be in a common part."""
+    own = sets.mapInPandas(_exploded, "shingle long, rep long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("rep").alias("rep"))
+    alone = own.filter("k = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    masks = sets.mapInPandas(_masks, "rep long, " + ", ".join(f"b{i} long" for i in range(MASKS)))
+    rows = masks.join(classes.select("rep", F.col("n_shingles").alias("n")), "rep").join(alone, "rep", "left")
+    return rows.select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"), *[f"b{i}" for i in range(MASKS)])
+
+
+PROFILE = ["n", "s", *[f"b{i}" for i in range(MASKS)]]
+
+
+def _possible(other: str, percent: int):
+    """Whether the sets of two profiles (the second one's columns end in other) can be linked at all. The sizes must be
+    within the threshold. The common part has at most the lesser s; and each bit that only one mask has stands for a
+    shingle that only that set has."""
+    n1, s1, n2, s2 = (F.col(c) for c in ("n", "s", f"n{other}", f"s{other}"))
+    bits = [(F.col(f"b{i}"), F.col(f"b{i}{other}")) for i in range(MASKS)]
+    only1 = sum((F.bit_count(a.bitwiseAND(F.bitwise_not(b))) for a, b in bits), F.lit(0))
+    only2 = sum((F.bit_count(b.bitwiseAND(F.bitwise_not(a))) for a, b in bits), F.lit(0))
+    enough = lambda common: (100 + percent) * common >= percent * (n1 + n2)
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & enough(F.least(s1, s2)) & enough(F.least(n1 - only1, n2 - only2))
 
 
 def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """u, v: enough confirmed links between classes (by their rep) to connect all that are connected."""
-    keyed = classes.select("rep", "n_shingles", "signature").mapInPandas(index_keys, "key long, rep long, n long")
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("m")).filter("m > 1")
-    met = stored(keyed.join(hubs, "key").select("key", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"), "m"), "near-keys")
-    stars = met.filter((F.col("rep") != F.col("hub")) & _near_sizes("n", "hub_n", percent)).select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
-    stars = stored(stars, "near-stars")
+    keyed = classes.select("rep", "signature").mapInPandas(index_keys, "key long, rep long")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    met = stored(keyed.join(shared, "key"), "near-keys")
+    sets = _class_sets(docs, classes, met.select("rep"))
+    sizes = stored(_shared_sizes(sets, classes).filter(100 * F.col("s") >= percent * F.col("n")), "near-sizes")
+    met = met.join(sizes, "rep")
+    # the hub is the class with the least share of shingles of its own, which is the most central one
+    central = F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("own"), F.col("rep").alias("hub"), *[F.col(c).alias(f"{c}_h") for c in PROFILE])
+    hubs = met.groupBy("key").agg(F.min(central).alias("h")).select("key", "h.*").drop("own")
+    stars = met.join(hubs, "key").filter((F.col("rep") != F.col("hub")) & _possible("_h", percent))
+    stars = stored(stars.select(F.least("hub", "rep").alias("u"), F.greatest("hub", "rep").alias("v")).distinct(), "near-stars")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("u").alias("rep")).unionByName(pairs.select(F.col("v").alias("rep"))).distinct().join(classes.select("rep", "digest"), "rep")
-        texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted.select("rep").distinct(), "rep")
-        sets = texts.mapInPandas(_sets, "rep long, digest binary, shingles binary").join(wanted, ["rep", "digest"]).dropDuplicates(["rep", "digest"])
-        sets = stored(sets.select("rep", "shingles"), "near-sets")
         wide = pairs.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("b")), "v")
         return wide.select("u", "v", "a", "b").mapInPandas(_confirm(percent), "u long, v long")
 
     first = stored(confirmed(stars), "near-links")
     component = connected_components(first)
     placed = met.join(component, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    rest = placed.join(open_keys, "key").select("key", "rep", "n", "component", "m")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rest = stored(rest.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")), "near-rest")
-    left = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    right = rest.select(F.col("key").alias("k2"), F.col("own").alias("own2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("c2"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other2"))
-    same = (F.col("key") == F.col("k2")) & (F.col("own") == F.col("other2")) & (F.col("other") == F.col("own2"))
-    differ = (F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("c2")) & _near_sizes("n", "n2", percent)
-    pairs = left.join(right, same & differ).select(F.col("rep").alias("u"), F.col("rep2").alias("v")).distinct()
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("left")).filter("lo < hi").select("key", "left")
+    rest = placed.join(open_keys, "key").select("key", "rep", *PROFILE, "component", F.ceil(F.col("left") / BLOCK).cast("int").alias("nb"))
+    rest = stored(rest.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")), "near-rest")
+    each = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    left = rest.withColumn("other", each)
+    right = rest.select(*[F.col(c).alias(f"{c}2") for c in ("key", "own", "rep", *PROFILE, "component")], each.alias("other2"))
+    same = (F.col("key") == F.col("key2")) & (F.col("own") == F.col("other2")) & (F.col("other") == F.col("own2"))
+    differ = (F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2"))
+    pairs = left.join(right, same & differ & _possible("2", percent)).select(F.col("rep").alias("u"), F.col("rep2").alias("v")).distinct()
     pairs = stored(pairs.join(stars, ["u", "v"], "left_anti"), "near-pairs")
     return first if pairs.isEmpty() else first.unionByName(confirmed(pairs))
 
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
+    text_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(own.mapInPandas(signatures, SIGNATURE_SCHEMA), "near-signatures")
     nodes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -166,7 +218,7 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ties = member.join(several, "doc_id").select("u", F.col("rep").alias("v"))
     found = connected_components(links(own, classes, percent).unionByName(ties)).withColumnRenamed("node", "rep")
     label = reps.join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = signed.join(label, "digest", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
+    out = signed.join(label, "digest", "left").withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
