@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -73,9 +74,17 @@ def _pasted(t: Column) -> Column:
     return reduce(Column.__or__, opened) | (matches(head, V.REPORT) & matches(head, V.REPORT_OPENER))
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it and wherever the optimizer moves the result."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def synthetic_for_labels(text: Column) -> Column:
     """SYN1: prompts that no person typed, for the extraction of pairs."""
-    t = trimmed(F.coalesce(text, F.lit("")))
+    return _once(trimmed(F.coalesce(text, F.lit(""))), _synthetic_label)
+
+
+def _synthetic_label(t: Column) -> Column:
     first_line = F.substring(F.split(t, "\n", 2)[0], 1, 80)
     more = [
         t == "",
@@ -91,7 +100,10 @@ def synthetic_for_labels(text: Column) -> Column:
 
 def synthetic_for_search(text: Column) -> Column:
     """SYN2: prompts that retrieval passes over. Its rules differ from SYN1's on purpose."""
-    t = trimmed(F.coalesce(text, F.lit("")))
+    return _once(trimmed(F.coalesce(text, F.lit(""))), _synthetic_search)
+
+
+def _synthetic_search(t: Column) -> Column:
     return reduce(Column.__or__, [F.length(t) < 20, matches(t, V.COMPILED), *(matches(t, p) for p in V.OPENERS), _low_alpha(t)], _pasted(t))
 
 
