@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_count
+from .common import text_batches, words_count
 from .shingles import as_bytes, chunks, mix64, word_shingles, words
 
 WIDTH = 5
@@ -182,6 +182,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _against(docs: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
+    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(items)
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS_BYTES
+from .common import WS_BYTES, text_batches
 
 FOLD_BYTES = 48 << 20
 BUCKET_BYTES = 96 << 20
@@ -169,6 +169,7 @@ def unite(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def content_classes(docs: DataFrame) -> DataFrame:
     """digest binary, keep_id long, group_size long: one row per distinct normalised content."""
+    text_batches(docs.sparkSession)
     folded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
         fold, "digest binary, content binary, length long, keep_id long, group_size long"
     )

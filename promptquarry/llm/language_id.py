@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, stored
+from .common import LOWER_AZ, stored, text_batches
 
 BUCKETS = 1 << 16
 SAMPLE_PER_LANGUAGE = 400
@@ -104,6 +104,7 @@ def evidence(docs: DataFrame, text: Column, declared: Column, suffix: Column, ho
 
 def identify(docs: DataFrame, min_posterior: float = MIN_POSTERIOR, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """docs as evidence() gives it, with __language ("und" where rejected) and __posterior instead of those columns."""
+    text_batches(docs.sparkSession)
     languages, model = fit_text_model(docs, "__text", "__declared", per_language)
     names = F.array(*[F.lit(x) for x in languages]) if languages else F.array().cast("array<string>")
     k = len(languages)

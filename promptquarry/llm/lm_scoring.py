@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored
+from .common import pieces, stored, text_batches
 from .keycounts import REQUEST, answered, gathered, pack, requests, unpack
 from .shingles import as_bytes, chunks, mix64, words
 
@@ -186,6 +186,7 @@ def score_rows(frame_rows, weights: np.ndarray, total: int, distinct: int) -> It
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    text_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = stored(text.mapInPandas(make_blocks, BLOCK_SCHEMA), "lm-blocks")
     n_buckets = pieces(2 * (blocks.agg(F.sum("n_tokens")).first()[0] or 0), KEYS_PER_BUCKET)

@@ -127,5 +127,68 @@ FROM k
 """
 
 
+_WORDS = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), places AS (
+  SELECT doc_id, i, CASE WHEN len(w) >= 5 THEN array_to_string(w[i:i + 4], ' ') ELSE array_to_string(w, ' ') END AS sh
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0) x
+)"""
+
+OP2_SQL = _WORDS + r""", s AS (SELECT DISTINCT doc_id, sh FROM places
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= 85 * (x.n + y.n - k)
+), r AS (SELECT DISTINCT u AS doc_id, u AS node FROM e UNION SELECT r.doc_id, e.v FROM r JOIN e ON r.node = e.u
+), m AS (SELECT doc_id, min(node) AS lowest FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.lowest, d.doc_id) AS component_id, coalesce(m.lowest, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""
+
+OP3_SQL = _WORDS + r""", iw AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark
+), ish AS (SELECT item_id, sh, count(*) AS k FROM (SELECT item_id, array_to_string(w[i:i + 4], ' ') AS sh FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM iw WHERE len(w) >= 5) x) y GROUP BY 1, 2
+), size AS (SELECT item_id, sum(k) AS m FROM ish GROUP BY 1
+), len AS (SELECT doc_id, count(*) AS d FROM places GROUP BY 1
+), met AS (SELECT DISTINCT p.doc_id, i.item_id FROM places p JOIN ish i USING (sh)
+), win AS (SELECT doc_id, item_id, m, d, unnest(range(1, greatest(d - m, 0)::BIGINT + 2)) AS s FROM met JOIN size USING (item_id) JOIN len USING (doc_id)
+), grouped AS (SELECT w.doc_id, w.item_id, s, any_value(least(m, d)) AS own, any_value(m) AS m, p.sh, count(*) AS k FROM win w JOIN places p ON p.doc_id = w.doc_id AND p.i >= s AND p.i < s + m GROUP BY w.doc_id, w.item_id, s, p.sh
+), sim AS (SELECT b.doc_id, b.item_id, s, sum(least(b.k, i.k)) / (any_value(own) + any_value(m) - sum(least(b.k, i.k)))::DOUBLE AS similarity FROM grouped b JOIN ish i ON i.item_id = b.item_id AND i.sh = b.sh GROUP BY 1, 2, 3)
+SELECT doc_id, item_id, CAST(arg_min(s, (-similarity, s)) - 1 AS BIGINT) AS start_word, max(similarity) AS similarity FROM sim GROUP BY 1, 2 HAVING max(similarity) >= 0.8
+"""
+
+
+def _found(pattern: str) -> str:
+    """DuckDB: the matches of a pattern in t with their places, from the pieces between them."""
+    p = pattern.replace("'", "''")
+    gaps, values = f"string_split_regex(t, '{p}')", f"regexp_extract_all(t, '{p}')"
+    start = f"CAST(coalesce(list_sum(list_transform({gaps}[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform({values}[1:i - 1], lambda g: length(g))), 0) AS BIGINT)"
+    return f"CASE WHEN regexp_matches(t, '{p}') THEN list_transform({values}, lambda v, i: {{'s': {start}, 'v': v}}) ELSE [] END"
+
+
+def _op9_sql() -> str:
+    entropy = "log2(20.0) - list_min(list_transform(range(1, length(v) - 18), lambda j: list_sum(list_transform(list_distinct(string_split(substr(v, j, 20), '')), lambda c: (20 - length(replace(substr(v, j, 20), c, ''))) * log2(20 - length(replace(substr(v, j, 20), c, ''))))))) / 20"
+    least = secrets.THRESHOLDS
+    limit = f"CASE WHEN regexp_matches(v, '^(?:[0-9a-f]+|[0-9A-F]+)$') THEN {least['hex']} WHEN regexp_matches(v, '^[A-Za-z0-9]+$') THEN {least['alnum']} ELSE {least['base64']} END"
+    allowed = " OR ".join(f"regexp_matches(v, '{a}')" for a in secrets.ALLOWED)
+    group = secrets.ASSIGN.replace("'", "''")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+), f AS (
+  SELECT doc_id, 'assign' AS kind, 0 AS r, unnest({_found(secrets.ASSIGN)}) AS m FROM d
+  UNION ALL SELECT doc_id, 'access', 1, unnest({_found(secrets.ACCESS)}) FROM d
+  UNION ALL SELECT doc_id, 'hex', 2, unnest({_found(secrets.HEX)}) FROM d
+  UNION ALL SELECT doc_id, 'entropy', 3, unnest({_found(secrets.CANDIDATE)}) FROM d
+), g AS (SELECT doc_id, kind, r, m.s AS s, m.v AS v FROM f
+), h AS (
+  SELECT doc_id, kind, r, s, kind || ':' || s || ':' || (s + length(v)) AS x FROM g
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(v, '{group}', 1)) >= {secrets.LEAST_VALUE} WHEN 'entropy' THEN NOT ({allowed}) AND round({entropy}, 9) >= {limit} ELSE true END
+)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(x, ',' ORDER BY s, r) FILTER (r < 3), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY s, r), '') AS spans, count(*) FILTER (kind = 'entropy') AS n_entropy
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL, "op7_mixing": OP7_SQL, "op5_warc": OP5_SQL}
+    return {"op2_near_dedup": OP2_SQL, "op3_decontamination": OP3_SQL, "op9_secret_scan": _op9_sql(), "op10_exact_dedup": OP10_SQL, "op7_mixing": OP7_SQL, "op5_warc": OP5_SQL}

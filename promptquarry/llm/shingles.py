@@ -70,7 +70,7 @@ def word_shingles(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.nd
     if not len(hashes):
         return hashes, n
     step, total = 1, np.zeros(len(hashes), np.uint64)
-    for j in range(width):
+    for j in range(min(width, len(hashes))):
         total[: len(hashes) - j] += hashes[j:] * np.uint64(step)
         step = step * _STEP & (1 << 64) - 1
     at = np.concatenate([[0], np.cumsum(n)])

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored
+from .common import pieces, stored, text_batches
 from .frontcoded import decode, encode, merge
 from .keycounts import bucket_bounds, pack, unpack
 from .keyfilter import only_likely
@@ -327,6 +327,7 @@ DONE_SCHEMA = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), removed (byte ranges)."""
+    text_batches(docs.sparkSession)
     own = _identified(docs)
     spans = repeated_spans(own, length, gram).groupBy("id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     spans = stored(spans, "sub-spans")

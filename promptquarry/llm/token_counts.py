@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published split pattern of this vocabulary; a fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -103,5 +105,6 @@ def attribute_tokens(docs: DataFrame, sections: str | None = None, path: str = V
             out.insert(0, "doc_id", frame["doc_id"].array)
             yield out
 
+    text_batches(docs.sparkSession)
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     return docs.select(*columns, *([sections] if sections else [])).mapInPandas(count, SCHEMA)
