@@ -45,7 +45,7 @@ def query_terms(queries: DataFrame, porter: bool = True) -> DataFrame:
 
 def rank(terms: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
     """FTS3: query_id, prompt_id, project_id, rank (lower is better). Document counts are of the whole index."""
-    wanted = postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    wanted = postings.join(terms.select("term").distinct(), "term", "left_semi")
     counts = wanted.groupBy("term").agg(F.count("*").alias("df"))
     rows = terms.join(wanted, "term").join(counts, "term").crossJoin(F.broadcast(stats))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -70,7 +70,7 @@ def retrieve(queries: DataFrame, prompts: DataFrame, projects: DataFrame, limit:
     postings, stats = build_index(prompts, porter)
     ranked = rank(query_terms(queries, porter), postings, stats)
     scope = queries.select("query_id", F.col("project_id").alias("scope"))
-    ranked = ranked.join(F.broadcast(scope), "query_id")
+    ranked = ranked.join(scope, "query_id")
     inside = top(ranked.filter("scope IS NOT NULL AND scope = project_id").drop("scope"), prompts, projects, limit, own)
     counts = inside.groupBy("query_id").agg(F.count("*").alias("have"))
     need = scope.join(counts, "query_id", "left").withColumn("have", F.coalesce("have", F.lit(0)))
@@ -79,7 +79,7 @@ def retrieve(queries: DataFrame, prompts: DataFrame, projects: DataFrame, limit:
     # of each query three times what is missing (all of it without a scope), each over-retrieved before the filter
     order = Window.partitionBy("query_id").orderBy(F.round("rank", 9), "prompt_id")
     ok = projects.filter(foreign_project(F.col("name"), F.col("cwd"), own)).select("project_id")
-    wide = ranked.drop("scope").join(F.broadcast(need), "query_id").join(F.broadcast(ok), "project_id", "left_semi")
+    wide = ranked.drop("scope").join(need, "query_id").join(F.broadcast(ok), "project_id", "left_semi")
     most = F.when(F.col("scope").isNull(), F.lit(limit)).otherwise(F.col("missing") * 3)
     wide = wide.withColumn("most", most).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= OVER * F.col("most"))
     wide = wide.join(prompts.select("prompt_id", "content"), "prompt_id").filter(~T.synthetic_for_search(F.col("content")))

@@ -91,9 +91,9 @@ class Corpus:
 
     @property
     def searches(self) -> DataFrame:
-        """Every tenth conversation's first turn is a query of its project; every twentieth one has no project."""
-        rows = self.raw_turns.filter("turn = 0 AND conv_id % 10 = 0")
-        return rows.select(F.col("conv_id").alias("query_id"), F.substring("text", 1, 120).alias("text"), F.when(F.col("conv_id") % 20 != 0, F.col("conv_id") % 5).alias("project_id"))
+        """Every prompt whose id is divisible by 100 is a query of its project, with its whole text; those of every twentieth session have no project."""
+        rows = self.prompts.filter("prompt_id % 100 = 0")
+        return rows.select(F.col("prompt_id").alias("query_id"), F.col("content").alias("text"), F.when(F.col("session_id") % 20 != 0, F.col("project_id")).alias("project_id"))
 
     @property
     def context_files(self) -> DataFrame:
