@@ -141,6 +141,22 @@ def grounded(questions: DataFrame, retrieved: DataFrame) -> DataFrame:
 
 INSTRUCTIONS = 100
 LEAST_REST = 500
+#: Positions of a slice of context files.
+SLICE = 1024
+
+
+def _leading(files: DataFrame, most: int) -> DataFrame:
+    """files with before and total, the tokens of a project's files before and up to each, most relevant first; those with
+    more than most tokens before them suit no budget and are left out. Sums of slices come first, so that no task
+    needs all files of a project."""
+    slices = F.coalesce(F.floor(F.col("position") / SLICE), F.lit(-(2**63)))
+    files = files.withColumn("slice", slices)
+    order = Window.partitionBy("project_id").orderBy(F.desc("relevance"), "slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = files.groupBy("project_id", "relevance", "slice").agg(F.sum("tokens").alias("sum"))
+    sums = sums.withColumn("start", F.coalesce(F.sum("sum").over(order), F.lit(0))).filter(F.col("start") <= most).drop("sum")
+    inside = Window.partitionBy("project_id", "relevance", "slice").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    own = files.join(sums, ["project_id", "relevance", "slice"]).withColumn("before", F.col("start") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
+    return own.withColumn("total", F.col("before") + F.col("tokens")).filter(F.col("before") <= most).drop("slice", "start")
 
 
 def enhance_parts(prompts: DataFrame, files: DataFrame, most: int = V.MOST_CONTEXT_TOKENS) -> DataFrame:
@@ -148,14 +164,10 @@ def enhance_parts(prompts: DataFrame, files: DataFrame, most: int = V.MOST_CONTE
     than 500 tokens are left, and ends the list. prompts: prompt_id, content; files: project_id, name, content, position,
     with prompts.project_id. prompt_id, name, position, content, is_cut."""
     rows = prompts.select("prompt_id", "project_id", (F.lit(most) - T.token_estimate(F.col("content")) - INSTRUCTIONS).alias("budget"))
-    files = files.withColumns({"relevance": T.relevance(F.col("name")), "tokens": T.token_estimate(F.col("content"))})
-    order = Window.partitionBy("prompt_id").orderBy(F.desc("relevance"), "position")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.join(files, "project_id").withColumn("total", F.sum("tokens").over(upto)).withColumn("fits", F.col("total") <= F.col("budget"))
-    all_before = F.coalesce(F.min("fits").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    rows = rows.withColumns({"all_before": all_before, "rest": F.col("budget") - (F.col("total") - F.col("tokens"))})
+    files = _leading(files.withColumns({"relevance": T.relevance(F.col("name")), "tokens": T.token_estimate(F.col("content"))}), most - INSTRUCTIONS)
+    rows = rows.join(files, "project_id").filter("before <= budget").withColumns({"fits": F.col("total") <= F.col("budget"), "rest": F.col("budget") - F.col("before")})
     cut = F.concat(T.truncated(F.col("content"), (F.col("rest") * 4).cast("int")), F.lit("\n... (truncated due to context limit)"))
-    rows = rows.filter("all_before AND (fits OR rest > %d)" % LEAST_REST)
+    rows = rows.filter("fits OR rest > %d" % LEAST_REST)
     return rows.select("prompt_id", "name", "relevance", "position", F.when(F.col("fits"), F.col("content")).otherwise(cut).alias("content"), (~F.col("fits")).alias("is_cut"))
 
 
@@ -182,15 +194,26 @@ def enhance(prompts: DataFrame, files: DataFrame, most: int = V.MOST_CONTEXT_TOK
 
 
 def context_relevance(prompts: DataFrame, files: DataFrame, top: int = 3) -> DataFrame:
-    """REL1, SCL31, JN22, SRT7: prompt_id, name, score, matched: the files that suit a prompt best."""
+    """REL1, SCL31, JN22, SRT7: prompt_id, name, score, matched: the files that suit a prompt best. A project's files
+    differ in position. Pairs come from common keywords; of the files without any only a project's best can be among
+    the best, so those are all that is added."""
     rows = prompts.select("prompt_id", "project_id", T.keywords(F.col("content")).alias("wanted"))
-    files = files.select("project_id", "name", "position", F.length("content").alias("length"), T.relevance(F.col("name")).alias("weight"), T.keywords(F.col("content")).alias("words"))
-    rows = rows.join(files, "project_id").withColumn("matched", F.array_intersect("wanted", "words"))
-    share = F.size("matched") / F.greatest(F.size("wanted"), F.lit(1))
-    score = share * 0.5 + F.col("weight") * 0.3 + F.least(F.col("length") / 5000, F.lit(1.0)) * 0.2
+    weight = F.when(F.col("content").isNotNull(), T.relevance(F.col("name")))
+    base = weight * 0.3 + F.least(F.length("content") / 5000, F.lit(1.0)) * 0.2
+    files = files.select("project_id", "name", "position", weight.alias("weight"), F.length("content").alias("length"), base.alias("base"), T.keywords(F.col("content")).alias("words"))
+    light = files.drop("words")
+    common = rows.select("prompt_id", "project_id", F.explode("wanted").alias("word")).join(files.select("project_id", "position", F.explode(F.array_distinct("words")).alias("word")), ["project_id", "word"])
+    common = common.groupBy("prompt_id", "project_id", "position").agg(F.count("*").alias("n"))
+    leading = Window.partitionBy("project_id").orderBy(F.desc(F.round("base", 9)), "position")
+    leading = light.withColumn("rn", F.row_number().over(leading)).filter(F.col("rn") <= top).select("project_id", "position")
+    alone = rows.select("prompt_id", "project_id").join(leading, "project_id").select("prompt_id", "project_id", "position", F.lit(0).cast("long").alias("n"))
+    pairs = common.unionByName(alone).groupBy("prompt_id", "project_id", "position").agg(F.max("n").alias("n"))
+    pairs = pairs.join(rows.select("prompt_id", F.size("wanted").alias("m")), "prompt_id").join(light, ["project_id", "position"])
+    score = F.col("n") / F.greatest(F.col("m"), F.lit(1)) * 0.5 + F.col("weight") * 0.3 + F.least(F.col("length") / 5000, F.lit(1.0)) * 0.2
     order = Window.partitionBy("prompt_id").orderBy(F.desc(F.round("score", 9)), "position")
-    rows = rows.withColumn("score", score).withColumn("rn", F.row_number().over(order))
-    return rows.filter(F.col("rn") <= top).select("prompt_id", "name", "score", F.array_join("matched", ",").alias("matched"), F.col("rn").cast("int").alias("place"))
+    best = pairs.withColumn("score", score).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= top).select("prompt_id", "project_id", "position", "name", "score", "rn")
+    best = best.join(rows.select("prompt_id", "wanted"), "prompt_id").join(files.select("project_id", "position", "words"), ["project_id", "position"])
+    return best.select("prompt_id", "name", "score", F.array_join(F.array_intersect("wanted", "words"), ",").alias("matched"), F.col("rn").cast("int").alias("place"))
 
 
 def user_message(prompts: DataFrame, retrieved: DataFrame, most: int = 600) -> DataFrame:

@@ -97,10 +97,10 @@ class Corpus:
 
     @property
     def context_files(self) -> DataFrame:
-        """Context files of the projects: the first documents under five names."""
+        """Context files of the projects: all documents, dealt to four projects and, within a project, to five names by turns."""
         names = F.array(*[F.lit(n) for n in ("PROJECT.md", "SOUL.md", "AGENTS.md", "CONTEXT.md", "README.md")])
-        rows = self.documents.filter("doc_id < 20")
-        return rows.select((F.col("doc_id") % 4).alias("project_id"), F.element_at(names, (F.floor(F.col("doc_id") / 4) + 1).cast("int")).alias("name"), F.floor(F.col("doc_id") / 4).cast("long").alias("position"), F.col("text").alias("content"))
+        position = F.floor(F.col("doc_id") / 4).cast("long")
+        return self.documents.select((F.col("doc_id") % 4).alias("project_id"), F.element_at(names, (position % 5 + 1).cast("int")).alias("name"), position.alias("position"), F.col("text").alias("content"))
 
 
 def _ints(df: DataFrame, *columns: str) -> DataFrame:
@@ -419,7 +419,7 @@ def context_window_check(c: Corpus) -> DataFrame:
 
 @query
 def enhance_budget(c: Corpus) -> DataFrame:
-    return checks.enhance_parts(c.user_prompts.filter("project_id < 4"), c.context_files, 1500).select("prompt_id", "name", "is_cut", F.length("content").cast("long").alias("chars"))
+    return checks.enhance_parts(c.user_prompts, c.context_files, 1500).select("prompt_id", "name", "is_cut", F.length("content").cast("long").alias("chars"))
 
 
 @query
