@@ -59,12 +59,11 @@ class Corpus:
 
     @property
     def snapshots(self) -> DataFrame:
-        """Documents as snapshots of their lines: even ones belong to sessions, every third odd one lies in the trash."""
+        """Documents as snapshots of their lines: even ones belong to sessions, odd ones lie in the trash."""
         d = self.documents
-        kind = F.when(F.col("doc_id") % 2 == 0, "cowork-outputs").when(F.col("doc_id") % 3 == 0, "trash-snapshot")
+        kind = F.when(F.col("doc_id") % 2 == 0, "cowork-outputs").otherwise("trash-snapshot")
         own = self.sessions.agg(F.max("session_id").alias("m")).first()["m"] or 0
-        rows = d.select(F.col("doc_id").alias("snapshot_id"), kind.alias("snapshot_type"), F.when(F.col("doc_id") % 2 == 0, F.pmod((F.col("doc_id") / 2).cast("long"), F.lit(own + 1))).alias("session_id"))
-        return rows.filter("snapshot_type IS NOT NULL")
+        return d.select(F.col("doc_id").alias("snapshot_id"), kind.alias("snapshot_type"), F.when(F.col("doc_id") % 2 == 0, F.pmod((F.col("doc_id") / 2).cast("long"), F.lit(own + 1))).alias("session_id"))
 
     @property
     def files(self) -> DataFrame:
