@@ -326,15 +326,17 @@ DONE_SCHEMA = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), removed (byte ranges)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), removed (byte ranges). Where kept isn't
+    selected, the texts of unchanged documents aren't shuffled."""
     text_batches(docs.sparkSession)
     own = _identified(docs)
     spans = repeated_spans(own, length, gram).groupBy("id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     spans = stored(spans, "sub-spans")
     changed = only_likely(own, spans, ["id", "mark"]).join(spans, ["id", "mark"]).mapInPandas(_removed(length), DONE_SCHEMA)
-    light = own.select("id", "mark", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("kept_sha256"))
+    light = own.select("id", "mark", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("kept_sha256"), F.col("text").cast("binary").alias("kept"))
+    none = F.array().cast("array<struct<start:long,end:long>>")
     same = light.join(spans.select("id", "mark"), ["id", "mark"], "left_anti").select(
-        "id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256"
+        "id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256", "kept", none.alias("removed")
     )
-    out = changed.drop("kept", "removed").unionByName(same)
-    return out.select(F.when(F.col("id") != -(2**63), F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = changed.unionByName(same)
+    return out.select(F.when(F.col("id") != -(2**63), F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -34,6 +35,18 @@ def test_substring_dedup(hard, hard_rows):
     assert got == dict(zip([i for i, _ in rows], brute.repeats(rows)))
 
 
+def test_substring_dedup_gives_texts_and_ranges(hard, hard_rows):
+    texts = {r[0]: (r[1] or "").encode() for r in hard_rows}
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(hard).collect()}
+    assert set(got) == set(texts) and any(r["removed"] for r in got.values())
+    for i, row in got.items():
+        at, left = 0, b""
+        for a, b in row["removed"]:
+            left, at = left + texts[i][at:a], b
+        assert bytes(row["kept"]) == left + texts[i][at:]
+        assert hashlib.sha256(row["kept"]).hexdigest() == row["kept_sha256"] and len(row["removed"]) == row["n_spans"]
+
+
 def test_substring_dedup_short_strings(spark):
     r = random.Random(3)
     parts = ["".join(r.choices("abcd", k=k)) for k in (30, 41, 55, 70)]
