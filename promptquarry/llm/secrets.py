@@ -23,14 +23,16 @@ LEAST_VALUE = 6
 
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Least bits of the best window per class; a window of 20 characters has at most 4.32.
+#: Least bits of the best window per class; a window of 20 characters has at most 4.32. Runs of letters count as alnum.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.9}
+#: A word of one case, or a capitalised one; other mixtures of case are judged by their entropy.
+WORD = r"(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)"
 #: Forms that look random and are no secrets: UUIDs, words or snake/kebab names without digits, plain numbers, paths of words.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[A-Za-z/_=+-]+$",
+    rf"^[/_=+-]*{WORD}(?:[/_=+-]+{WORD})*[/_=+-]*$",
     r"^[0-9/_=+-]+$",
-    r"^[A-Za-z]+(?:[/_-][A-Za-z]+)*[/_=-]*[0-9]{1,6}$",
+    rf"^{WORD}(?:[/_-]{WORD})*[/_=-]*[0-9]{{1,6}}$",
 )
 
 
