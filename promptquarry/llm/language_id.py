@@ -36,6 +36,8 @@ SMOOTHING = 1.0
 MIN_POSTERIOR = 0.5
 #: One row per host is broadcast up to so many hosts, counted first; beyond, the join is an ordinary one.
 BROADCAST_HOSTS = 20_000
+#: The same for labels.
+BROADCAST_LABELS = 20_000
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -54,11 +56,17 @@ def hash_unit(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
+def sampled(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
+    """Rows (t, l) chosen by hash, about per_language of every label, with the label's share."""
+    share = stored(labelled.groupBy("l").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share")), "lang-labels")
+    right = F.broadcast(share) if share.count() <= BROADCAST_LABELS else share
+    return labelled.join(right, "l").filter(hash_unit("t") < F.col("share"))
+
+
 def fit_text_model(docs: DataFrame, text: str, label: str, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages in order and log P(bucket | language), from about per_language labelled rows of each language."""
     labelled = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(label).cast("string").alias("l"))
-    share = labelled.groupBy("l").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share"))
-    chosen = labelled.join(F.broadcast(share.orderBy(F.desc("share"), "l").limit(4096)), "l").filter(hash_unit("t") < F.col("share"))
+    chosen = sampled(labelled, per_language)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, np.ndarray] = {}
