@@ -8,7 +8,7 @@ epochs first, then the documents before the rest, the last of them in part. What
 per source, so texts are never shuffled.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own and comes last in
-the order of weights; documents of equal key are ordered by doc_id (nulls first) and size, so reruns agree; a row
+the order of weights; documents of equal key are ordered by doc_id (nulls first), size and a hash of the text, so reruns agree; a row
 that repeats a doc_id is a row of its own; sources without words have the target 0; an empty table gives an empty
 result. Working columns start with two underscores; all other columns are left alone.
 """
@@ -61,7 +61,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE
 
 def source_cuts(light: DataFrame, targets: DataFrame) -> DataFrame:
     """targets and, per source: __epochs (whole ones), and the document that the rest of the budget ends in
-    (__cut_key, __cut_id, __cut_size) with the words taken of it (__cut_words); null where nothing is left over."""
+    (__cut_key, __cut_id, __cut_size) with the words taken of it (__cut_words); null where nothing is left over. Of
+    __ties rows that share this place, __whole are taken whole before it."""
     n = light.count()
     bits = min(24, max(0, math.ceil(math.log2(max(1, n) / ROWS_PER_RANGE)))) if n else 0
     light = light.withColumn("__range", F.shiftright("__key", KEY_BITS - bits) if bits else F.lit(0).cast("long"))
@@ -77,24 +78,42 @@ def source_cuts(light: DataFrame, targets: DataFrame) -> DataFrame:
     inside = light.join(ends, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
     upto = Window.partitionBy("__source", "__range").orderBy("__key", "__id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("__start", F.col("__before") + F.coalesce(F.sum("__size").over(upto), F.lit(0)))
+    same = Window.partitionBy("__source", "__range", "__key", "__id", "__size")
+    inside = inside.withColumns({"__ties": F.count("*").over(same), "__first": F.min("__start").over(same)})
     cut = inside.filter("__start < __rest and __start + __size >= __rest").select(
         F.col("__s"),
         F.col("__key").alias("__cut_key"),
         F.col("__id").alias("__cut_id"),
         F.col("__size").alias("__cut_size"),
         (F.col("__rest") - F.col("__start")).alias("__cut_words"),
+        F.col("__ties"),
+        F.floor((F.col("__start") - F.col("__first")) / F.col("__size")).cast("long").alias("__whole"),
     )
     return budgets.join(cut, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s", "__rest")
 
 
+def _at_cut(compare: str):
+    place, cut = (F.struct(*[F.col(c) for c in names]) for names in (("__key", "__id", "__size"), ("__cut_key", "__cut_id", "__cut_size")))
+    return place < cut if compare == "<" else place == cut
+
+
 def taken():
-    """Words taken of a row that has its source's cut: __epochs copies and, before the cut, one more."""
-    place = F.struct(F.col("__key"), F.col("__id"), F.col("__size"))
-    cut = F.struct(F.col("__cut_key"), F.col("__cut_id"), F.col("__cut_size"))
-    rest = F.when(F.col("__cut_words").isNull(), 0).when(place < cut, F.col("__size")).when(place == cut, F.col("__cut_words")).otherwise(0)
+    """Words taken of a row that has its source's cut and __nth, its number among the rows of the cut's place: __epochs
+    copies and, before the cut, one more."""
+    at_cut = F.when(F.col("__nth") <= F.col("__whole"), F.col("__size")).when(F.col("__nth") == F.col("__whole") + 1, F.col("__cut_words")).otherwise(0)
+    rest = F.when(F.col("__cut_words").isNull(), 0).when(_at_cut("<"), F.col("__size")).when(_at_cut("="), at_cut).otherwise(0)
     return (F.col("__epochs") * F.col("__size") + rest).cast("long")
 
 
+def numbered(joined: DataFrame, cuts: DataFrame, text_col: str) -> DataFrame:
+    """joined with __nth: 1, but for rows that share a cut's place their number there. Only such rows are shuffled."""
+    if cuts.filter("__ties > 1").isEmpty():
+        return joined.withColumn("__nth", F.lit(1))
+    tied = F.coalesce((F.col("__ties") > 1) & _at_cut("="), F.lit(False))
+    order = Window.partitionBy("__source", "__key", "__id", "__size").orderBy(F.xxhash64(F.col(text_col)))
+    return joined.filter(~tied).withColumn("__nth", F.lit(1)).unionByName(joined.filter(tied).withColumn("__nth", F.row_number().over(order)))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = "mix-1", **targets) -> DataFrame:
     """The input's columns and __size, __source_size, __target, __epochs, __taken."""
     own = {
@@ -109,7 +128,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     right = cuts.withColumnRenamed("__source", "__s")
     right = F.broadcast(right) if cuts.count() <= BROADCAST_SOURCES else right
     joined = wanted.join(right, F.col("__source").eqNullSafe(F.col("__s")))
-    return joined.withColumn("__taken", taken()).drop("__s", "__source", "__key", "__id", "__cut_key", "__cut_id", "__cut_size", "__cut_words")
+    return numbered(joined, cuts, text_col).withColumn("__taken", taken()).drop("__nth", "__ties", "__whole", "__s", "__source", "__key", "__id", "__cut_key", "__cut_id", "__cut_size", "__cut_words")
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
