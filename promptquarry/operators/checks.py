@@ -225,11 +225,15 @@ def user_message(prompts: DataFrame, retrieved: DataFrame, most: int = 600) -> D
 
 
 def scrubbed(text: Column) -> Column:
-    """Extra: personal data by patterns: addresses, card numbers, keys, phone numbers."""
+    """Extra: personal data by patterns: e-mail addresses, keys, card numbers, IP addresses, phone numbers, home paths."""
     for pattern, by in (
         (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<EMAIL>"),
+        (r"\b(?:sk-|pk-|sk_|pk_|(?i:api[_-]?key)=)[A-Za-z0-9_-]{16,}|\bAKIA[A-Z0-9]{16,}", "<KEY>"),
         (r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b", "<CARD>"),
         (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "<IP>"),
+        (r"(?<![\w:])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:])", "<IP>"),
+        (r"(?<![\w.+-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d){7,12})(?![\w-])", "<PHONE>"),
+        (r"/(?:Users|home)/\w+|[A-Z]:\\Users\\\w+", "<HOME>"),
     ):
         text = T.replaced(text, pattern, by)
     return text
