@@ -105,7 +105,7 @@ CONTENTS = ("contents", "SELECT p.*, coalesce(o.normalized_content, '') AS orig_
 FOREIGN = ("foreign_projects", "SELECT * FROM projects WHERE name <> 'own-tool' AND (cwd IS NULL OR NOT cwd ILIKE '%own-tool%')")
 LABEL_VIEWS = (*PAIR_VIEWS, NORM, CONTENTS, FOREIGN)
 
-SNAPSHOTS = ("snapshots", "SELECT doc_id AS snapshot_id, CASE WHEN doc_id % 2 = 0 THEN 'cowork-outputs' ELSE 'trash-snapshot' END AS snapshot_type, CASE WHEN doc_id % 2 = 0 THEN (doc_id // 2) % ((SELECT max(session_id) FROM sessions) + 1) END AS session_id FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+SNAPSHOTS = ("snapshots", "SELECT doc_id AS snapshot_id, CASE WHEN doc_id % 2 = 0 THEN 'cowork-outputs' ELSE 'trash-snapshot' END AS snapshot_type, CASE WHEN doc_id % 2 = 0 THEN (doc_id // 2) % ((SELECT max(session_id) FROM sessions) + 1) END AS session_id FROM documents")
 FILES = ("files", "SELECT doc_id AS snapshot_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) x WHERE line <> ''")
 OVERLAP = ("overlap", """
     SELECT *, common / (n1 + n2 - common)::DOUBLE AS jaccard FROM (
@@ -152,7 +152,7 @@ INSTRUMENTS = ("instruments", f"""
     SELECT case_id, {rx('prompt', V.VAGUE_VERB)} AS vague_verb, len(list_filter(questions, lambda q: {rx('q.text', *V.DISAMBIGUATION)})) > 0 AS has_disambiguation,
            coalesce({rx('questions[2].text', V.LIVE)} AND {rx('questions[2].text', V.LOCAL)}, false) AS live_or_local, CASE WHEN gold_kind IS NULL THEN len(questions) = 0 END AS correct_skip FROM cases""")
 
-SEARCHES = ("searches", "SELECT conv_id AS query_id, substr(text, 1, 120) AS text, CASE WHEN conv_id % 20 <> 0 THEN conv_id % 5 END AS scope FROM raw_turns WHERE turn = 0 AND conv_id % 10 = 0")
+SEARCHES = ("searches", "SELECT prompt_id AS query_id, content AS text, CASE WHEN session_id % 20 <> 0 THEN project_id END AS scope FROM prompts WHERE prompt_id % 100 = 0")
 _FOLD = "translate(lower(normalized_content), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
 SEARCH_VIEWS = (
     FLAGGED, NORM, FOREIGN, SEARCHES,
@@ -173,8 +173,8 @@ def _cut(source: str, most: str) -> str:
     return f"SELECT * FROM (SELECT *, row_number() {_ORDER} AS pos FROM ({kept}) k) z WHERE pos <= {most}"
 
 
-def _context(limit: int) -> str:
-    return f"(SELECT doc_id % 4 AS project_id, (['PROJECT.md', 'SOUL.md', 'AGENTS.md', 'CONTEXT.md', 'README.md'])[doc_id // 4 + 1] AS name, doc_id // 4 AS position, text AS content, ([1.0, 0.7, 0.8, 0.9, 0.6])[doc_id // 4 + 1]::DOUBLE AS relevance, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents WHERE doc_id < {limit})"
+_NTH = "doc_id // 4 % 5 + 1"
+CONTEXT = f"(SELECT doc_id % 4 AS project_id, (['PROJECT.md', 'SOUL.md', 'AGENTS.md', 'CONTEXT.md', 'README.md'])[{_NTH}] AS name, doc_id // 4 AS position, text AS content, ([1.0, 0.7, 0.8, 0.9, 0.6])[{_NTH}]::DOUBLE AS relevance, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents)"
 
 
 def _keywords(text: str) -> str:
@@ -186,7 +186,7 @@ _FIT = f"""
   SELECT prompt_id, name, relevance, position, content, tokens, budget, total, total <= budget AS fits,
          coalesce(min(total <= budget) OVER (PARTITION BY prompt_id ORDER BY relevance DESC, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS all_before, budget - (total - tokens) AS rest
   FROM (SELECT p.prompt_id, f.*, 1500 - CAST(ceil(length(p.content) / 4.0) AS BIGINT) - 100 AS budget, sum(tokens) OVER (PARTITION BY prompt_id ORDER BY relevance DESC, position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total
-        FROM prompts p JOIN {_context(20)} f ON f.project_id = p.project_id WHERE p.role = 'user') x"""
+        FROM prompts p JOIN {CONTEXT} f ON f.project_id = p.project_id WHERE p.role = 'user') x"""
 _CUT_TEXT = "CASE WHEN fits THEN content ELSE (CASE WHEN length(content) > rest * 4 THEN substr(content, 1, CAST(rest * 4 AS BIGINT)) || chr(10) || '... (truncated)' ELSE content END) || chr(10) || '... (truncated due to context limit)' END"
 
 _ISSUES = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {rx('content', p)} THEN '{label}' END" for p, label in zip(V.LOCAL_ENV, V.LOCAL_ENV_LABELS)) + "], lambda x: x IS NOT NULL), '@@')"
@@ -250,11 +250,30 @@ OWN = ("own", "SELECT prompt_id, content, prompt_id % 40 * 100 AS context_tokens
 _N = "CAST(sum(CASE WHEN {} THEN 1 ELSE 0 END) AS BIGINT)"
 
 
+_IP6 = r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?"
+_PHONE = r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d){7,12}"
+
+
 def _scrubbed() -> str:
-    text = "text"
-    for pattern, by in ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<EMAIL>"), (r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b", "<CARD>"), (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "<IP>")):
-        text = sub(text, pattern, by)
-    return text
+    """RE2 has no lookaround: what must stand beside a match is matched with it and put back. As one such character may
+    stand between two matches, these steps are taken twice."""
+    rows = "SELECT doc_id, ' ' || text || ' ' AS t FROM documents"
+    step = lambda by: f"SELECT doc_id, {by} AS t FROM ({rows}) x"
+    for pattern, by in (
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<EMAIL>"),
+        (r"\b(?:sk-|pk-|sk_|pk_|(?i:api[_-]?key)=)[A-Za-z0-9_-]{16,}|\bAKIA[A-Z0-9]{16,}", "<KEY>"),
+        (r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b", "<CARD>"),
+        (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "<IP>"),
+    ):
+        rows = step(sub("t", pattern, by))
+    found = f"'[^\\w:](?:{_IP6})[^\\w:]'"
+    for _ in range(2):
+        gaps, values = f"string_split_regex(t, {found})", f"regexp_extract_all(t, {found})"
+        rows = f"SELECT doc_id, CASE WHEN len(vs) = 0 THEN t ELSE array_to_string(list_transform(gs, lambda g, i: g || coalesce(CASE WHEN regexp_matches(vs[i], '[0-9]') THEN substr(vs[i], 1, 1) || '<IP>' || substr(vs[i], length(vs[i]), 1) ELSE vs[i] END, '')), '') END AS t FROM (SELECT doc_id, t, {gaps} AS gs, {values} AS vs FROM ({rows}) x) y"
+    for _ in range(2):
+        rows = step(f"regexp_replace(t, '([^\\w.+-])(?:{_PHONE})([^\\w-])', '\\1<PHONE>\\2', 'g')")
+    rows = step(sub("t", r"/(?:Users|home)/\w+|[A-Z]:\\Users\\\w+", "<HOME>"))
+    return f"SELECT doc_id, substr(t, 2, length(t) - 2) AS scrubbed FROM ({rows}) x"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -331,7 +350,7 @@ def oracle_sql() -> dict[str, str]:
         "check_pipeline": v(_check_rows(), OWN),
         "context_window_check": v(_window_rows(3000), OWN),
         "enhance_budget": v(f"SELECT prompt_id, name, NOT fits AS is_cut, length({_CUT_TEXT}) AS chars FROM ({_FIT}) x WHERE all_before AND (fits OR rest > 500)"),
-        "enhance_prompts": v(f"""SELECT p.prompt_id, CASE WHEN p.project_id NOT IN (SELECT project_id FROM {_context(20)} f) THEN p.content ELSE
+        "enhance_prompts": v(f"""SELECT p.prompt_id, CASE WHEN p.project_id NOT IN (SELECT project_id FROM {CONTEXT} f) THEN p.content ELSE
               CASE WHEN h.head IS NOT NULL THEN '## Project Context' || chr(10) || chr(10) || h.head ELSE '' END || '## User Request' || chr(10) || chr(10) || p.content || chr(10) || chr(10) || '## Instructions' || chr(10) || chr(10) ||
               CASE WHEN h.head IS NOT NULL THEN '{checks.WITH_CONTEXT}' ELSE '{checks.WITHOUT_CONTEXT}' END END AS enhanced
             FROM prompts p LEFT JOIN (SELECT prompt_id, string_agg({head}, '' ORDER BY relevance DESC, position) AS head FROM (SELECT *, {_CUT_TEXT} AS c FROM ({_FIT}) x WHERE all_before AND (fits OR rest > 500)) y GROUP BY 1) h ON h.prompt_id = p.prompt_id WHERE p.role = 'user'"""),
@@ -339,10 +358,10 @@ def oracle_sql() -> dict[str, str]:
               SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY round(score, 9) DESC, position) AS place FROM (
                 SELECT prompt_id, name, position, matched, len(matched) / greatest(len(wanted), 1)::DOUBLE * 0.5 + relevance * 0.3 + least(length(content) / 5000.0::DOUBLE, 1.0) * 0.2 AS score FROM (
                   SELECT p.prompt_id, f.name, f.position, f.content, f.relevance, p.wanted, list_filter(p.wanted, lambda w: list_contains(f.words, w)) AS matched
-                  FROM (SELECT prompt_id, project_id, {_keywords('content')} AS wanted FROM prompts WHERE role = 'user') p JOIN (SELECT *, {_keywords('content')} AS words FROM {_context(20)} g) f ON f.project_id = p.project_id) x) y) z WHERE place <= 3"""),
+                  FROM (SELECT prompt_id, project_id, {_keywords('content')} AS wanted FROM prompts WHERE role = 'user') p JOIN (SELECT *, {_keywords('content')} AS words FROM {CONTEXT} g) f ON f.project_id = p.project_id) x) y) z WHERE place <= 3"""),
         "tool_call_asof": "SELECT event_id, user_id, turn_event_id FROM (SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS turn_event_id FROM events) x WHERE event_type <> 'view' AND turn_event_id IS NOT NULL",
         "turn_numbers": "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS turn_index FROM events WHERE event_type = 'view'",
         "event_props_json": "SELECT event_id, TRY_CAST(regexp_extract(props, '^\\s*\\{\\s*\"k\"\\s*:\\s*(-?[0-9]+)\\s*\\}\\s*$', 1) AS BIGINT) AS k FROM events",
-        "pii_scrub": f"SELECT doc_id, {_scrubbed()} AS scrubbed FROM documents",
+        "pii_scrub": _scrubbed(),
     }
     return out
