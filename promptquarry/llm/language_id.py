@@ -13,6 +13,7 @@ A document is rejected ("und") where its text has no letters or where no languag
 Defined cases: null and empty texts are rejected; a null declaration, suffix or host is no evidence; an unknown
 declaration has the smoothed likelihood, which is near to none; without labelled rows every document is rejected;
 texts of any length are scored whole; repeated rows count as often as they occur; an empty table gives an empty result.
+Working columns start with two underscores; all other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -74,7 +75,8 @@ def fit_text_model(docs: DataFrame, text: str, label: str, per_language: int = S
             for lang, texts in frame.groupby("l")["t"]:
                 own = held.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 own += np.bincount(np.concatenate([trigrams(t) for t in texts]), minlength=BUCKETS)
-        yield pd.DataFrame({"l": list(held), "counts": [c.tobytes() for c in held.values()]}, columns=["l", "counts"])
+        if held:  # a partition may be empty, and a frame without rows has no column of strings
+            yield pd.DataFrame({"l": list(held), "counts": [c.tobytes() for c in held.values()]})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(c, np.int64) for c in frame["counts"])
@@ -137,7 +139,7 @@ def identify(docs: DataFrame, min_posterior: float = MIN_POSTERIOR, per_language
         sums = own.agg(per_vote("all")).first()["all"] or [0.0] * k
         distinct = own.select(name).distinct().count() + 1
         like = [F.log((F.col("own")[i] + SMOOTHING) / F.lit((sums[i] or 0.0) + SMOOTHING * distinct)) for i in range(k)]
-        tables[name] = (own.groupBy(name).agg(per_vote("own")).select(F.col(name).alias("k"), F.array(*like).alias(name + "_ll")), distinct)
+        tables[name] = (own.groupBy(name).agg(per_vote("own")).select(F.col(name).alias(name + "_key"), F.array(*like).alias(name + "_ll")), distinct)
 
     # priors: host shrunk towards its suffix, the suffix towards the corpus
     suffix = votes.groupBy("__suffix").agg(per_vote("c"), F.sum("n").cast("double").alias("m")).select(
@@ -145,17 +147,17 @@ def identify(docs: DataFrame, min_posterior: float = MIN_POSTERIOR, per_language
     )
     host = votes.filter("__host IS NOT NULL").groupBy("__host", "__suffix").agg(per_vote("c"), F.sum("n").cast("double").alias("m"))
     host = host.join(suffix, F.col("__suffix").eqNullSafe(F.col("s"))).select(
-        F.col("__host").alias("h"),
-        F.col("__suffix").alias("hs"),
+        F.col("__host").alias("__host_key"),
+        F.col("__suffix").alias("__host_suffix"),
         F.array(*[F.log((F.col("c")[i] + HOST_STRENGTH * F.col("sp")[i]) / (F.col("m") + HOST_STRENGTH)) for i in range(k)]).alias("__prior"),
     )
     parts = scored
     host = stored(host, "lang-hosts")
     right = F.broadcast(host) if host.count() <= BROADCAST_HOSTS else host
-    parts = parts.join(right, (F.col("__host") == F.col("h")) & F.col("__suffix").eqNullSafe(F.col("hs")), "left").drop("h", "hs")
+    parts = parts.join(right, (F.col("__host") == F.col("__host_key")) & F.col("__suffix").eqNullSafe(F.col("__host_suffix")), "left").drop("__host_key", "__host_suffix")
     for name, (rows, distinct) in tables.items():
         rows = F.broadcast(rows) if distinct <= BROADCAST_HOSTS else rows
-        parts = parts.join(rows, F.col(name) == F.col("k"), "left").drop("k")
+        parts = parts.join(rows, F.col(name) == F.col(name + "_key"), "left").drop(name + "_key")
     flat = F.array(*[F.lit(0.0)] * k)
     top_log = F.array(*[F.lit(float(np.log(x))) for x in top])
     logs = [F.col("__ll"), F.coalesce("__prior", top_log), F.coalesce("__declared_ll", flat), F.coalesce("__suffix_ll", flat)]
