@@ -42,8 +42,7 @@ def bitmap(keys: DataFrame, columns: list[str]) -> np.ndarray:
     return out.reshape(-1)
 
 
-def only_likely(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows whose key may be among the keys."""
+def _likely(rows: DataFrame, keys: DataFrame, columns: list[str]):
     held = rows.sparkSession.sparkContext.broadcast(bitmap(keys, columns))
     size = len(held.value) * 8
 
@@ -52,4 +51,15 @@ def only_likely(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFra
         at = cell.to_numpy()
         return pd.Series((held.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
 
-    return rows.filter(likely(F.pmod(F.xxhash64(*columns), F.lit(size))))
+    return likely(F.pmod(F.xxhash64(*columns), F.lit(size)))
+
+
+def only_likely(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose key may be among the keys."""
+    return rows.filter(_likely(rows, keys, columns))
+
+
+def divided(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be among the keys, and those whose key surely isn't."""
+    likely = _likely(rows, keys, columns)
+    return rows.filter(likely), rows.filter(~likely)

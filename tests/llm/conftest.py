@@ -43,4 +43,4 @@ def clashing(hard):
     """Names that the operators use inside."""
     from pyspark.sql import functions as F
 
-    return hard.withColumns({c: F.lit(1) for c in ("id", "mark", "key", "rep", "digest", "content", "n", "size", "target", "piece", "component", "epoch", "taken", "kept")})
+    return hard.withColumns({c: F.lit(1) for c in ("k", "h", "hs", "a", "b", "spans", "removed", "likely", "s", "c", "m", "language", "posterior", "__nth_of_mine", "id", "mark", "key", "rep", "digest", "content", "n", "size", "target", "piece", "component", "epoch", "taken", "kept")})

@@ -129,3 +129,21 @@ def test_exact_dedup(hard, hard_rows, empty, clashing, spark):
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(i for i, r in got.items() if r["kept"])
     twice = spark.createDataFrame([(1, "a b", None, None, 1), (1, "a b", None, None, 1), (2, "ab", None, None, 1), (None, "z", None, None, 1)], SCHEMA)
     assert sorted((r["doc_id"] or -1) for r in exact_dedup.drop_copies(twice).collect()) == [-1, 1]
+
+
+def test_substring_dedup_of_hot_passages(spark, monkeypatch):
+    """A passage in many contexts, in small blocks, parts of two levels and with hot pieces."""
+    for name, value in {"MOST_PARTS": 3, "PART_BYTES": 2000, "HOT_SHARE": 20, "BLOCK_WINDOWS": 500, "KEYS_PER_BUCKET": 300, "RUN_BYTES": 3000}.items():
+        monkeypatch.setattr(substring_dedup, name, value)
+    r = random.Random(8)
+    hot = "".join(r.choices("abcdef", k=70))
+    noise = lambda: "".join(r.choices("abcdef", k=r.randrange(0, 90)))
+    rows = [(i, noise() + hot[r.randrange(0, 20) :] + noise() + (hot if i % 3 else "é" * 9)) for i in range(200)]
+    got = {x["doc_id"]: tuple(x)[1:5] for x in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 40, 16).collect()}
+    assert got == dict(zip([i for i, _ in rows], brute.repeats(rows, 40)))
+
+
+def test_a_text_beyond_the_positions_is_refused(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "POSITION_BITS", 9)
+    with pytest.raises(ValueError, match="positions"):
+        substring_dedup.anchors([b"x" * 600])
