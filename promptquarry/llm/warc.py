@@ -26,8 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import pieces, scratch, stored
+from .keyfilter import divided
 
+#: A digest is hot if more than one in so many repeated pages has it.
+HOT_SHARE = 20_000
+#: What a task reads of the archives at most, about: compressed bytes and records.
+PART_BYTES, PART_RECORDS = 16 << 20, 20_000
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
 WARC_DATE = "2000-01-01T00:00:00Z"
@@ -98,13 +103,20 @@ def parse(raw: bytes) -> dict:
 
 
 def with_originals(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """page_id, url, html and refers_to: null for responses."""
+    """page_id, url, html and refers_to: null for responses. Only digests are grouped. A page that a bitmap of the repeated
+    digests rules out isn't shuffled, nor is one of a hot digest, of which there are fewer than HOT_SHARE."""
+    key = ["__digest", "__bytes"]
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumns({"__digest": F.sha2("html", 256), "__bytes": F.octet_length("html")})
-    first = rows.groupBy("__digest", "__bytes").agg(F.max("page_id").alias("__first"))
-    rows = rows.join(first, ["__digest", "__bytes"])
-    again = (F.col("__bytes") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("__first"))
-    return rows.select("page_id", "url", "html", F.when(again, F.col("__first")).alias("refers_to"))
+    first = rows.groupBy(*key).agg(F.max("page_id").alias("__first"), F.count("*").alias("__n")).filter("__n > 1")
+    first = stored(first, "warc-copies")
+    least = pieces(first.agg(F.sum("__n")).first()[0] or 0, HOT_SHARE)
+    hot, cold = F.broadcast(first.filter(F.col("__n") > least)), first.filter(F.col("__n") <= least)
+    likely, alone = divided(rows, first, key)
+    again = likely.join(hot, key).unionByName(likely.join(hot.select(*key), key, "left_anti").join(cold, key, "left"), allowMissingColumns=True)
+    again = again.unionByName(alone.withColumns({"__first": F.lit(None).cast("long"), "__n": F.lit(1).cast("long")}))
+    revisit = (F.coalesce("__n", F.lit(1)) > 1) & (F.col("__bytes") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("__first"))
+    return again.select("page_id", "url", "html", F.when(revisit, F.col("__first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, uri: str | None = None, min_revisit_bytes: int = 0, level: int = 6) -> DataFrame:
@@ -140,7 +152,7 @@ def write_archives(pages: DataFrame, uri: str | None = None, min_revisit_bytes:
 
 
 def read_records(index: DataFrame, with_payload: bool = False, gap: int = GAP_BYTES, most: int = READ_BYTES) -> DataFrame:
-    """The records of the selected index rows."""
+    """The records of the selected index rows, read by as many tasks as their bytes and number need."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opened, source = None, None
@@ -174,7 +186,9 @@ def read_records(index: DataFrame, with_payload: bool = False, gap: int = GAP_BY
                 source.close()
 
     wanted = index.select("file", "offset", "length")
-    ordered = wanted.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    size = wanted.agg(F.sum("length"), F.count("*")).first()
+    n_parts = max(pieces(size[0] or 0, PART_BYTES), pieces(size[1], PART_RECORDS))
+    ordered = wanted.repartitionByRange(n_parts, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInPandas(read, RECORD_SCHEMA)
 
 
