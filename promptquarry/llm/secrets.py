@@ -1,8 +1,8 @@
 """Secret scan with DataFrame functions only.
 
 Three fixed patterns give the base spans. The method adds spans of high entropy: candidates are long runs of
-base64-like characters; along each the Shannon entropy of a sliding window is kept up to date by the counts of the
-character that enters and of the one that leaves, and a candidate is reported where its best window passes the
+base64-like characters; along each the Shannon entropy of a sliding window is kept up to date by one count per
+character, of which each step changes two, and a candidate is reported where its best window passes the
 threshold of its character class, unless an allow-list of harmless forms suppresses it.
 
 Defined cases: a null or empty text gives counts of 0 and empty span lists; spans are in code points with an
@@ -22,6 +22,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 LEAST_VALUE = 6
 
 WINDOW = 20
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Least bits of the best window per class; a window of 20 characters has at most 4.32. Runs of letters count as alnum.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.9}
@@ -73,28 +74,26 @@ def _term(count: Column) -> Column:
 
 
 def best_entropy(value: Column, width: int = WINDOW) -> Column:
-    """Most bits per character of any window of so many characters. The sum of c log2 c over a window's counts c
-    changes only by the terms of the character that enters and of the one that leaves."""
-
-    def step(acc: Column, i: Column) -> Column:
-        window, entering = acc["window"], F.substr(value, i, F.lit(1))
-        full = F.length(window) >= width
-        leaving = F.substr(window, F.lit(1), F.lit(1))
-        rest = F.when(full, F.substr(window, F.lit(2))).otherwise(window)
-        n_out = F.length(window) - F.length(F.replace(window, leaving, F.lit("")))
-        n_in = F.length(rest) - F.length(F.replace(rest, entering, F.lit("")))
-        less = F.when(full, _term(n_out) - _term(n_out - 1)).otherwise(F.lit(0.0))
-        total = acc["sum"] - less + _term(n_in + 1) - _term(n_in)
+    """Most bits per character of any window of so many characters of ALPHABET. A count per character is kept: at each step
+    the entering one's grows and the leaving one's falls, and the sum of c log2 c over the counts c changes by the terms of
+    these two only. So the work grows with the length of the value, not with its square."""
+    codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    leaving = F.slice(F.concat(F.array_repeat(F.lit(0), width), codes), F.lit(1), F.greatest(F.size(codes), F.lit(0)))
+
+    def step(acc: Column, x: Column) -> Column:
+        counts, enters, leaves = acc["counts"], x["enters"], x["leaves"]
+        n_out = F.when(leaves > 0, F.get(counts, leaves))
+        n_in = F.get(counts, enters) - F.when(enters == leaves, 1).otherwise(0)
+        total = acc["sum"] - F.coalesce(_term(n_out) - _term(n_out - 1), F.lit(0.0)) + _term(n_in + 1) - _term(n_in)
+        changed = F.transform(counts, lambda c, i: c + F.when(i == enters, 1).otherwise(0) - F.when((i == leaves) & (i > 0), 1).otherwise(0))
+        left = acc["left"] - 1
         return F.struct(
-            F.concat(rest, entering).alias("window"),
-            total.alias("sum"),
-            F.when(i >= width, F.least(acc["least"], total)).otherwise(acc["least"]).alias("least"),
+            changed.alias("counts"), total.alias("sum"), left.alias("left"), F.when(left <= 0, F.least(acc["least"], total)).otherwise(acc["least"]).alias("least")
         )
 
-    start = F.struct(F.lit("").alias("window"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("least"))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(value)), start, step, lambda acc: F.lit(width).cast("double") * 0 + F.log2(F.lit(float(width))) - acc["least"] / width
-    )
+    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(width).alias("left"), F.lit(1e9).alias("least"))
+    steps = F.arrays_zip(codes.alias("enters"), leaving.alias("leaves"))
+    return F.aggregate(steps, start, step, lambda acc: F.log2(F.lit(float(width))) - acc["least"] / width)
 
 
 def char_class(value: Column) -> Column:
