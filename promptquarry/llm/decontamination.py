@@ -3,11 +3,12 @@ verified by exact weighted-shingle similarity.
 
 The benchmark is the query set; it is held in blocks of at most BLOCK_WORDS words, each compared with all documents.
 A window has as many words as the item it is compared with (a shorter document is one window). Only windows that
-share a shingle with an item of that length are fingerprinted: any other has similarity 0. Fingerprints have 128
-bits in 16 blocks; by pigeonhole two of them within RADIUS = 16 * (BLOCK_ERRORS + 1) - 1 bits agree in some block up to
-BLOCK_ERRORS bits, so tables of each block's values within that error find all of them. Windows of similarity
-0.8 differ in 19 bits on average (standard deviation 4), far inside the radius of 47. What is found is verified by the
-weighted Jaccard similarity of the shingle multisets.
+share a shingle with an item of that length are fingerprinted: any other has similarity 0. Fingerprints have 192
+bits in 12 blocks of 16; by pigeonhole two of them within RADIUS = 12 * (BLOCK_ERRORS + 1) - 1 bits agree in some block up
+to BLOCK_ERRORS bits. Each block has a table from every value within that error to the items, so a lookup per block finds
+all of them; of pairs that have nothing in common one in eight meets. Windows of similarity 0.8 differ in 28 bits on
+average (standard deviation 5), inside the radius of 47. What is found is verified by the weighted Jaccard similarity of
+the shingle multisets.
 
 Defined cases: words are compared with A-Z lower-cased; an item of fewer words than a shingle is one shingle, its whole
 sequence, found only where a document has that very sequence; null or empty items and documents match nothing;
@@ -23,33 +24,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, words_count
+from .common import stored, text_batches, words_count
 from .shingles import as_bytes, chunks, mix64, word_shingles, words
 
 WIDTH = 5
 SIMILARITY = 0.8
-BLOCKS, BLOCK_ERRORS = 16, 2
+BLOCKS, BLOCK_ERRORS = 12, 3
 RADIUS = BLOCKS * (BLOCK_ERRORS + 1) - 1
 BLOCK_WORDS = 2_000_000
 FILTER_BITS = 1 << 20
 STARTS = 4096
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+_POPCOUNT = np.array([i.bit_count() for i in range(1 << 16)], np.uint8)
+#: What values of a block within BLOCK_ERRORS bits differ by.
+_NEAR = np.flatnonzero(_POPCOUNT <= BLOCK_ERRORS).astype(np.uint16)
+_SEEDS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 SCHEMA = "doc_id long, item_id long, start_word long, similarity double"
 
 
 def votes(shingles: np.ndarray) -> np.ndarray:
     """Running sums of the shingles' bits as -1 and 1: row i has the sum of the first i."""
-    halves = np.stack([mix64(shingles ^ np.uint64(0xA0761D6478BD642F)), mix64(shingles ^ np.uint64(0xE7037ED1A0B428DB))], 1)
-    bits = np.unpackbits(np.ascontiguousarray(halves).view(np.uint8).reshape(len(shingles), BLOCKS), axis=1).astype(np.int32) * 2 - 1
+    parts = np.stack([mix64(shingles ^ np.uint64(s)) for s in _SEEDS], 1)
+    bits = np.unpackbits(np.ascontiguousarray(parts).view(np.uint8).reshape(len(shingles), 2 * BLOCKS), axis=1).astype(np.int32) * 2 - 1
     return np.concatenate([np.zeros((1, bits.shape[1]), np.int32), np.cumsum(bits, 0, dtype=np.int32)])
 
 
 def fingerprints(shingles: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """SimHash of each window of so many shingles, as 16 bytes. Windows are taken in runs, so long texts need no more room."""
-    out = np.empty((len(starts), BLOCKS), np.uint8)
+    """SimHash of each window of so many shingles, as BLOCKS words of 16 bits. Windows are taken in runs, so long texts need
+    no more room."""
+    out = np.empty((len(starts), 2 * BLOCKS), np.uint8)
     for i in range(0, len(starts), STARTS):
         part = starts[i : i + STARTS]
         cuts = np.flatnonzero(np.diff(part) > width) + 1
@@ -58,7 +64,7 @@ def fingerprints(shingles: np.ndarray, starts: np.ndarray, width: int) -> np.nda
             sums = votes(shingles[lo:hi])
             at = part[run] - lo
             out[i + run] = np.packbits(sums[np.minimum(at + width, len(sums) - 1)] - sums[at] >= 0, axis=1)
-    return out
+    return out.view(np.uint16)
 
 
 def weighted_similarity(window: np.ndarray, values: np.ndarray, counts: np.ndarray) -> float:
@@ -77,14 +83,24 @@ class Group:
         self.width, self.ids = width, [i for i, _ in items]
         self.sets = [np.unique(s, return_counts=True) for _, s in items]
         self.prints = np.concatenate([fingerprints(s, np.zeros(1, np.int64), width) for _, s in items])
-        values = np.arange(256, dtype=np.uint8)
-        self.near = [_POPCOUNT[self.prints[:, b][None, :] ^ values[:, None]] <= BLOCK_ERRORS for b in range(BLOCKS)]
+        item = np.repeat(np.arange(len(items), dtype=np.int32), len(_NEAR))
+        self.tables = []
+        for b in range(BLOCKS):
+            values = (self.prints[:, b, None] ^ _NEAR).reshape(-1)
+            order = np.argsort(values, kind="stable")
+            self.tables.append((np.searchsorted(values[order], np.arange((1 << 16) + 1)), item[order]))
+
+    def met(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and items that some block's table brings together."""
+        codes = []
+        for b, (bounds, item) in enumerate(self.tables):
+            lo, n = bounds[prints[:, b]], np.diff(bounds)[prints[:, b]]
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            codes.append(np.repeat(np.arange(len(prints)), n) * len(self.ids) + item[at])
+        return np.divmod(np.unique(np.concatenate(codes)), len(self.ids))
 
     def within_radius(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        met = np.zeros((len(prints), len(self.ids)), bool)
-        for b in range(BLOCKS):
-            met |= self.near[b][prints[:, b]]
-        w, i = np.nonzero(met)
+        w, i = self.met(prints)
         ok = _POPCOUNT[prints[w] ^ self.prints[i]].sum(1) <= RADIUS
         return w[ok], i[ok]
 
@@ -175,13 +191,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for block in range(n_blocks):
         own = items.filter(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == block) if n_blocks > 1 else items
-        found = _against(docs, [(r["item_id"], *as_bytes([r["text"]])) for r in own.collect()])
+        found, held = _against(docs, [(r["item_id"], *as_bytes([r["text"]])) for r in own.collect()])
+        if n_blocks > 1:  # one block at a time is held, here and on the executors
+            found = stored(found, "leaks")
+            held.destroy()
         out = found if out is None else out.unionByName(found)
     best = F.max(F.struct("similarity", (-F.col("start_word")).alias("at")))
     return out.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", (-F.col("best.at")).alias("start_word"), F.col("best.similarity").alias("similarity"))
 
 
-def _against(docs: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
+def _against(docs: DataFrame, items: list[tuple[int, bytes]]) -> tuple[DataFrame, Broadcast]:
     text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -195,7 +214,7 @@ def _against(docs: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
                     {"doc_id": ids[[r[0] for r in rows]], "item_id": pd.array([r[1] for r in rows], dtype="Int64"), "start_word": [r[2] for r in rows], "similarity": [r[3] for r in rows]}
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(scan, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(scan, SCHEMA), held
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -34,6 +34,35 @@ def test_leaks_edges(spark, hard, empty, clashing):
     assert kept.columns == clashing.columns and kept.count() == clashing.count() - 4
 
 
+def test_blocks_find_all_within_the_radius():
+    """Fingerprints at every distance up to the radius, also with their errors dealt evenly; few others meet."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    items = [(i, r.integers(0, 1 << 63, 40, dtype=np.uint64)) for i in range(60)]
+    group = decontamination.Group(40, items)
+    bits = decontamination.BLOCKS * 16
+    rows, want = [], []
+    for d in range(decontamination.RADIUS + 1):
+        for spread in (r.permutation(bits)[:d], (np.arange(d) * 16 + np.arange(d) // decontamination.BLOCKS) % bits):
+            own = np.unpackbits(group.prints[d].view(np.uint8))
+            own[spread] ^= 1
+            rows.append(np.packbits(own).view(np.uint16))
+            want.append((len(rows) - 1, d))
+    w, i = group.within_radius(np.stack(rows))
+    assert set(want) <= set(zip(w.tolist(), i.tolist()))
+    random = r.integers(0, 1 << 16, (2000, decontamination.BLOCKS)).astype(np.uint16)
+    assert len(group.met(random)[0]) < 0.15 * 2000 * len(items)
+
+
+def test_leaks_in_blocks_of_the_benchmark(spark, hard, monkeypatch):
+    items = [(1, prose(2, 150)), (2, prose(3, 120)), (5, "one two three"), (6, prose(99, 40))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontamination.leaks(hard, bench).collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 100)
+    assert sorted(map(tuple, decontamination.leaks(hard, bench).collect())) == whole and whole
+
+
 def test_language_of_held_out_rows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = language_id.identify(language_id.document_evidence(docs.withColumn("true", F.col("lang")).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang"))))).filter("doc_id % 2 = 1")
@@ -81,6 +110,20 @@ def test_warc_edges(spark):
     assert warc.archive_round_trip(pages.filter("false")).count() == 0
 
 
+def test_warc_of_hot_pages(spark, monkeypatch):
+    """One payload on a third of the pages, others twice or once; many read tasks."""
+    monkeypatch.setattr(warc, "HOT_SHARE", 4)
+    monkeypatch.setattr(warc, "PART_RECORDS", 20)
+    rows = [(i, f"http://h/{i}", "hot" if i % 3 == 0 else f"page {i // 2 if i % 5 else i}") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = warc.archive_round_trip(pages)
+    last = {}
+    for i, _, html in rows:
+        last[html] = max(i, last.get(html, 0))
+    assert {r["page_id"]: r["refers_to"] for r in got.collect()} == {i: None if last[h] == i else last[h] for i, _, h in rows}
+    assert got.rdd.getNumPartitions() == 10
+
+
 def test_token_counts(spark, hard, hard_rows, empty, clashing):
     encoding, lengths = token_counts.encoder(token_counts.VOCABULARY, token_counts.PATTERN)
     got = {r["doc_id"]: r for r in token_counts.attribute_tokens(hard).collect()}
@@ -187,6 +230,20 @@ def test_entropy_by_increments(spark):
         assert abs(r["h"] - max(brute.entropies(r["v"]))) < 1e-9
 
 
+def test_long_candidates(spark):
+    """Work grows with the length of a candidate."""
+    import random
+    import string
+    import time
+
+    r = random.Random(6)
+    long = "".join(r.choices(string.ascii_letters + string.digits + "+/", k=200_000))
+    df = spark.createDataFrame([(1, "see " + long + " end"), (2, "z" * 200_000 + "+"), (3, "short")], "doc_id long, text string")
+    start = time.time()
+    got = {x["doc_id"]: x["spans"] for x in secrets.secret_spans(df).collect()}
+    assert got == {1: "entropy:4:200004", 2: "", 3: ""} and time.time() - start < 60
+
+
 def test_allow_list(spark):
     values = {"123e4567-e89b-12d3-a456-426614174000": False, "some-long-kebab-case-name-here": False, "kT9xQ2vLmZ8wRb4yNc7uJd1sG5hF0pA3": True, "00000000000000000000000000": False}
     df = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.is_secret(F.col("v")).alias("s"))
