@@ -140,14 +140,7 @@ def token_estimate(text: Column) -> Column:
 
 def sanitized(text: Column) -> Column:
     """SCL15: home folders, ports, secrets, paths and machines, in this order."""
-    kept = "|".join(V.KEPT_PORTS)
-    for pattern, by in (
-        (V.HOME_PATHS, "<USER_HOME>"),
-        (rf"localhost:(?!(?:{kept})(?!\d))\d{{4,5}}", "localhost:<PORT>"),
-        (r"(?i:(api[_-]?key|token|secret|password)\s*[:=]\s*['\"\w-]+)", "$1: <REDACTED>"),
-        (r"\/\w+\/\w+\/[^\s]+\.(?:js|ts|json|md)", "<LOCAL_PATH>"),
-        (r"(?i:(hostname|computer name|machine|device):\s*\w+)", "$1: <MACHINE>"),
-    ):
+    for pattern, by in V.SANITISED:
         text = replaced(text, pattern, by)
     return text
 

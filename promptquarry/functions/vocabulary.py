@@ -84,6 +84,14 @@ REJECTED = "__rejected__"
 # fixed values: context files, budgets and prices
 CONTEXT_FILES = {"PROJECT.md": 1.0, "CONTEXT.md": 0.9, "AGENTS.md": 0.8, "SOUL.md": 0.7, "README.md": 0.6}
 KEPT_PORTS = ("3000", "3001", "8080", "8000")
+# fixed values: what sanitising replaces, in this order
+SANITISED = (
+    (HOME_PATHS, "<USER_HOME>"),
+    (rf"localhost:(?!(?:{'|'.join(KEPT_PORTS)})(?!\d))\d{{4,5}}", "localhost:<PORT>"),
+    (r"(?i:(api[_-]?key|token|secret|password)\s*[:=]\s*['\"\w-]+)", "$1: <REDACTED>"),
+    (r"\/\w+\/\w+\/[^\s]+\.(?:js|ts|json|md)", "<LOCAL_PATH>"),
+    (r"(?i:(hostname|computer name|machine|device):\s*\w+)", "$1: <MACHINE>"),
+)
 PRICE_PER_MILLION = {"fresh": 3.0, "cached": 0.3, "out": 15.0}
 
 # fixed values: snapshots

@@ -114,7 +114,7 @@ class RecordedAnswers:
 
 
 def corpus_clarify(prompts: DataFrame, retrieved: DataFrame, generator: QuestionGenerator) -> DataFrame:
-    """CHK7: the five shapes of result. retrieved: prompt_id, n (rows found)."""
+    """CHK7: the five shapes of result; their texts are fixed values. retrieved: prompt_id, n (rows found)."""
     rows = prompts.join(retrieved, "prompt_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     answers = generator.generate(rows.filter("n > 0"))
     rows = rows.join(answers, "prompt_id", "left")
@@ -180,7 +180,8 @@ WITHOUT_CONTEXT = "- No project context available — ask for clarification if n
 
 
 def enhance(prompts: DataFrame, files: DataFrame, most: int = V.MOST_CONTEXT_TOKENS) -> DataFrame:
-    """CTX1: prompt_id, enhanced. A prompt whose project has no context files comes back as it is."""
+    """CTX1: prompt_id, enhanced. A prompt whose project has no context files comes back as it is. The headings are
+    fixed values."""
     parts = enhance_parts(prompts, files, most)
     part = F.struct((-F.col("relevance")).alias("by"), "position", F.concat(F.lit("### From "), "name", F.lit(":\n"), "content", F.lit("\n\n")).alias("text"))
     head = parts.groupBy("prompt_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), "").alias("head"))
@@ -216,12 +217,43 @@ def context_relevance(prompts: DataFrame, files: DataFrame, top: int = 3) -> Dat
     return best.select("prompt_id", "name", "score", F.array_join(F.array_intersect("wanted", "words"), ",").alias("matched"), F.col("rn").cast("int").alias("place"))
 
 
-def user_message(prompts: DataFrame, retrieved: DataFrame, most: int = 600) -> DataFrame:
-    """SCL30: a prompt and what was retrieved for it as one text. retrieved: prompt_id, pos, content."""
-    line = F.struct("pos", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("] "), F.substring("content", 1, most)).alias("text"))
-    found = retrieved.groupBy("prompt_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["text"]), "\n").alias("found"))
-    rows = prompts.join(found, "prompt_id", "left")
-    return rows.select("prompt_id", F.concat(F.lit("PROMPT:\n"), F.substring("content", 1, 1500), F.lit("\n\nPAST PROMPTS:\n"), F.coalesce("found", F.lit("(none)"))).alias("message"))
+def _shortened(text: Column, most: int) -> Column:
+    """Fixed value: the mark of a cut."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("… [truncated]"))).otherwise(text)
+
+
+def _quoted(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def user_message(prompts: DataFrame, retrieved: DataFrame, examples: DataFrame, most: int = 600) -> DataFrame:
+    """SCL30: prompt_id, message: a prompt, what was retrieved for it and past clarifications, as one text. retrieved: prompt_id,
+    pos, found_id, project_name, turn_index, content; examples: prompt_id, pos, kind, text. The wording is a fixed value."""
+    named = F.coalesce(F.nullif(F.col("project_name"), F.lit("")), F.lit("?"))
+    found = _quoted("[id=", F.col("found_id").cast("string"), "] (", named, ", turn ", F.col("turn_index").cast("string"), '): "', _shortened(F.col("content"), most), '"')
+    example = _quoted("- (kind=", F.col("kind"), ') "', _shortened(F.col("text"), most), '"')
+    lines = lambda rows, line, top, name: rows.filter(F.col("pos") <= top).groupBy("prompt_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias(name)
+    )
+    rows = prompts.join(lines(retrieved, found, 8, "found"), "prompt_id", "left").join(lines(examples, example, 6, "shown"), "prompt_id", "left")
+    message = F.concat_ws(
+        "\n", _quoted('PROMPT:\n"', F.col("content"), '"\n'),
+        F.when(F.col("found").isNotNull(), _quoted("PAST PROMPTS (top retrieved from your corpus):\n", F.col("found"), "\n")),
+        F.when(F.col("shown").isNotNull(), _quoted("PAST CLARIFICATIONS (concrete examples of how you typically nail down ambiguities):\n", F.col("shown"), "\n")),
+        F.lit("Use the submit_questions tool. Be honest about skip_reason if no clarification is warranted."),
+    )
+    return rows.select("prompt_id", message.alias("message"))
+
+
+def extractor_message(pairs: DataFrame, most: int = 1500) -> DataFrame:
+    """SCL30: pair_id, message: both prompts of a rule pair and the rule's verdict. The wording is a fixed value. pairs:
+    pair_id, orig_content, clar_content, clarification_kind, clarification_text."""
+    message = F.concat_ws(
+        "\n", _quoted('ORIG: "', _shortened(F.col("orig_content"), most), '"'), _quoted('CLAR: "', _shortened(F.col("clar_content"), most), '"'),
+        _quoted("RULE LABELER: kind=", F.col("clarification_kind"), ', extracted="', F.substring(_shortened(F.col("clarification_text"), most), 1, 300), '"'),
+        F.lit(""), F.lit("Use the submit_verdict tool. Be honest about kind refinements; do not rubber-stamp."),
+    )
+    return pairs.select("pair_id", message.alias("message"))
 
 
 def scrubbed(text: Column) -> Column:

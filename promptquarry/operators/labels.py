@@ -63,12 +63,12 @@ def unlabeled_pairs(pairs: DataFrame, prompts: DataFrame, projects: DataFrame, o
 
 
 def wide_cases(pairs: DataFrame, prompts: DataFrame, projects: DataFrame, own: str = OWN_TOOL) -> DataFrame:
-    """JN10, AGG16: per origin the first llm pair without a content-equivalent manual label."""
+    """JN10, AGG16: of each origin and clarifier the first llm pair, unless a manual label has the same contents."""
     rows = with_contents(by_method(pairs, "llm"), prompts)
     done = with_contents(by_method(pairs, "manual"), prompts).select(*CONTENT_KEY).distinct()
     rows = rows.join(done, CONTENT_KEY, "left_anti").join(projects.select("project_id", "name", "cwd"), "project_id").filter(foreign_project(F.col("name"), F.col("cwd"), own))
-    first = F.min_by(F.struct("pair_id", "clarification_kind", "clarification_text"), "pair_id").alias("p")
-    return rows.groupBy(*CONTENT_KEY).agg(first).select("session_id", "p.*")
+    first = F.min_by(F.struct("session_id", "pair_id", "clarification_kind", "clarification_text"), "pair_id").alias("p")
+    return rows.groupBy("originating_prompt_id", "clarifying_prompt_id").agg(first).select("p.*")
 
 
 def retry_missing(pairs: DataFrame) -> DataFrame:
@@ -114,17 +114,6 @@ def with_method_rows(pairs: DataFrame, new: DataFrame, method: str, version: str
     return pairs.filter(~((F.col("extraction_method") == method) & F.col("extractor_version").eqNullSafe(F.lit(version)))).unionByName(new)
 
 
-def accepted_verdicts(verdicts: DataFrame) -> DataFrame:
-    """LAB3, SNK8: verdicts that become llm pairs: accepted ones with a kind and a text."""
-    return verdicts.filter("error_class IS NULL AND accepted AND coalesce(kind, '') <> '' AND coalesce(text, '') <> ''")
-
-
-def verdict_tally(verdicts: DataFrame) -> DataFrame:
-    """AGG21: counts by outcome and by error class and status."""
-    outcome = F.when(F.col("error_class").isNotNull(), "failed").when(F.col("accepted"), "accepted").otherwise("rejected")
-    return verdicts.groupBy(outcome.alias("outcome"), "error_class", "error_status").agg(F.count("*").alias("n"))
-
-
 def balanced_sample(pairs: DataFrame, prompts: DataFrame, per_project: int, top: int = 2, seed: str = "pairs-1") -> DataFrame:
     """SRT9: so many rule pairs of each of the projects that have most of them, in hash order."""
     rule = by_method(pairs, "rule").join(prompts.select(F.col("prompt_id").alias("originating_prompt_id"), "project_id"), "originating_prompt_id")

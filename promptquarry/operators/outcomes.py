@@ -8,17 +8,29 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 
 
+#: A content hash is common if more than one in so many rows of files has it.
+COMMON_SHARE = 2_000
+#: Snapshots on one side of a common hash that one task pairs.
+SLICE = 4096
+
+
 def snapshot_overlap(files: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """JN19: left_id, right_id, jaccard of every pair of snapshots with a common content hash. files: snapshot_id,
-    content_hash. An equi-join on the hash and counts; pairs without a common hash have 0 and don't arise."""
+    content_hash. An equi-join on the hash and counts; pairs without a common hash have 0 and don't arise. The pairs of a
+    common hash, of which there are fewer than COMMON_SHARE, are made in slices of the left side, so no task has them all."""
     own = files.select("snapshot_id", "content_hash").distinct()
     sizes = own.groupBy("snapshot_id").agg(F.count("*").alias("n"))
-    a = own.join(left.select(F.col("snapshot_id")), "snapshot_id", "left_semi").select(F.col("snapshot_id").alias("left_id"), "content_hash")
-    b = own.join(right.select(F.col("snapshot_id")), "snapshot_id", "left_semi").select(F.col("snapshot_id").alias("right_id"), "content_hash")
-    common = a.join(b, "content_hash").groupBy("left_id", "right_id").agg(F.count("*").alias("common"))
-    common = common.join(sizes.select(F.col("snapshot_id").alias("left_id"), F.col("n").alias("n1")), "left_id")
-    common = common.join(sizes.select(F.col("snapshot_id").alias("right_id"), F.col("n").alias("n2")), "right_id")
-    return common.select("left_id", "right_id", (F.col("common") / (F.col("n1") + F.col("n2") - F.col("common"))).alias("jaccard"))
+    counts = own.groupBy("content_hash").agg(F.count("*").alias("k"))
+    total = int(counts.agg(F.sum("k")).first()[0] or 0)
+    least = max(SLICE, -(-total // COMMON_SHARE))
+    hot = F.broadcast(counts.filter(F.col("k") > least).select("content_hash", F.ceil(F.col("k") / SLICE).cast("int").alias("slices")))
+    sliced = own.join(hot, "content_hash", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    a = sliced.join(left.select("snapshot_id"), "snapshot_id", "left_semi").select(F.col("snapshot_id").alias("left_id"), "content_hash", F.pmod(F.xxhash64("snapshot_id"), F.col("slices")).cast("int").alias("slice"))
+    b = sliced.join(right.select("snapshot_id"), "snapshot_id", "left_semi").select(F.col("snapshot_id").alias("right_id"), "content_hash", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    pairs = a.join(b, ["content_hash", "slice"]).groupBy("left_id", "right_id").agg(F.count("*").alias("common"))
+    pairs = pairs.join(sizes.select(F.col("snapshot_id").alias("left_id"), F.col("n").alias("n1")), "left_id")
+    pairs = pairs.join(sizes.select(F.col("snapshot_id").alias("right_id"), F.col("n").alias("n2")), "right_id")
+    return pairs.select("left_id", "right_id", (F.col("common") / (F.col("n1") + F.col("n2") - F.col("common"))).alias("jaccard"))
 
 
 def successors(sessions: DataFrame) -> DataFrame:
@@ -57,3 +69,10 @@ def trash_remap(sessions: DataFrame, snapshots: DataFrame, files: DataFrame) ->
     best = Window.partitionBy("right_id").orderBy(F.desc("jaccard"), "project_id", "at", "started_at", "session_id")
     overlap = snapshot_overlap(files, latest.select(F.col("left_id").alias("snapshot_id")), snapshots.filter("snapshot_type = 'trash-snapshot'"))
     return first_trash(overlap).join(own, "left_id").withColumn("rn", F.row_number().over(best)).filter("rn = 1").select(F.col("right_id").alias("snapshot_id"), "project_id")
+
+
+def upserted_outcomes(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """SNK6: outcomes by session_id; a session seen before keeps its turn_count, all else is renewed."""
+    kept = existing.select("session_id", F.col("turn_count").alias("__kept"), F.lit(True).alias("__seen"))
+    renewed = new.join(kept, "session_id", "left").withColumn("turn_count", F.when(F.col("__seen"), F.col("__kept")).otherwise(F.col("turn_count"))).drop("__kept", "__seen")
+    return renewed.unionByName(existing.join(new.select("session_id"), "session_id", "left_anti")).select(*existing.columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.porter import stem_udf
+from ..sources.store import kept
 from .labels import OWN_TOOL, foreign_project
 
 K1, B = 1.2, 0.75
@@ -43,11 +44,21 @@ def query_terms(queries: DataFrame, porter: bool = True) -> DataFrame:
     return stemmed(terms) if porter else terms
 
 
+#: A term is common if more than one in so many postings has it; postings of a common term that one task pairs.
+COMMON_SHARE, SLICE = 20_000, 8192
+
+
 def rank(terms: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
-    """FTS3: query_id, prompt_id, project_id, rank (lower is better). Document counts are of the whole index."""
+    """FTS3: query_id, prompt_id, project_id, rank (lower is better). Document counts are of the whole index. The postings of
+    common terms, of which there are fewer than COMMON_SHARE, are dealt in slices, so that no task pairs all of a term's."""
     wanted = postings.join(terms.select("term").distinct(), "term", "left_semi")
     counts = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    rows = terms.join(wanted, "term").join(counts, "term").crossJoin(F.broadcast(stats))
+    total = counts.agg(F.sum("df")).first()[0] or 0
+    common = F.broadcast(counts.filter(F.col("df") > max(SLICE, -(-total // COMMON_SHARE))).select("term", F.ceil(F.col("df") / SLICE).cast("int").alias("slices")))
+    one = F.coalesce("slices", F.lit(1))
+    dealt = wanted.join(common, "term", "left").withColumn("slice", F.pmod(F.xxhash64("prompt_id"), one).cast("int")).drop("slices")
+    asked = terms.join(counts, "term").join(common, "term", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), one - 1))).drop("slices")
+    rows = asked.join(dealt, ["term", "slice"]).crossJoin(F.broadcast(stats))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
@@ -59,7 +70,7 @@ def top(ranked: DataFrame, prompts: DataFrame, projects: DataFrame, limit: int,
     The wider cut comes before the filter, so it decides too. query_id, prompt_id, project_id, rank, pos."""
     ok = projects.filter(foreign_project(F.col("name"), F.col("cwd"), own)).select("project_id")
     order = Window.partitionBy("query_id").orderBy(F.round("rank", 9), "prompt_id")
-    near = ranked.join(F.broadcast(ok), "project_id", "left_semi").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= OVER * limit)
+    near = ranked.join(ok, "project_id", "left_semi").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= OVER * limit)
     near = near.join(prompts.select("prompt_id", "content"), "prompt_id").filter(~T.synthetic_for_search(F.col("content")))
     return near.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= limit).select("query_id", "prompt_id", "project_id", "rank", "pos")
 
@@ -68,10 +79,10 @@ def retrieve(queries: DataFrame, prompts: DataFrame, projects: DataFrame, limit:
     """FTS4, SET3, JN21: queries (query_id, text, project_id or null). Rows of the query's project; if they are fewer
     than half the limit, rows of all projects follow, without those seen."""
     postings, stats = build_index(prompts, porter)
-    ranked = rank(query_terms(queries, porter), postings, stats)
-    scope = queries.select("query_id", F.col("project_id").alias("scope"))
-    ranked = ranked.join(scope, "query_id")
-    inside = top(ranked.filter("scope IS NOT NULL AND scope = project_id").drop("scope"), prompts, projects, limit, own)
+    postings, terms = kept(postings, "postings"), kept(query_terms(queries, porter), "query-terms")
+    scope = kept(queries.select("query_id", F.col("project_id").alias("scope")), "query-scopes")
+    ranked = kept(rank(terms, postings, stats).join(scope, "query_id"), "ranked")
+    inside = kept(top(ranked.filter("scope IS NOT NULL AND scope = project_id").drop("scope"), prompts, projects, limit, own), "inside")
     counts = inside.groupBy("query_id").agg(F.count("*").alias("have"))
     need = scope.join(counts, "query_id", "left").withColumn("have", F.coalesce("have", F.lit(0)))
     half = -(-limit // 2)
@@ -79,7 +90,7 @@ def retrieve(queries: DataFrame, prompts: DataFrame, projects: DataFrame, limit:
     # of each query three times what is missing (all of it without a scope), each over-retrieved before the filter
     order = Window.partitionBy("query_id").orderBy(F.round("rank", 9), "prompt_id")
     ok = projects.filter(foreign_project(F.col("name"), F.col("cwd"), own)).select("project_id")
-    wide = ranked.drop("scope").join(need, "query_id").join(F.broadcast(ok), "project_id", "left_semi")
+    wide = ranked.drop("scope").join(need, "query_id").join(ok, "project_id", "left_semi")
     most = F.when(F.col("scope").isNull(), F.lit(limit)).otherwise(F.col("missing") * 3)
     wide = wide.withColumn("most", most).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= OVER * F.col("most"))
     wide = wide.join(prompts.select("prompt_id", "content"), "prompt_id").filter(~T.synthetic_for_search(F.col("content")))
@@ -101,3 +112,14 @@ def gold_examples(found: DataFrame, pairs: DataFrame, limit: int = 6) -> DataFra
     manual = pairs.filter("extraction_method = 'manual' AND clarification_kind IS NOT NULL").select("pair_id", F.col("originating_prompt_id").alias("prompt_id"), "clarification_kind", "clarification_text")
     order = Window.partitionBy("query_id").orderBy("pair_id")
     return found.select("query_id", "prompt_id").join(manual, "prompt_id").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= limit).drop("rn")
+
+
+def project_lookup(projects: DataFrame, names: DataFrame) -> DataFrame:
+    """SRT4: name, project_id of the project that has the name or whose folder ends in it: explicit ones first, then those
+    seen last. Letters of folders count alike in either case."""
+    folder = F.lower(F.regexp_extract("cwd", "/([^/]*)$", 1))
+    keys = F.array_distinct(F.array(F.concat(F.lit("n:"), F.col("name")), F.when(F.instr("cwd", "/") > 0, F.concat(F.lit("f:"), folder))))
+    own = projects.select("project_id", "explicit", "last_seen_at", F.explode(keys).alias("key")).filter("key IS NOT NULL")
+    wanted = names.select("name").distinct().select("name", F.explode(F.array(F.concat(F.lit("n:"), "name"), F.concat(F.lit("f:"), F.lower("name")))).alias("key"))
+    order = Window.partitionBy("name").orderBy(F.desc("explicit"), F.desc("last_seen_at"), "project_id")
+    return wanted.join(own, "key").withColumn("rn", F.row_number().over(order)).filter("rn = 1").select("name", "project_id")

@@ -138,7 +138,7 @@ CASES = ("cases", f"""
     FROM pairs JOIN prompts o ON o.prompt_id = originating_prompt_id WHERE extraction_method = 'llm'""")
 _TOK = lambda t: terms(f"lower(coalesce({t}, ''))", V.SCORE_STOP)
 SCORED = ("scored", f"""
-    SELECT case_id, gold_kind, pos, kind_match, CASE WHEN kind_match THEN greatest(j, 0.5) ELSE j END AS combined FROM (
+    SELECT case_id, gold_kind, pos, kind, kind_match, CASE WHEN kind_match THEN greatest(j, 0.5) ELSE j END AS combined FROM (
       SELECT *, coalesce(kind = gold_kind, false) AS kind_match, coalesce(len(list_intersect(q, g)) / nullif(len(list_distinct(list_concat(q, g))), 0)::DOUBLE, 0) AS j FROM (
         SELECT case_id, gold_kind, pos, kind, {_TOK('text')} AS q, {_TOK('gold_text')} AS g FROM (
           SELECT case_id, gold_kind, gold_text, q.text AS text, q.kind AS kind, row_number() OVER (PARTITION BY case_id ORDER BY q.confidence DESC NULLS LAST, i) AS pos
@@ -177,9 +177,12 @@ _NTH = "doc_id // 4 % 5 + 1"
 CONTEXT = f"(SELECT doc_id % 4 AS project_id, (['PROJECT.md', 'SOUL.md', 'AGENTS.md', 'CONTEXT.md', 'README.md'])[{_NTH}] AS name, doc_id // 4 AS position, text AS content, ([1.0, 0.7, 0.8, 0.9, 0.6])[{_NTH}]::DOUBLE AS relevance, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents)"
 
 
+def _keyword_list(text: str) -> str:
+    return f"list_filter(string_split(regexp_replace(regexp_replace(lower({text}), {sql(chr(91) + '^' + chr(92) + 'w' + chr(92) + 's]')}, ' ', 'g'), {sql(chr(92) + 's+')}, ' ', 'g'), ' '), lambda w: length(w) > 3 AND NOT list_contains({words(V.KEYWORD_STOP)}, w))"
+
+
 def _keywords(text: str) -> str:
-    parts = f"list_filter(string_split(regexp_replace(regexp_replace(lower({text}), {sql(chr(91) + '^' + chr(92) + 'w' + chr(92) + 's]')}, ' ', 'g'), {sql(chr(92) + 's+')}, ' ', 'g'), ' '), lambda w: length(w) > 3 AND NOT list_contains({words(V.KEYWORD_STOP)}, w))"
-    return distinct_in_order(parts)
+    return distinct_in_order(_keyword_list(text))
 
 
 _FIT = f"""
@@ -325,7 +328,7 @@ def oracle_sql() -> dict[str, str]:
             JOIN foreign_projects j ON j.project_id = r.project_id
             LEFT JOIN (SELECT * FROM (SELECT *, max(confidence) OVER (PARTITION BY originating_prompt_id, clarifying_prompt_id) AS most FROM pairs WHERE extraction_method = 'rule') z WHERE confidence = most) b ON b.originating_prompt_id = r.originating_prompt_id AND b.clarifying_prompt_id = r.clarifying_prompt_id
             WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM ({done}) d WHERE d.session_id = r.session_id AND d.orig_norm = r.orig_norm AND d.clar_norm = r.clar_norm)""", *LABEL_VIEWS),
-        "wide_cases": v(f"SELECT session_id, pair_id, clarification_kind, clarification_text FROM (SELECT r.*, row_number() OVER (PARTITION BY {key} ORDER BY pair_id) AS rn FROM contents r JOIN foreign_projects j ON j.project_id = r.project_id WHERE extraction_method = 'llm' AND NOT EXISTS (SELECT 1 FROM ({done}) d WHERE d.session_id = r.session_id AND d.orig_norm = r.orig_norm AND d.clar_norm = r.clar_norm)) x WHERE rn = 1", *LABEL_VIEWS),
+        "wide_cases": v(f"SELECT session_id, pair_id, clarification_kind, clarification_text FROM (SELECT r.*, row_number() OVER (PARTITION BY originating_prompt_id, clarifying_prompt_id ORDER BY pair_id) AS rn FROM contents r JOIN foreign_projects j ON j.project_id = r.project_id WHERE extraction_method = 'llm' AND NOT EXISTS (SELECT 1 FROM ({done}) d WHERE d.session_id = r.session_id AND d.orig_norm = r.orig_norm AND d.clar_norm = r.clar_norm)) x WHERE rn = 1", *LABEL_VIEWS),
         "retry_missing": v("SELECT pair_id, originating_prompt_id, clarifying_prompt_id FROM pairs p WHERE extraction_method = 'rule' AND NOT EXISTS (SELECT 1 FROM pairs q WHERE q.extraction_method = 'llm' AND q.originating_prompt_id = p.originating_prompt_id)", *PAIR_VIEWS),
         "gold_progress": v(f"SELECT total, accepted, rejected, gold_total - total AS remaining, gold_total FROM (SELECT count(*) AS total, count(kind) AS accepted, count(*) - count(kind) AS rejected FROM (SELECT {key}, max(clarification_kind) AS kind FROM contents c JOIN foreign_projects USING (project_id) WHERE extraction_method = 'manual' AND extractor_version = 'v1' GROUP BY {key}) m), (SELECT count(DISTINCT session_id || '|' || orig_norm || '|' || clar_norm) AS gold_total FROM contents JOIN foreign_projects USING (project_id) WHERE extraction_method = 'llm')", *LABEL_VIEWS),
         "backfill_rows": v("SELECT p.pair_id, max(r.clarification_kind) AS rule_kind, max(r.clarification_text) AS rule_text FROM pairs p LEFT JOIN pairs r ON r.extraction_method = 'rule' AND r.originating_prompt_id = p.originating_prompt_id AND r.clarifying_prompt_id = p.clarifying_prompt_id WHERE p.extraction_method = 'llm' AND (p.reason IS NULL OR p.reason = '') GROUP BY 1", *PAIR_VIEWS),
@@ -354,11 +357,13 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN h.head IS NOT NULL THEN '## Project Context' || chr(10) || chr(10) || h.head ELSE '' END || '## User Request' || chr(10) || chr(10) || p.content || chr(10) || chr(10) || '## Instructions' || chr(10) || chr(10) ||
               CASE WHEN h.head IS NOT NULL THEN '{checks.WITH_CONTEXT}' ELSE '{checks.WITHOUT_CONTEXT}' END END AS enhanced
             FROM prompts p LEFT JOIN (SELECT prompt_id, string_agg({head}, '' ORDER BY relevance DESC, position) AS head FROM (SELECT *, {_CUT_TEXT} AS c FROM ({_FIT}) x WHERE all_before AND (fits OR rest > 500)) y GROUP BY 1) h ON h.prompt_id = p.prompt_id WHERE p.role = 'user'"""),
-        "context_relevance": v(f"""SELECT prompt_id, name, round(score, 6) AS score, array_to_string(matched, ',') AS matched, place FROM (
-              SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY round(score, 9) DESC, position) AS place FROM (
-                SELECT prompt_id, name, position, matched, len(matched) / greatest(len(wanted), 1)::DOUBLE * 0.5 + relevance * 0.3 + least(length(content) / 5000.0::DOUBLE, 1.0) * 0.2 AS score FROM (
-                  SELECT p.prompt_id, f.name, f.position, f.content, f.relevance, p.wanted, list_filter(p.wanted, lambda w: list_contains(f.words, w)) AS matched
-                  FROM (SELECT prompt_id, project_id, {_keywords('content')} AS wanted FROM prompts WHERE role = 'user') p JOIN (SELECT *, {_keywords('content')} AS words FROM {CONTEXT} g) f ON f.project_id = p.project_id) x) y) z WHERE place <= 3"""),
+        "context_relevance": v(
+            "SELECT prompt_id, name, round(score, 6) AS score, coalesce(matched, '') AS matched, place FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY round(score, 9) DESC, position) AS place FROM scored_files) x WHERE place <= 3",
+            ("wanted", f"SELECT prompt_id, project_id, {_keywords('content')} AS wanted FROM prompts WHERE role = 'user'"),
+            ("context", f"SELECT project_id, name, position, relevance, length(content) AS length, list_distinct({_keyword_list('content')}) AS words FROM {CONTEXT} g"),
+            ("common", "SELECT prompt_id, position, count(*) AS n, string_agg(word, ',' ORDER BY i) AS matched FROM (SELECT prompt_id, project_id, unnest(wanted) AS word, unnest(range(len(wanted))) AS i FROM wanted) p JOIN (SELECT project_id, position, unnest(words) AS word FROM context) f USING (project_id, word) GROUP BY 1, 2"),
+            ("scored_files", "SELECT p.prompt_id, f.name, f.position, m.matched, coalesce(m.n, 0) / greatest(len(p.wanted), 1)::DOUBLE * 0.5 + f.relevance * 0.3 + least(f.length / 5000.0::DOUBLE, 1.0) * 0.2 AS score FROM wanted p JOIN context f ON f.project_id = p.project_id LEFT JOIN common m ON m.prompt_id = p.prompt_id AND m.position = f.position"),
+        ),
         "tool_call_asof": "SELECT event_id, user_id, turn_event_id FROM (SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS turn_event_id FROM events) x WHERE event_type <> 'view' AND turn_event_id IS NOT NULL",
         "turn_numbers": "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS turn_index FROM events WHERE event_type = 'view'",
         "event_props_json": "SELECT event_id, TRY_CAST(regexp_extract(props, '^\\s*\\{\\s*\"k\"\\s*:\\s*(-?[0-9]+)\\s*\\}\\s*$', 1) AS BIGINT) AS k FROM events",

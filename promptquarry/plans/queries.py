@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import checks, dedupe, events, labels, outcomes, pairs, scoring, search, stats
+from ..operators import checks, dedupe, evaluation, events, labels, outcomes, pairs, scoring, search, stats, verdicts
+from ..sources import snapshots as S
+from ..sources import store, transcripts
+from . import recorded
 from .fixture import open_corpus
 
 _QUERIES: dict[str, Callable] = {}
@@ -41,7 +45,7 @@ class Corpus:
     def rule_pairs(self) -> DataFrame:
         return pairs.clarifying_pairs(self.prompts)
 
-    @property
+    @cached_property
     def pairs(self) -> DataFrame:
         """Rule, llm and manual pairs with ids; llm and manual ones follow from the rule ones by fixed rules."""
         code = {"files": 1, "criteria": 2, "constraints": 3, "tests": 4, "shape": 5, "ui": 6}
@@ -55,7 +59,7 @@ class Corpus:
             F.when(k % 7 == 0, F.struct((k * 10 + 2).alias("pair_id"), F.lit("manual").alias("extraction_method"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("reason"), F.when(k % 14 != 0, F.col("clarification_kind")).alias("kind"))),
         )
         each = rule.select("session_id", "originating_prompt_id", "clarifying_prompt_id", "clarification_text", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r"))
-        return each.select("r.pair_id", "session_id", "originating_prompt_id", "clarifying_prompt_id", F.col("r.kind").alias("clarification_kind"), "clarification_text", "r.extraction_method", F.lit("v1").alias("extractor_version"), "r.confidence", "r.reason")
+        return store.kept(each.select("r.pair_id", "session_id", "originating_prompt_id", "clarifying_prompt_id", F.col("r.kind").alias("clarification_kind"), "clarification_text", "r.extraction_method", F.lit("v1").alias("extractor_version"), "r.confidence", "r.reason"), "pairs")
 
     @property
     def snapshots(self) -> DataFrame:
@@ -452,5 +456,286 @@ def pii_scrub(c: Corpus) -> DataFrame:
     return c.documents.select("doc_id", checks.scrubbed(F.col("text")).alias("scrubbed"))
 
 
+def _transcripts(c: Corpus) -> dict[str, DataFrame]:
+    """What the ingest makes of transcript files that are written from the conversations."""
+    root = store.scratch_folder(c.spark, "transcripts")
+    recorded.transcript_files(c.raw_turns).write.partitionBy("file").text(root)
+    return transcripts.ingest(c.spark, root, pattern="*.txt")
+
+
+@query
+def transcript_sessions(c: Corpus) -> DataFrame:
+    """SRC1, SRC4, SRC5, AGG23, FLT2."""
+    s = _transcripts(c)["sessions"]
+    return s.select("session_id", "cwd", "started_at", "ended_at", "model", "user_type", "scheduled_task_id", "eligible", "project_name", F.col("turn_count").cast("long").alias("turn_count"))
+
+
+@query
+def transcript_prompts(c: Corpus) -> DataFrame:
+    """ING1, FLT3, FLT5, WIN5."""
+    return _transcripts(c)["prompts"].select("session_id", "turn_index", "role", "content", "timestamp", "has_files", "has_tests", "eligible")
+
+
+@query
+def transcript_order(c: Corpus) -> DataFrame:
+    """SRT10: ids follow folder, file and turn."""
+    p = _transcripts(c)["prompts"].select("session_id", "turn_index", (F.shiftright("prompt_id", transcripts.TURN_BITS)).alias("file_no"))
+    return p.groupBy("session_id").agg(F.min("file_no").alias("file_no"), F.count("*").alias("turns"))
+
+
+@query
+def transcript_tool_calls(c: Corpus) -> DataFrame:
+    """SCL23, JN24."""
+    calls = _transcripts(c)["tool_calls"]
+    return calls.groupBy("session_id", "tool_name", "operation", "file_path").agg(F.count("*").alias("n"))
+
+
+@query
+def transcript_projects(c: Corpus) -> DataFrame:
+    """SNK2."""
+    return _transcripts(c)["projects"].select("project_id", "name", "cwd", "last_seen_at")
+
+
+@query
+def tool_result_lines(c: Corpus) -> DataFrame:
+    """FLT4: lines whose message holds the result of a tool."""
+    rows = recorded.transcript_lines(c.raw_turns).select("conv_id", "turn", F.try_parse_json("line").alias("v")).filter("v IS NOT NULL")
+    has = transcripts.has_tool_result(F.try_variant_get("v", "$.message.content", "variant"))
+    return rows.groupBy("conv_id").agg(F.count_if(has).alias("n_results"), F.count("*").alias("n_lines"))
+
+
+@query
+def audit_sessions(c: Corpus) -> DataFrame:
+    """SRC2, SRC3, SRC6, JN20, SCL22: audits with and without a manifest beside them."""
+    lines = recorded.audit_lines(c.raw_turns).select("path", "line_no", F.try_parse_json("line").alias("v"))
+    manifests = transcripts.manifest_rows(recorded.manifests(c.raw_turns))
+    s = transcripts.with_projects(transcripts.sessions_of_audits(transcripts.read_events(lines, audit=True), manifests))
+    return s.select("session_id", "project_id", "project_name", "cwd", "title", "model", "started_at", "ended_at", "user_type", "scheduled_task_id", "eligible")
+
+
+@query
+def resumed_sessions(c: Corpus) -> DataFrame:
+    """SNK3: sessions of even ids come again with other values; those of ids over 1,000,000 are new."""
+    own = c.sessions.select("session_id", "project_id", "cwd", "started_at", F.col("source").alias("model"), F.lit("old").alias("source_path"), "title", "ended_at")
+    again = own.withColumns({x: F.concat(F.lit("new "), F.col(x)) for x in ("cwd", "started_at", "model", "source_path", "title", "ended_at")}).withColumn("project_id", F.col("project_id") + 100)
+    new = again.filter("session_id % 2 = 0").unionByName(again.filter("session_id % 3 = 0").withColumn("session_id", F.col("session_id") + 1_000_000))
+    return transcripts.merged_sessions(own, new)
+
+
+@query
+def rewritten_prompts(c: Corpus) -> DataFrame:
+    """SNK1: the rows of sessions that are written again are replaced."""
+    own = c.prompts.select("prompt_id", "session_id", "turn_index", F.lit(1).cast("long").alias("version"))
+    return transcripts.replaced_rows(own, own.filter("session_id % 4 = 0 AND turn_index % 2 = 0").withColumn("version", F.lit(2).cast("long")))
+
+
+def _code_files(c: Corpus) -> DataFrame:
+    """Documents as files of audit folders: sessions by doc_id, names by their place."""
+    d = c.documents
+    folder = F.concat(F.lit("file:/audits/local_"), (F.col("doc_id") % 97).cast("string"))
+    path = F.concat(folder, F.when(F.col("doc_id") % 3 == 0, "/notes/").otherwise("/outputs/src/"), F.col("doc_id").cast("string"), F.lit(".py"))
+    content = F.col("text").cast("binary")
+    return d.select(path.alias("path"), F.sha2(content, 256).alias("content_hash"), F.octet_length("text").cast("long").alias("size_bytes"), content.alias("content"))
+
+
+@query
+def stored_blobs(c: Corpus) -> DataFrame:
+    """SNK4, SCL29: contents that aren't stored yet, once each; those over 1,024 bytes compressed."""
+    files = _code_files(c)
+    old = c.documents.filter("doc_id % 5 = 0").select(F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    return S.new_blobs(files, old).select("content_hash", "is_compressed")
+
+
+@query
+def session_snapshots(c: Corpus) -> DataFrame:
+    """SNP1, AGG20: outputs folders of eligible audit sessions; files elsewhere and other sessions give none."""
+    sessions = c.sessions.select(F.concat(F.lit("s"), F.col("session_id").cast("string")).alias("session_id"), "project_id", F.when(F.col("session_id") % 4 != 1, "cowork").otherwise("claude-code").alias("source"), F.concat(F.lit("file:///audits/local_"), F.col("session_id").cast("string")).alias("source_path"), "ended_at", "eligible")
+    return S.session_snapshots(sessions, _code_files(c))[0]
+
+
+@query
+def new_snapshots(c: Corpus) -> DataFrame:
+    """SNK5, FLT17: snapshots not known by path, type and (null-safe) session."""
+    rows = c.snapshots.select((F.col("snapshot_id") % 50).alias("p"), "snapshot_type", "session_id", F.pmod("snapshot_id", F.lit(7)).alias("file_count"), "snapshot_id")
+    rows = rows.withColumn("source_path", F.concat(F.lit("/p/"), F.col("p").cast("string"))).drop("p")
+    return S.new_snapshots(rows, rows.filter("snapshot_id % 9 = 0").select("source_path", "snapshot_type", "session_id").distinct()).select("snapshot_id", "source_path", "snapshot_type", "session_id")
+
+
+@query
+def trash_projects(c: Corpus) -> DataFrame:
+    """SRC14, SCL25: trash folders and the projects that they stand for."""
+    names = F.array(*[F.lit(n) for n in ("My App 8.44.09 AM", "old--site", "Émile's Shop", "plain", "-x- 12.01.59 pm")])
+    rel = F.concat(F.element_at(names, (F.col("doc_id") % 5 + 1).cast("int")), F.when(F.col("doc_id") % 6 != 0, "/a/b.py").otherwise(""))
+    rows = S.trash_folders(c.documents.select(rel.alias("relative_path"), F.length("text").cast("long").alias("size_bytes")))
+    return S.snapshots_of(rows, ["folder", "project_id"])
+
+
+@query
+def replaced_rule_pairs(c: Corpus) -> DataFrame:
+    """SNK7: this version's rule pairs are replaced, all others stay."""
+    own = c.pairs
+    new = labels.by_method(own, "rule").filter("pair_id % 20 = 0").withColumns({"pair_id": F.col("pair_id") + 5, "confidence": F.lit(0.9)})
+    return labels.with_method_rows(own, new, "rule", "v1").select("pair_id", "extraction_method", "confidence")
+
+
+def _judged(c: Corpus, retry: bool = False) -> DataFrame:
+    rule = labels.by_method(c.pairs, "rule")
+    return verdicts.judged(c.pairs, c.normalized, verdicts.RecordedVerdicts(recorded.verdicts(rule)), "v1", retry)
+
+
+@query
+def verdict_pairs(c: Corpus) -> DataFrame:
+    """LAB3, LLM2, SNK8."""
+    return verdicts.accepted_rows(_judged(c)).drop("session_id", "extraction_method")
+
+
+@query
+def verdict_failures(c: Corpus) -> DataFrame:
+    """SNK9."""
+    return verdicts.failed_rows(_judged(c))
+
+
+@query
+def verdict_tally(c: Corpus) -> DataFrame:
+    """AGG21."""
+    return verdicts.tally(_judged(c)).withColumns({x: F.round(x, 6) for x in ("cost_usd", "mean_latency_ms")})
+
+
+@query
+def verdict_retry(c: Corpus) -> DataFrame:
+    """LAB3: a pass that takes up what has no llm row."""
+    rows = _judged(c, retry=True)
+    return rows.groupBy("outcome").agg(F.count("*").alias("n"), F.count_if("refined").alias("refined"))
+
+
+@query
+def verdict_table(c: Corpus) -> DataFrame:
+    """LAB3: the table of pairs after a full pass."""
+    rule = labels.by_method(c.pairs, "rule")
+    out = verdicts.verdict_pass(c.pairs, c.normalized, verdicts.RecordedVerdicts(recorded.verdicts(rule)), "v1")["pairs"]
+    return out.groupBy("extraction_method", "clarification_kind").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 6).alias("confidence"))
+
+
+@query
+def manual_labels(c: Corpus) -> DataFrame:
+    """SNK10."""
+    llm = labels.by_method(c.pairs, "llm")
+    return verdicts.manual_rows(llm, recorded.decisions(llm), "v1").drop("session_id", "extraction_method", "confidence")
+
+
+@query
+def updated_reasons(c: Corpus) -> DataFrame:
+    """SNK11, LAB4."""
+    new = c.pairs.filter("pair_id % 3 = 0").select("pair_id", F.when(F.col("pair_id") % 2 == 0, F.concat(F.lit("now "), F.col("clarification_kind"))).alias("reason"))
+    return labels.with_reasons(c.pairs, new).select("pair_id", "reason")
+
+
+@query
+def outcome_upsert(c: Corpus) -> DataFrame:
+    """SNK6: known sessions keep their turn_count."""
+    new = outcomes.session_outcomes(c.sessions, c.snapshots, c.files, c.prompts)
+    old = new.filter("session_id % 3 = 0").withColumns({"outcome": F.lit("unknown"), "turn_count": F.lit(-1).cast("long")})
+    gone = new.filter("session_id % 10 = 0").withColumn("session_id", F.col("session_id") + 1_000_000)
+    return outcomes.upserted_outcomes(old.unionByName(gone), new)
+
+
+@query
+def gold_cases(c: Corpus) -> DataFrame:
+    """JN9."""
+    return evaluation.gold_cases(c.pairs, c.normalized, c.projects).select("case_id", "project_id", "originating_prompt_id", "gold_kind", "gold_text", F.length("prompt").cast("long").alias("prompt_length"))
+
+
+def _run(c: Corpus, cases: DataFrame, run_id: int) -> DataFrame:
+    cases = store.kept(cases, "cases")
+    found = evaluation.retrieved_for(cases, c.normalized, c.projects, porter=False)
+    return evaluation.run_cases(cases, found, c.pairs, checks.RecordedAnswers(recorded.answers(cases)), run_id, recorded.BUDGET_USD)
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumns({"matched_kinds": F.array_join("matched_kinds", ",", "-"), "retrieved_ids": F.array_join(F.transform("retrieved_ids", lambda x: x.cast("string")), ",")})
+    rows = rows.withColumns({x: F.round(x, 6) for x in ("overlap_at_1", "overlap_at_3", "cost_usd")}).withColumn("n_examples", F.col("n_examples").cast("long"))
+    return rows.drop("proposed_questions_json", "gold_text", "synthetic_prompt")
+
+
+@query
+def eval_gold_run(c: Corpus) -> DataFrame:
+    """EVL3, EVL4, SNK12."""
+    return _flat(_run(c, evaluation.gold_cases(c.pairs, c.normalized, c.projects), 1))
+
+
+@query
+def eval_wide_run(c: Corpus) -> DataFrame:
+    """EVL4 over llm pairs."""
+    return _flat(_run(c, evaluation.wide_cases(c.pairs, c.normalized, c.projects), 2))
+
+
+@query
+def eval_shape_run(c: Corpus) -> DataFrame:
+    """EVL4, SRC11 over the bundled prompts."""
+    return _flat(_run(c, evaluation.shape_cases(c.spark), 3)).drop("matched_kinds")
+
+
+@query
+def eval_runs(c: Corpus) -> DataFrame:
+    """SNK12."""
+    rows = evaluation.run_row(_run(c, evaluation.gold_cases(c.pairs, c.normalized, c.projects), 1), "gold")
+    return rows.withColumns({x: F.round(x, 6) for x in ("overlap_at_1", "overlap_at_3", "kind_match_rate", "total_cost_usd")})
+
+
+@query
+def search_examples(c: Corpus) -> DataFrame:
+    """FLT15, SRT5, JN14, PRJ1: past clarifications of what was found, and whether a found prompt has one."""
+    found = search.with_clarification_flag(search.retrieve(c.searches, c.normalized, c.projects, 6, porter=False), c.pairs)
+    shown = search.gold_examples(found, c.pairs).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("pair_id")), lambda x: x.cast("string")), ",").alias("pair_ids"))
+    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if("has_clarification").alias("n_clarified")).join(shown, "query_id", "left")
+
+
+@query
+def project_lookup(c: Corpus) -> DataFrame:
+    """SRT4."""
+    own = c.projects.select("project_id", "name", "cwd", (F.col("project_id") % 2).alias("explicit"), F.concat(F.lit("2025-"), (F.col("project_id") % 3).cast("string")).alias("last_seen_at"))
+    names = c.sessions.select(F.element_at(F.array(F.concat(F.lit("project-"), (F.col("session_id") % 7).cast("string")), F.concat(F.lit("P"), (F.col("session_id") % 6).cast("string"))), (F.col("session_id") % 2 + 1).cast("int")).alias("name"))
+    return search.project_lookup(own, names)
+
+
+@query
+def clarify_results(c: Corpus) -> DataFrame:
+    """CHK7, LLM1: the five shapes of result over recorded answers."""
+    own = c.user_prompts.select("prompt_id", "content")
+    retrieved = own.filter("prompt_id % 6 <> 0").select("prompt_id", F.pmod("prompt_id", F.lit(9)).alias("n"))
+    return checks.corpus_clarify(own, retrieved, checks.RecordedAnswers(recorded.clarify_answers(own))).select("prompt_id", "type", "message", "suggestion", F.coalesce(F.size("questions"), F.lit(-1)).cast("long").alias("n_questions"))
+
+
+@query
+def grounded_questions(c: Corpus) -> DataFrame:
+    """JN23."""
+    own = c.user_prompts
+    asked = own.select("prompt_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("pos")).withColumn("grounded_id", F.col("prompt_id") + F.col("pos") * 2)
+    found = asked.filter("pos < 2").join(own.select(F.col("prompt_id").alias("grounded_id"), "content"), "grounded_id").select("prompt_id", F.col("grounded_id").alias("found_id"), "content")
+    return checks.grounded(asked, found).select("prompt_id", F.col("pos").cast("long").alias("pos"), "grounded_id", "snippet")
+
+
+@query
+def generator_messages(c: Corpus) -> DataFrame:
+    """SCL30."""
+    own = c.user_prompts.select("prompt_id", "content")
+    near = c.prompts.select(F.col("prompt_id").alias("found_id"), "session_id", "turn_index", "content", F.when(F.col("project_id") != 2, F.concat(F.lit("p"), F.col("project_id").cast("string"))).alias("project_name"))
+    found = c.user_prompts.filter("prompt_id % 3 <> 0").select("prompt_id", "session_id").join(near, "session_id").withColumn("pos", F.col("found_id") % 1000 + 1)
+    shown = c.user_prompts.filter("prompt_id % 4 = 0").select("prompt_id", F.lit(1).alias("pos"), F.lit("constraint").alias("kind"), F.col("content").alias("text"))
+    return checks.user_message(own, found, shown)
+
+
+@query
+def extractor_messages(c: Corpus) -> DataFrame:
+    """SCL30 of the extractor."""
+    return checks.extractor_message(labels.with_contents(labels.by_method(c.pairs, "rule"), c.normalized))
+
+
+@query
+def session_tokens(c: Corpus) -> DataFrame:
+    """AGG20: token totals of a run of checks."""
+    return c.prompts.groupBy("session_id").agg(F.sum(T.token_estimate(F.col("content"))).alias("tokens"), F.sum(F.octet_length("content").cast("long")).alias("bytes"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)

@@ -41,7 +41,12 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e.getCondition()):
             raise
         return spark.createDataFrame([], "folder string, " + ", ".join(f"{c} string" for c in MANIFEST))
-    v = files.select(F.regexp_replace(F.col("_metadata.file_path"), r"\.json$", "").alias("folder"), F.try_parse_json("value").alias("v")).filter("v IS NOT NULL")
+    return manifest_rows(files.select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def manifest_rows(files: DataFrame) -> DataFrame:
+    """Fields of manifest files (path, value); unreadable ones are left out."""
+    v = files.select(F.regexp_replace("path", r"\.json$", "").alias("folder"), F.try_parse_json("value").alias("v")).filter("v IS NOT NULL")
     return v.select("folder", *[string_at("v", f"$.{c}").alias(c) for c in MANIFEST])
 
 
@@ -114,7 +119,7 @@ def sessions_of_projects(events: DataFrame) -> DataFrame:
         _last(string_at("v", "$.userType")).alias("user_type"), _first(string_at("v", "$.version")).alias("version"), _first(F.col("at")).alias("started_at"),
         _last(F.col("at")).alias("ended_at"), F.coalesce(_first(user), _first(queued), F.lit("")).alias("first_text"),
     )
-    base = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)
+    base = F.regexp_extract("path", r"([^/]+)\.[a-z]+$", 1)
     return rows.filter("started_at IS NOT NULL").select(
         F.lit(PROJECTS).alias("source"), F.coalesce("id", base).alias("session_id"), F.col("path").alias("source_path"), "cwd", "started_at", "ended_at",
         F.lit(None).cast("string").alias("title"), F.concat(F.lit(MODEL_PREFIX), "version").alias("model"), "git_branch",
@@ -144,14 +149,23 @@ def with_projects(sessions: DataFrame) -> DataFrame:
     })
 
 
+def numbered_files(sessions: DataFrame) -> DataFrame:
+    """SRT10: sessions with file_no, their number in the order of source, folder and path: the files before their folder,
+    and their place in it. Only one row per folder is put in order as a whole."""
+    rows = sessions.withColumn("__folder", F.regexp_extract("path", r"^(.*/)[^/]*$", 1))
+    before = Window.orderBy("source", "__folder").rowsBetween(Window.unboundedPreceding, -1)
+    folders = rows.groupBy("source", "__folder").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy("source", "__folder").orderBy("path"))
+    rows = rows.withColumn("__nth", inside).join(folders, ["source", "__folder"])
+    return rows.withColumn("file_no", (F.col("__before") + F.col("__nth")).cast("long")).drop("__folder", "__before", "__nth")
+
+
 def prompts_of(events: DataFrame, sessions: DataFrame) -> DataFrame:
     """WIN5: the turns. A user message without human text is none; an assistant's always is one. Ids follow the order
-    of source, path and turn; the only ranking is that of the files."""
+    of source, folder, file and turn. sessions with file_no."""
     turns = events.filter("role = 'assistant' OR (role = 'user' AND content <> '')")
     turns = turns.withColumn("turn_index", (F.row_number().over(Window.partitionBy("path").orderBy("line_no")) - 1).cast("long"))
-    rank = Window.orderBy("source", "path")
-    files = sessions.select("path", "session_id", "project_id", "eligible", "source").withColumn("file_no", F.row_number().over(rank).cast("long")).drop("source")
-    rows = turns.join(files, "path")
+    rows = turns.join(sessions.select("path", "session_id", "project_id", "eligible", "file_no"), "path")
     normal = T.normalized(F.col("content"))
     tags = T.prompt_tags(F.col("content"))
     return rows.select(
@@ -167,27 +181,25 @@ def tool_calls_of(prompts: DataFrame) -> DataFrame:
     return rows.select(F.struct("prompt_id", "i").alias("tool_call_id"), "prompt_id", "session_id", "u.tool_name", "u.file_path", "u.operation", F.lit(None).cast("boolean").alias("success"), "timestamp")
 
 
-def ingest(spark: SparkSession, projects_root: str | None = None, audits_root: str | None = None) -> dict[str, DataFrame]:
-    """ING1, SET5: sessions, prompts, tool_calls and projects of both sources."""
-    sources = []
-    if projects_root:
-        events = read_events(read_lines(spark, projects_root))
-        sources.append((events, sessions_of_projects(events)))
-    if audits_root:
-        events = read_events(read_lines(spark, audits_root, "audit.jsonl"), audit=True)
-        sources.append((events, sessions_of_audits(events, read_manifests(spark, audits_root))))
-    events = sources[0][0]
-    sessions = sources[0][1]
-    for e, s in sources[1:]:
-        events, sessions = events.unionByName(e), sessions.unionByName(s)
-    sessions = with_projects(sessions)
+def ingest(spark: SparkSession, projects_root: str | None = None, audits_root: str | None = None, pattern: str = "*.jsonl") -> dict[str, DataFrame]:
+    """ING1, SET5: sessions, prompts, tool_calls and projects of both sources; without a root they are empty."""
+    none = spark.createDataFrame([], "path string, line_no int, raw string").select("path", "line_no", F.try_parse_json("raw").alias("v"))
+    own = read_events(read_lines(spark, projects_root, pattern) if projects_root else none)
+    audits = read_events(read_lines(spark, audits_root, "audit.jsonl") if audits_root else none, audit=True)
+    manifests = read_manifests(spark, audits_root) if audits_root else spark.createDataFrame([], "folder string, " + ", ".join(f"{c} string" for c in MANIFEST))
+    sessions = sessions_of_projects(own).unionByName(sessions_of_audits(audits, manifests))
+    return corpus_of(own.unionByName(audits), numbered_files(with_projects(sessions)))
+
+
+def corpus_of(events: DataFrame, sessions: DataFrame) -> dict[str, DataFrame]:
+    """The tables of numbered sessions and their events."""
     prompts = prompts_of(events, sessions)
     turns = prompts.groupBy("session_id").agg(F.count("*").alias("turn_count"))
     return {
-        "sessions": sessions.join(turns, "session_id", "left").withColumn("turn_count", F.coalesce("turn_count", F.lit(0))).drop("path"),
+        "sessions": sessions.join(turns, "session_id", "left").withColumn("turn_count", F.coalesce("turn_count", F.lit(0))).drop("path", "file_no"),
         "prompts": prompts.drop("message"),
         "tool_calls": tool_calls_of(prompts),
-        "projects": merged_projects(sessions.withColumn("seq", F.monotonically_increasing_id())),
+        "projects": merged_projects(sessions.withColumn("seq", F.col("file_no"))),
     }
 
 
