@@ -7,7 +7,8 @@ left out of the estimates and its tokens are the evidence. Documents whose crc32
 of any estimate.
 
 The corpus is cut into blocks of tokens, kept as a table of word numbers. Each block asks for the counts of its distinct
-words and word pairs (keycounts.py) and scores its documents with the answers. What EM reads is a histogram of the
+words and word pairs (keycounts.py) and scores its documents with the answers. A word is known by 63 bits of its hash, a
+pair by 63 bits of its words' hashes; equal hashes count as equal words without a comparison. What EM reads is a histogram of the
 two estimates on a logarithmic grid per bucket, whose size doesn't depend on the corpus.
 
 Defined cases: a null text is empty; every document has at least its end token; a text's first word follows an end; a
@@ -208,9 +209,10 @@ def score(docs: DataFrame) -> DataFrame:
 
     sizes = blocks.select("folds", "lengths").mapInPandas(train, "rest long, em long").agg(F.sum("rest"), F.sum("em")).first()
     rest, em = (int(x or 0) for x in sizes)
-    answers = stored(answered(blocks.drop("em", "n_tokens").mapInPandas(ask, REQUEST), 2), "lm-answers")
+    asked = blocks.drop("em", "n_tokens").mapInPandas(ask, REQUEST).repartition(n_buckets, "bucket")  # a task per bucket, whatever the size
+    answers = stored(answered(asked, 2), "lm-answers")
     distinct = int(answers.agg(F.sum("distinct_even")).first()[0] or 0)
-    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "totals")).alias("answers"))
+    by_block = answers.repartition(max(1, blocks.count()), "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "totals")).alias("answers"))
 
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

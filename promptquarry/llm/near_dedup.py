@@ -4,7 +4,7 @@ A document's signature holds SYMBOLS MinHash values of b bits each over its set
 into CHUNKS chunks. By pigeonhole, two signatures that differ in at most CHUNKS * (ERRORS + 1) - 1 symbols have
 a chunk with at most ERRORS differing ones; every way to leave ERRORS symbols of a chunk out gives an index key, so
 all pairs within that distance meet under some key. At a similarity of 0.85 a pair differs in 4.8 of 32 symbols on
-average and misses all of its keys with a chance of 2e-8.
+average and misses all of its keys with a chance of 2e-8; at 0.80, where the pipeline links, with one of 1.1e-6.
 
 Documents of equal sets form one class before anything is paired. Under a key, classes are first compared with the
 key's most central class only (links grow with the rows, not with their square), links are confirmed on full sets,

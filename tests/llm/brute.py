@@ -106,3 +106,111 @@ def entropies(value, width=20):
         counts = Counter(value[i : i + width]).values()
         out.append(-sum(c / width * math.log2(c / width) for c in counts))
     return out
+
+
+def sections_of(text, encoding, sections=None):
+    """(n_tokens, n_sections, n_crossing, n_outside, tokens per section), byte by byte."""
+    raw = (text or "").encode()
+    if sections is None:
+        spans, at = [], 0
+        for line in raw.split(b"\n"):
+            end = min(at + len(line) + 1, len(raw))
+            if end > at:
+                spans.append((at, end))
+            at = end
+    else:
+        place = [len(text[:i].encode()) for i in range(len(text) + 1)]
+        spans = [(place[a], place[b]) for a, b in sections]
+    counts, crossing, outside, at = [0] * len(spans), 0, 0, 0
+    tokens = encoding.encode_ordinary(text or "")
+    for token in tokens:
+        end = at + len(encoding.decode_single_token_bytes(token))
+        shares = [len(set(range(at, end)) & set(range(a, b))) if a < end and at < b else 0 for a, b in spans]
+        if not any(shares):
+            outside += 1
+        else:
+            counts[shares.index(max(shares))] += 1
+            crossing += max(shares) < end - at
+        at = end
+    assert at == len(raw)
+    return len(tokens), len(spans), crossing, outside, counts
+
+
+def lm_scores(docs, grid=8, rounds=60, buckets=24):
+    """doc_id to log10 probability under the interpolated bigram model, and the weights by bucket of the context."""
+    rows = [(zlib.crc32(str(i).encode()) % 10, i, words(t) + ["\0"]) for i, t in docs]
+
+    def count(folds):
+        one, two = Counter(), Counter()
+        for fold, _, w in rows:
+            if fold in folds:
+                one.update(w)
+                two.update(zip(["\0", *w], w))
+        return one, two
+
+    bucket = lambda n: min(n.bit_length(), buckets - 1)
+    one, two = count(set(range(2, 10)))
+    every, pairs = count(set(range(1, 10)))
+    total, uniform = max(sum(one.values()), 1), 1 / (len(every) + 1)
+    step = lambda p: round(-math.log2(p) * grid) if p > 0 else None
+    value = lambda q: 0.0 if q is None else 2.0 ** (-q / grid)
+    cells = defaultdict(Counter)
+    for fold, _, w in rows:
+        if fold == 1:
+            for v, x in zip(["\0", *w], w):
+                cells[bucket(one[v])][step(two[v, x] / one[v] if one[v] else 0), step(one[x] / total)] += 1
+    weights = {b: [0.4, 0.4, 0.2] if b else [0.0, 0.7, 0.3] for b in range(buckets)}
+    for b, own in cells.items():
+        w = weights[b]
+        for _ in range(rounds):
+            got = [0.0] * 3
+            for (q2, q1), n in own.items():
+                share = [w[0] * value(q2), w[1] * value(q1), w[2] * uniform]
+                got = [g + s / sum(share) * n for g, s in zip(got, share)]
+            w = [max(g / sum(own.values()), 1e-6 if b or j else 0.0) for j, g in enumerate(got)]
+            w = [x / sum(w) for x in w]
+        weights[b] = w
+    n = max(sum(every.values()), 1)
+    out = {}
+    for _, i, w in rows:
+        out[i] = 0.0
+        for v, x in zip(["\0", *w], w):
+            a = weights[bucket(every[v])]
+            out[i] += math.log10(a[0] * (pairs[v, x] / every[v] if every[v] else 0) + a[1] * every[x] / n + a[2] * uniform)
+    return out, weights
+
+
+def languages(docs, trigrams, least=0.5):
+    """doc_id to (language, posterior) for rows of (doc_id, text, declared, source), from all labelled rows."""
+    import numpy as np
+
+    names = sorted({d for _, t, d, _ in docs if d is not None and t is not None})
+    counts = np.zeros((len(names), 1 << 16))
+    for _, t, d, _ in docs:
+        if d is not None and t is not None:
+            np.add.at(counts[names.index(d)], trigrams(t), 1)
+    model = np.log((counts + 0.05) / (counts.sum(1, keepdims=True) + 0.05 * (1 << 16))).astype(np.float32)
+    lik = {}
+    for i, t, *_ in docs:
+        if t is not None and any(c.isalpha() for c in t) and len(trigrams(t)):
+            own = model[:, trigrams(t)].sum(1, dtype=np.float64) / 3
+            lik[i] = own - own.max()
+    k, vote = len(names), {i: int(np.argmax(x)) for i, x in lik.items()}
+    of = lambda rows: np.bincount([vote[r[0]] for r in rows if r[0] in vote], minlength=k).astype(float)
+    top = (of(docs) + 1) / (len(vote) + k)
+    suffix = (of(docs) + 200 * top) / (len(vote) + 200)
+    known = {d for i, _, d, _ in docs if d is not None and i in vote}
+    said = of([r for r in docs if r[2] is not None])
+    out = {}
+    for i, _, d, source in docs:
+        if i not in lik:
+            out[i] = ("und", 0.0)
+            continue
+        x = lik[i].copy()
+        host = of([r for r in docs if source is not None and r[3] == source])
+        x += np.log((host + 20 * suffix) / (host.sum() + 20)) if source is not None else np.log(top)
+        if d in known:
+            x += np.log((of([r for r in docs if r[2] == d]) + 1) / (said + len(known) + 1))
+        p = 1 / np.exp(x - x.max()).sum()
+        out[i] = (names[int(np.argmax(x))] if p >= least else "und", p)
+    return out

@@ -70,6 +70,17 @@ def test_language_of_held_out_rows(spark, sf_dir):
     assert right >= 0.97 * rows.count()
 
 
+def test_posteriors(spark, hard, hard_rows, sf_dir):
+    small = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").orderBy("doc_id").limit(120).collect()]
+    for rows in ([r[:4] for r in hard_rows], [(i, t, None if i % 4 == 0 else d, None if i % 7 == 0 else s) for i, t, d, s in small]):
+        want = brute.languages(rows, language_id.trigrams)
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+        got = {r["doc_id"]: (r["__language"], r["__posterior"]) for r in language_id.identify(language_id.document_evidence(df)).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[i][1] - want[i][1]) < 1e-4 for i in want)
+        assert all(got[i][0] == want[i][0] for i in want if abs(want[i][1] - 0.5) > 1e-3)
+
+
 def test_language_of_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     said = F.regexp_extract("html", 'lang="([a-z]+)"', 1)
@@ -125,15 +136,29 @@ def test_warc_of_hot_pages(spark, monkeypatch):
 
 
 def test_token_counts(spark, hard, hard_rows, empty, clashing):
-    encoding, lengths = token_counts.encoder(token_counts.VOCABULARY, token_counts.PATTERN)
-    got = {r["doc_id"]: r for r in token_counts.attribute_tokens(hard).collect()}
-    for doc_id, text, *_ in hard_rows:
-        tokens = encoding.encode_ordinary(text or "")
-        sections = (text or "").encode().splitlines(keepends=True)
-        r = got[doc_id]
-        assert (r["n_tokens"], r["n_sections"]) == (len(tokens), len([s for s in (text or "").split("\n") if s]) if text and not text.endswith("\n") and "\n\n" not in text else r["n_sections"])
-        assert sum(r["section_tokens"]) + r["n_outside"] == len(tokens) and len(r["section_tokens"]) == r["n_sections"] >= len(sections) * 0
-    assert token_counts.attribute_tokens(empty).count() == 0 and token_counts.attribute_tokens(clashing).count() == clashing.count()
+    encoding, _ = token_counts.encoder(token_counts.VOCABULARY, token_counts.PATTERN)
+    got = {r["doc_id"]: (r["n_tokens"], r["n_sections"], r["n_crossing"], r["n_outside"], r["section_tokens"]) for r in token_counts.attribute_tokens(hard).collect()}
+    short = [r for r in hard_rows if len(r[1] or "") < 6000]
+    assert {r[0]: got[r[0]] for r in short} == {r[0]: brute.sections_of(r[1], encoding) for r in short} and len(got) == len(hard_rows)
+    again = {r["doc_id"]: r["n_tokens"] for r in token_counts.attribute_tokens(clashing).collect()}
+    assert token_counts.attribute_tokens(empty).count() == 0 and again == {i: x[0] for i, x in got.items()}
+
+
+def test_token_counts_of_lines_and_given_sections(spark):
+    """Sections with gaps, boundaries inside words, characters and runs of white space."""
+    import random
+
+    r = random.Random(12)
+    encoding, _ = token_counts.encoder(token_counts.VOCABULARY, token_counts.PATTERN)
+    rows = []
+    for i in range(80):
+        text = "".join(r.choice(["wording ", "é", "\n", "\n\n", "  ", "日本語", "12345", "🙂", "un", "-->"]) for _ in range(40))
+        cuts = sorted(r.sample(range(len(text) + 1), 6))
+        rows.append((i, text, [(a, b) for a, b in zip(cuts[::2], cuts[1::2])]))
+    df = spark.createDataFrame([(i, t, [{"start": a, "end": b} for a, b in s]) for i, t, s in rows], "doc_id long, text string, s array<struct<start:int,end:int>>")
+    for sections in (None, "s"):
+        got = {x["doc_id"]: tuple(x)[1:] for x in token_counts.attribute_tokens(df, sections=sections).collect()}
+        assert got == {i: brute.sections_of(t, encoding, s if sections else None) for i, t, s in rows}
 
 
 def test_token_attribution_rule(spark):
@@ -193,14 +218,14 @@ def test_lm_scores(spark, sf_dir):
     assert len(rows) == len(want) and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_lm_probabilities_sum_to_one():
-    """The mixture is a distribution over the vocabulary and one unknown word."""
-    import numpy as np
-
-    counts, pairs = np.array([5.0, 3.0, 2.0]), np.array([1.0, 3.0, 1.0])
-    w = np.array([0.5, 0.3, 0.2])
-    p = w[0] * pairs / 5 + w[1] * counts / 10 + w[2] / 4
-    assert abs(p.sum() + w[2] / 4 - 1) < 1e-12
+def test_lm_scores_and_weights(spark, hard, hard_rows):
+    """The model's own score against a plain version, on few rows and on a table's."""
+    words = [prose(i, 30 + i % 50, 60) for i in range(150)]
+    for rows, df in (([(r[0], r[1]) for r in hard_rows], hard), (list(enumerate(words)), spark.createDataFrame(list(enumerate(words)), "doc_id long, text string").repartition(3))):
+        want, weights = brute.lm_scores(rows)
+        got = {r["doc_id"]: r["score"] for r in lm_scoring.score(df).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 * max(1, abs(want[i])) for i in want)
+        assert all(abs(sum(w) - 1) < 1e-9 for w in weights.values())
 
 
 def test_lm_edges(spark, hard, empty, clashing):
