@@ -1,12 +1,12 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows, found by multi-index Hamming blocks and
 verified by exact weighted-shingle similarity.
 
-The benchmark is the query set; it is held in blocks of at most BLOCK_WORDS words, each compared with all documents.
+The benchmark is the query set; it is held in blocks of about BLOCK_WORDS words and BLOCK_ITEMS items, each compared with all documents.
 A window has as many words as the item it is compared with (a shorter document is one window). Only windows that
 share a shingle with an item of that length are fingerprinted: any other has similarity 0. Fingerprints have 192
-bits in 12 blocks of 16; by pigeonhole two of them within RADIUS = 12 * (BLOCK_ERRORS + 1) - 1 bits agree in some block up
-to BLOCK_ERRORS bits. Each block has a table from every value within that error to the items, so a lookup per block finds
-all of them; of pairs that have nothing in common one in eight meets. Windows of similarity 0.8 differ in 28 bits on
+bits in 16 blocks of 12; by pigeonhole two of them within RADIUS = 16 * (BLOCK_ERRORS + 1) - 1 bits agree in some block up
+to BLOCK_ERRORS bits. Each block has a table from every value within that error to the items (79 values an item), so a
+lookup per block finds all of them; of pairs that have nothing in common about a quarter meets. Windows of similarity 0.8 differ in 28 bits on
 average (standard deviation 5), inside the radius of 47. What is found is verified by the weighted Jaccard similarity of
 the shingle multisets.
 
@@ -33,12 +33,12 @@ from .shingles import as_bytes, chunks, mix64, word_shingles, words
 
 WIDTH = 5
 SIMILARITY = 0.8
-BLOCKS, BLOCK_ERRORS = 12, 3
+BLOCKS, BLOCK_BITS, BLOCK_ERRORS = 16, 12, 2
 RADIUS = BLOCKS * (BLOCK_ERRORS + 1) - 1
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS, BLOCK_ITEMS = 2_000_000, 20_000
 FILTER_BITS = 1 << 20
 STARTS = 4096
-_POPCOUNT = np.array([i.bit_count() for i in range(1 << 16)], np.uint8)
+_POPCOUNT = np.array([i.bit_count() for i in range(1 << BLOCK_BITS)], np.uint8)
 #: What values of a block within BLOCK_ERRORS bits differ by.
 _NEAR = np.flatnonzero(_POPCOUNT <= BLOCK_ERRORS).astype(np.uint16)
 _SEEDS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
@@ -48,14 +48,15 @@ SCHEMA = "doc_id long, item_id long, start_word long, similarity double"
 def votes(shingles: np.ndarray) -> np.ndarray:
     """Running sums of the shingles' bits as -1 and 1: row i has the sum of the first i."""
     parts = np.stack([mix64(shingles ^ np.uint64(s)) for s in _SEEDS], 1)
-    bits = np.unpackbits(np.ascontiguousarray(parts).view(np.uint8).reshape(len(shingles), 2 * BLOCKS), axis=1).astype(np.int32) * 2 - 1
+    bits = np.unpackbits(np.ascontiguousarray(parts).view(np.uint8), axis=1).astype(np.int32) * 2 - 1
     return np.concatenate([np.zeros((1, bits.shape[1]), np.int32), np.cumsum(bits, 0, dtype=np.int32)])
 
 
 def fingerprints(shingles: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """SimHash of each window of so many shingles, as BLOCKS words of 16 bits. Windows are taken in runs, so long texts need
-    no more room."""
-    out = np.empty((len(starts), 2 * BLOCKS), np.uint8)
+    """SimHash of each window of so many shingles, as the values of its BLOCKS blocks. Windows are taken in runs, so long texts
+    need no more room."""
+    out = np.empty((len(starts), BLOCKS), np.uint16)
+    weight = (1 << np.arange(BLOCK_BITS, dtype=np.uint16)).astype(np.uint16)
     for i in range(0, len(starts), STARTS):
         part = starts[i : i + STARTS]
         cuts = np.flatnonzero(np.diff(part) > width) + 1
@@ -63,8 +64,9 @@ def fingerprints(shingles: np.ndarray, starts: np.ndarray, width: int) -> np.nda
             lo, hi = part[run[0]], min(part[run[-1]] + width, len(shingles))
             sums = votes(shingles[lo:hi])
             at = part[run] - lo
-            out[i + run] = np.packbits(sums[np.minimum(at + width, len(sums) - 1)] - sums[at] >= 0, axis=1)
-    return out.view(np.uint16)
+            bits = sums[np.minimum(at + width, len(sums) - 1)] - sums[at] >= 0
+            out[i + run] = (bits.reshape(len(run), BLOCKS, BLOCK_BITS) * weight).sum(2, dtype=np.uint16)
+    return out
 
 
 def weighted_similarity(window: np.ndarray, values: np.ndarray, counts: np.ndarray) -> float:
@@ -88,13 +90,14 @@ class Group:
         for b in range(BLOCKS):
             values = (self.prints[:, b, None] ^ _NEAR).reshape(-1)
             order = np.argsort(values, kind="stable")
-            self.tables.append((np.searchsorted(values[order], np.arange((1 << 16) + 1)), item[order]))
+            self.tables.append((values[order], item[order]))
 
     def met(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Windows and items that some block's table brings together."""
         codes = []
-        for b, (bounds, item) in enumerate(self.tables):
-            lo, n = bounds[prints[:, b]], np.diff(bounds)[prints[:, b]]
+        for b, (values, item) in enumerate(self.tables):
+            lo = np.searchsorted(values, prints[:, b], "left")
+            n = np.searchsorted(values, prints[:, b], "right") - lo
             at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
             codes.append(np.repeat(np.arange(len(prints)), n) * len(self.ids) + item[at])
         return np.divmod(np.unique(np.concatenate(codes)), len(self.ids))
@@ -186,8 +189,8 @@ def sequences(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start_word, similarity: each contaminated document with each item it holds."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(words_count())).first()[0] or 0
-    n_blocks = max(1, math.ceil(total / BLOCK_WORDS))
+    total = items.agg(F.sum(words_count()), F.count("*")).first()
+    n_blocks = max(1, math.ceil((total[0] or 0) / BLOCK_WORDS), math.ceil(total[1] / BLOCK_ITEMS))
     out = None
     for block in range(n_blocks):
         own = items.filter(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == block) if n_blocks > 1 else items
