@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_batches, words_count
+from .keyfilter import without
 from .shingles import as_bytes, chunks, mix64, word_shingles, words
 
 WIDTH = 5
@@ -222,5 +223,5 @@ def _against(docs: DataFrame, items: list[tuple[int, bytes]]) -> tuple[DataFrame
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The pipeline's stage: documents that hold no benchmark item, with their own columns."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("__leak"), "left_anti")
+    found = leaks(docs, benchmark).filter("doc_id IS NOT NULL").select("doc_id").distinct()
+    return without(docs, F.col("doc_id").cast("long"), found)

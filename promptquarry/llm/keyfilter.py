@@ -10,10 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 LEAST_BITS, MOST_BITS = 16, 26
+#: Keys that are broadcast at most, after they are counted.
+BROADCAST_KEYS = 500_000
 CELLS_PER_KEY = 16
 PIECE = 1 << 16  # bits in one piece of the bitmap
 
@@ -63,3 +67,13 @@ def divided(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataF
     """The rows whose key may be among the keys, and those whose key surely isn't."""
     likely = _likely(rows, keys, columns)
     return rows.filter(likely), rows.filter(~likely)
+
+
+def without(rows: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows whose key isn't in gone (one column of distinct longs, without nulls). Up to BROADCAST_KEYS keys are
+    broadcast; beyond, only rows that the keys' bitmap lets through are shuffled."""
+    gone = stored(gone.toDF("__gone"), "gone")
+    if gone.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(gone), key == F.col("__gone"), "left_anti")
+    likely, rest = divided(rows.withColumn("__gone", key), gone, ["__gone"])
+    return rest.unionByName(likely.join(gone, "__gone", "left_anti")).drop("__gone")

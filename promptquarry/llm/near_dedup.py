@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, text_batches
 from .components import connected_components
-from .keyfilter import only_likely
+from .keyfilter import only_likely, without
 from .shingles import as_bytes, chunks, mix64, shingle_sets, word_shingles
 
 SYMBOLS, CHUNKS, ERRORS = 32, 8, 1
@@ -224,5 +224,5 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The pipeline's stage: of each group the documents with its least doc_id stay, with their own columns."""
-    gone = groups(docs, percent).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone = groups(docs, percent).filter("NOT kept").select("doc_id").distinct()
+    return without(docs, F.col("doc_id").cast("long"), gone)

@@ -147,3 +147,18 @@ def test_a_text_beyond_the_positions_is_refused(monkeypatch):
     monkeypatch.setattr(substring_dedup, "POSITION_BITS", 9)
     with pytest.raises(ValueError, match="positions"):
         substring_dedup.anchors([b"x" * 600])
+
+
+def test_rows_without_keys(spark, monkeypatch):
+    """Broadcast or through a bitmap: the same rows stay, those without a key too."""
+    from pyspark.sql import functions as F
+
+    from promptquarry.llm import keyfilter
+
+    rows = spark.createDataFrame([(i if i % 10 else None, f"t{i}") for i in range(300)], "doc_id long, text string").repartition(3)
+    gone = spark.createDataFrame([(i,) for i in range(0, 300, 7)], "doc_id long")
+    want = sorted(f"t{i}" for i in range(300) if i % 10 == 0 or i % 7)
+    for most in (1000, 0):
+        monkeypatch.setattr(keyfilter, "BROADCAST_KEYS", most)
+        left = keyfilter.without(rows, F.col("doc_id"), gone)
+        assert sorted(r["text"] for r in left.collect()) == want and left.columns == rows.columns
