@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
+from .keyfilter import joined_in_slices
 
 
-def _nearest(edges: DataFrame) -> DataFrame:
-    """u, v and the least node m of u and its neighbours. Degrees are unbounded, so the neighbours are not gathered."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-    return edges.join(least, F.col("u") == F.col("x")).drop("x")
+def _nearest(edges: DataFrame, most: int) -> DataFrame:
+    """u, v and the least node m of u and its neighbours, for at most so many edges. Degrees are unbounded: neighbours
+    are not gathered, and those of a hub are joined in slices."""
+    least = edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("degree"))
+    return joined_in_slices(edges, least, "u", "degree", most, "v").drop("degree")
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -25,8 +27,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _nearest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        near = _nearest(large)
+        large = _nearest(both, 2 * state[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        near = _nearest(large, 2 * state[0])
         small = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).distinct()
         edges = checkpointed(small)
         before, state = state, _state(edges)

@@ -19,6 +19,8 @@ LEAST_BITS, MOST_BITS = 16, 26
 #: Keys that are broadcast at most, after they are counted.
 BROADCAST_KEYS = 500_000
 CELLS_PER_KEY = 16
+#: A key is hot if more than SLICE rows and more than one in HOT_SHARE of all rows have it; fewer keys than that are.
+HOT_SHARE, SLICE = 20_000, 50_000
 PIECE = 1 << 16  # bits in one piece of the bitmap
 
 
@@ -77,3 +79,13 @@ def without(rows: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(gone), key == F.col("__gone"), "left_anti")
     likely, rest = divided(rows.withColumn("__gone", key), gone, ["__gone"])
     return rest.unionByName(likely.join(gone, "__gone", "left_anti")).drop("__gone")
+
+
+def joined_in_slices(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int, by: str) -> DataFrame:
+    """rows joined with per_key's one row per key; n is its column that counts the key's rows, total bounds the sum of n.
+    Rows of a hot key are dealt over slices by a hash of their column by, and its row of per_key goes to each slice."""
+    least = max(SLICE, -(-total // HOT_SHARE))
+    slices = F.ceil(F.col(n) / least).cast("int")
+    hot = F.broadcast(per_key.filter(F.col(n) > least).select(key, slices.alias("__slices")))
+    dealt = rows.join(hot, key, "left").withColumn("__slice", F.pmod(F.xxhash64(by), F.coalesce("__slices", F.lit(1))).cast("int")).drop("__slices")
+    return dealt.join(per_key.withColumn("__slice", F.explode(F.sequence(F.lit(0), slices - 1))), [key, "__slice"]).drop("__slice")

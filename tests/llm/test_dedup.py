@@ -162,3 +162,27 @@ def test_rows_without_keys(spark, monkeypatch):
         monkeypatch.setattr(keyfilter, "BROADCAST_KEYS", most)
         left = keyfilter.without(rows, F.col("doc_id"), gone)
         assert sorted(r["text"] for r in left.collect()) == want and left.columns == rows.columns
+
+
+def test_near_dedup_in_slices(spark, hard, hard_rows, monkeypatch):
+    """Keys and nodes of more than four rows are hot here; the groups stay the same."""
+    from promptquarry.llm import keyfilter
+
+    monkeypatch.setattr(keyfilter, "SLICE", 4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.groups(hard).collect()}
+    assert got == brute.near([(r[0], r[1]) for r in hard_rows])
+    star = spark.createDataFrame([(0, i) for i in range(1, 200)] + [(i, 300) for i in range(150, 200)] + [(400, 401)], "u long, v long")
+    assert {tuple(r) for r in connected_components(star).collect()} == {(i, 0) for i in [*range(200), 300]} | {(400, 400), (401, 400)}
+
+
+def test_joined_in_slices(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from promptquarry.llm import keyfilter
+
+    monkeypatch.setattr(keyfilter, "SLICE", 10)
+    rows = spark.createDataFrame([(1, i) for i in range(95)] + [(2, i) for i in range(10)] + [(3, 0), (None, 1)], "k long, v long")
+    per = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    out = keyfilter.joined_in_slices(rows, per, "k", "n", 106, "v")
+    assert out.columns == ["k", "v", "n", "top"]
+    assert sorted(tuple(r) for r in out.collect()) == [(1, i, 95, 94) for i in range(95)] + [(2, i, 10, 9) for i in range(10)] + [(3, 0, 1, 0)]
