@@ -83,7 +83,10 @@ def without(rows: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
 
 def joined_in_slices(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int, by: str) -> DataFrame:
     """rows joined with per_key's one row per key; n is its column that counts the key's rows, total bounds the sum of n.
-    Rows of a hot key are dealt over slices by a hash of their column by, and its row of per_key goes to each slice."""
+    Rows of a hot key are dealt over slices by a hash of their column by, and its row of per_key goes to each slice.
+    Where all rows are no more than a slice, no key can be hot and the join is an ordinary one."""
+    if total <= SLICE:
+        return rows.join(per_key, key)
     least = max(SLICE, -(-total // HOT_SHARE))
     slices = F.ceil(F.col(n) / least).cast("int")
     hot = F.broadcast(per_key.filter(F.col(n) > least).select(key, slices.alias("__slices")))
