@@ -24,8 +24,9 @@ HOT_SHARE, SLICE = 20_000, 50_000
 PIECE = 1 << 16  # bits in one piece of the bitmap
 
 
-def bitmap(keys: DataFrame, columns: list[str]) -> np.ndarray:
-    """uint8 bits of all keys; at most 2^MOST_BITS bits come to the driver."""
+def _with_words(rows: DataFrame, keys: DataFrame, columns: list[str], how: str) -> tuple[DataFrame, Column]:
+    """rows with the piece of the keys' bitmap that holds their cell, and whether its bit is set. The bitmap has at most
+    2^MOST_BITS bits; its pieces are joined by broadcast, so that no Python worker is needed beside those of other steps."""
     n = keys.count()
     bits = min(MOST_BITS, max(LEAST_BITS, int(n * CELLS_PER_KEY).bit_length()))
 
@@ -35,40 +36,30 @@ def bitmap(keys: DataFrame, columns: list[str]) -> np.ndarray:
             own[frame["cell"].to_numpy()] = True
         parts = own.reshape(-1, PIECE)
         some = np.flatnonzero(parts.any(1))
-        yield pd.DataFrame({"piece": some, "own": [np.packbits(parts[i]).tobytes() for i in some]}, columns=["piece", "own"])
+        yield pd.DataFrame({"piece": some, "own": [np.packbits(parts[i], bitorder="little").tobytes() for i in some]}, columns=["piece", "own"])
 
     def unite(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in frame["own"]])
-        return pd.DataFrame({"piece": frame["piece"].iloc[:1], "own": [total.tobytes()]})
+        total = np.bitwise_or.reduce([np.frombuffer(b, "<i8") for b in frame["own"]])
+        return pd.DataFrame({"piece": frame["piece"].iloc[:1], "words": [total]})
 
-    cells = keys.select(F.pmod(F.xxhash64(*columns), F.lit(1 << bits)).alias("cell"))
-    out = np.zeros(((1 << bits) // PIECE, PIECE // 8), np.uint8)
-    for row in cells.mapInPandas(mark, "piece long, own binary").groupBy("piece").applyInPandas(unite, "piece long, own binary").collect():
-        out[row["piece"]] = np.frombuffer(row["own"], np.uint8)
-    return out.reshape(-1)
-
-
-def _likely(rows: DataFrame, keys: DataFrame, columns: list[str]):
-    held = rows.sparkSession.sparkContext.broadcast(bitmap(keys, columns))
-    size = len(held.value) * 8
-
-    @F.pandas_udf("boolean")
-    def likely(cell: pd.Series) -> pd.Series:
-        at = cell.to_numpy()
-        return pd.Series((held.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
-
-    return likely(F.pmod(F.xxhash64(*columns), F.lit(size)))
+    cell = F.pmod(F.xxhash64(*columns), F.lit(1 << bits))
+    marked = keys.select(cell.alias("cell")).mapInPandas(mark, "piece long, own binary")
+    bitmap = stored(marked.groupBy("piece").applyInPandas(unite, "piece long, words array<long>"), "bitmap").toDF("__bitmap_piece", "__bitmap_words")
+    at = F.pmod(cell, F.lit(PIECE))
+    is_set = F.bit_get(F.get("__bitmap_words", F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
+    return rows.join(F.broadcast(bitmap), F.floor(cell / PIECE) == F.col("__bitmap_piece"), how), F.coalesce(is_set, F.lit(False))
 
 
 def only_likely(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
     """The rows whose key may be among the keys."""
-    return rows.filter(_likely(rows, keys, columns))
+    joined, likely = _with_words(rows, keys, columns, "inner")
+    return joined.filter(likely).drop("__bitmap_piece", "__bitmap_words")
 
 
 def divided(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """The rows whose key may be among the keys, and those whose key surely isn't."""
-    likely = _likely(rows, keys, columns)
-    return rows.filter(likely), rows.filter(~likely)
+    joined, likely = _with_words(rows, keys, columns, "left")
+    return tuple(joined.filter(x).drop("__bitmap_piece", "__bitmap_words") for x in (likely, ~likely))
 
 
 def without(rows: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
