@@ -72,13 +72,14 @@ def without(rows: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     return rest.unionByName(likely.join(gone, "__gone", "left_anti")).drop("__gone")
 
 
-def joined_in_slices(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int, by: str) -> DataFrame:
-    """rows joined with per_key's one row per key; n is its column that counts the key's rows, total bounds the sum of n.
+def joined_in_slices(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int, by: str, most: int | None = None) -> DataFrame:
+    """rows joined with per_key's one row per key; n is its column that counts the key's rows, total bounds the sum of n
+    and most each n.
     Rows of a hot key are dealt over slices by a hash of their column by, and its row of per_key goes to each slice.
-    Where all rows are no more than a slice, no key can be hot and the join is an ordinary one."""
-    if total <= SLICE:
-        return rows.join(per_key, key)
+    Where no key can have more rows than a slice, the join is an ordinary one."""
     least = max(SLICE, -(-total // HOT_SHARE))
+    if (total if most is None else most) <= least:
+        return rows.join(per_key, key)
     slices = F.ceil(F.col(n) / least).cast("int")
     hot = F.broadcast(per_key.filter(F.col(n) > least).select(key, slices.alias("__slices")))
     dealt = rows.join(hot, key, "left").withColumn("__slice", F.pmod(F.xxhash64(by), F.coalesce("__slices", F.lit(1))).cast("int")).drop("__slices")

@@ -172,15 +172,15 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFr
     """u, v: enough confirmed links between classes (by their rep) to connect all that are connected."""
     keyed = classes.select("rep", "signature").mapInPandas(index_keys, "key long, rep long")
     shared = stored(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "near-shared")
-    n_met = shared.agg(F.sum("m")).first()[0] or 0
-    met = stored(joined_in_slices(keyed, shared, "key", "m", n_met, "rep"), "near-keys")
+    n_met, most = (n or 0 for n in shared.agg(F.sum("m"), F.max("m")).first())
+    met = stored(joined_in_slices(keyed, shared, "key", "m", n_met, "rep", most), "near-keys")
     sets = _class_sets(docs, classes, met.select("rep"))
     sizes = stored(_shared_sizes(sets, classes).filter(100 * F.col("s") >= percent * F.col("n")), "near-sizes")
     met = met.drop("m").join(sizes, "rep")
     # the hub is the class with the least share of shingles of its own, which is the most central one
     central = F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("own"), F.col("rep").alias("hub"), *[F.col(c).alias(f"{c}_h") for c in PROFILE])
     hubs = met.groupBy("key").agg(F.min(central).alias("h"), F.count("*").alias("m")).select("key", "m", "h.*").drop("own")
-    stars = joined_in_slices(met, hubs, "key", "m", n_met, "rep").filter((F.col("rep") != F.col("hub")) & _possible("_h", percent))
+    stars = joined_in_slices(met, hubs, "key", "m", n_met, "rep", most).filter((F.col("rep") != F.col("hub")) & _possible("_h", percent))
     stars = stored(stars.select(F.least("hub", "rep").alias("u"), F.greatest("hub", "rep").alias("v")).distinct(), "near-stars")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFr
     component = connected_components(first)
     placed = met.join(component, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("left")).filter("lo < hi").select("key", "left")
-    rest = joined_in_slices(placed, open_keys, "key", "left", n_met, "rep").select("key", "rep", *PROFILE, "component", F.ceil(F.col("left") / BLOCK).cast("int").alias("nb"))
+    rest = joined_in_slices(placed, open_keys, "key", "left", n_met, "rep", most).select("key", "rep", *PROFILE, "component", F.ceil(F.col("left") / BLOCK).cast("int").alias("nb"))
     rest = stored(rest.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")), "near-rest")
     each = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     left = rest.withColumn("other", each)
