@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import stored, text_batches
 from .components import connected_components
 from .keyfilter import joined_in_slices, only_likely, without
-from .shingles import as_bytes, chunks, mix64, shingle_sets, word_shingles
+from .shingles import SET_CHUNK_BYTES, as_bytes, chunks, mix64, shingle_sets, word_shingles
 
 SYMBOLS, CHUNKS, ERRORS = 32, 8, 1
 PERCENT = 85
@@ -50,7 +50,7 @@ def signatures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Set size, digest of the whole set and MinHash signature per document."""
     for frame in frames:
         texts, ids = as_bytes(frame["text"]), frame["doc_id"].array
-        for start, part in chunks(texts):
+        for start, part in chunks(texts, SET_CHUNK_BYTES):
             values, n = word_shingles(part, WIDTH)
             full = np.flatnonzero(n)
             at = np.concatenate([[0], np.cumsum(n)])

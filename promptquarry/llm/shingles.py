@@ -13,6 +13,8 @@ import numpy as np
 from .common import LOWER_AZ, WS_BYTES
 
 CHUNK_BYTES = 1 << 20
+#: For sets of shingles, whose arrays take about 50 bytes for each byte of text.
+SET_CHUNK_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _STEP = 0xD6E8FEB86659FD93
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -94,7 +96,7 @@ def word_shingles(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.nd
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> Iterator[np.ndarray]:
     """Each text's distinct shingles, sorted."""
-    for _, part in chunks(texts):
+    for _, part in chunks(texts, SET_CHUNK_BYTES):
         values, n = word_shingles(part, width)
         at = 0
         for k in n:
