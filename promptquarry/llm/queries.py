@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, lm_scoring, mixing, near_dedup, secrets, substring_dedup, token_counts, warc
+from . import decontamination, exact_dedup, language_id, lm_scoring, mixing, near_dedup, periodic_runs, secrets, substring_dedup, token_counts, warc
 from .common import table
 
 
@@ -66,6 +66,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.attribute_tokens(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    changed = periodic_runs.with_planted_runs(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return periodic_runs.digest_columns(periodic_runs.periodic_runs(docs, changed))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_near_dedup, op3_decontamination, op4_language_id, op5_warc, op6_token_counts, op7_mixing, op8_lm_scoring, op9_secret_scan, op10_exact_dedup, language_id_pages, pipeline)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_near_dedup, op3_decontamination, op4_language_id, op5_warc, op6_token_counts, op7_mixing, op8_lm_scoring, op9_secret_scan, op10_exact_dedup, op13_periodic_runs, language_id_pages, pipeline)}
 
 
 WS = r"[\x20\x09-\x0D]"
