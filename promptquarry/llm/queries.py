@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, lm_scoring, mixing, near_dedup, periodic_runs, secrets, substring_dedup, token_counts, warc
+from . import decontamination, exact_dedup, language_id, lm_scoring, mixing, near_dedup, ngram_join, periodic_runs, secrets, substring_dedup, token_counts, warc
 from .common import table
 
 
@@ -66,6 +66,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.attribute_tokens(table(spark, sf_dir, "documents"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     changed = periodic_runs.with_planted_runs(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -79,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_near_dedup, op3_decontamination, op4_language_id, op5_warc, op6_token_counts, op7_mixing, op8_lm_scoring, op9_secret_scan, op10_exact_dedup, op13_periodic_runs, language_id_pages, pipeline)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_near_dedup, op3_decontamination, op4_language_id, op5_warc, op6_token_counts, op7_mixing, op8_lm_scoring, op9_secret_scan, op10_exact_dedup, op12_ngram_join, op13_periodic_runs, language_id_pages, pipeline)}
 
 
 WS = r"[\x20\x09-\x0D]"
@@ -135,25 +139,33 @@ FROM k
 """
 
 
-_WORDS = r"""
+def _words(width: int) -> str:
+    return rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), places AS (
-  SELECT doc_id, i, CASE WHEN len(w) >= 5 THEN array_to_string(w[i:i + 4], ' ') ELSE array_to_string(w, ' ') END AS sh
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0) x
+  SELECT doc_id, i, CASE WHEN len(w) >= {width} THEN array_to_string(w[i:i + {width - 1}], ' ') ELSE array_to_string(w, ' ') END AS sh
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {width - 2}, 2))) AS i FROM w WHERE len(w) > 0) x
 )"""
 
-OP2_SQL = _WORDS + r""", s AS (SELECT DISTINCT doc_id, sh FROM places
+_LINKED = r""", s AS (SELECT DISTINCT doc_id, sh FROM places
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
 ), c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2
-), e AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= 85 * (x.n + y.n - k)
+), e AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= $percent * (x.n + y.n - k)
 ), r AS (SELECT DISTINCT u AS doc_id, u AS node FROM e UNION SELECT r.doc_id, e.v FROM r JOIN e ON r.node = e.u
-), m AS (SELECT doc_id, min(node) AS lowest FROM r GROUP BY 1)
+), m AS (SELECT doc_id, min(node) AS lowest FROM r GROUP BY 1)"""
+
+OP2_SQL = _words(5) + _LINKED.replace("$percent", "85") + r"""
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.lowest, d.doc_id) AS component_id, coalesce(m.lowest, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
 """
 
-OP3_SQL = _WORDS + r""", iw AS (
+OP12_SQL = _words(3) + _LINKED.replace("$percent", "90") + r"""
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.lowest, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""
+
+OP3_SQL = _words(5) + r""", iw AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark
 ), ish AS (SELECT item_id, sh, count(*) AS k FROM (SELECT item_id, array_to_string(w[i:i + 4], ' ') AS sh FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM iw WHERE len(w) >= 5) x) y GROUP BY 1, 2
 ), size AS (SELECT item_id, sum(k) AS m FROM ish GROUP BY 1
@@ -199,4 +211,4 @@ FROM d LEFT JOIN h ON h.doc_id = d.doc_id GROUP BY d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": OP2_SQL, "op3_decontamination": OP3_SQL, "op9_secret_scan": _op9_sql(), "op10_exact_dedup": OP10_SQL, "op7_mixing": OP7_SQL, "op5_warc": OP5_SQL}
+    return {"op2_near_dedup": OP2_SQL, "op3_decontamination": OP3_SQL, "op9_secret_scan": _op9_sql(), "op10_exact_dedup": OP10_SQL, "op12_ngram_join": OP12_SQL, "op7_mixing": OP7_SQL, "op5_warc": OP5_SQL}
