@@ -68,10 +68,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Batches of whole texts for Python: 10,000 rows (Spark's default) of long texts are more than a worker should
-    hold at once. A setting of the session's own stays."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1500")
+    """Batches of whole texts for Python: Spark's defaults, 10,000 rows and 64 MB, are more than each of several workers of an
+    executor should hold at once, as a frame is held several times over. Settings of the session's own stay."""
+    for name, default, own in (("maxRecordsPerBatch", "10000", "1500"), ("maxBytesPerBatch", "67108864b", "4m")):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, own)
 
 
 def pieces(total: float, per_piece: float, least: int = 1) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, lm_scoring, mixing, near_dedup, ngram_join, periodic_runs, secrets, substring_dedup, token_counts, warc
+from . import decontamination, exact_dedup, hard_negatives, language_id, lm_scoring, mixing, near_dedup, ngram_join, periodic_runs, secrets, substring_dedup, token_counts, warc
 from .common import table
 
 
@@ -66,6 +66,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.attribute_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives.hard_negatives(rows)
+
+
 def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"))
 
@@ -83,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_near_dedup, op3_decontamination, op4_language_id, op5_warc, op6_token_counts, op7_mixing, op8_lm_scoring, op9_secret_scan, op10_exact_dedup, op12_ngram_join, op13_periodic_runs, language_id_pages, pipeline)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_near_dedup, op3_decontamination, op4_language_id, op5_warc, op6_token_counts, op7_mixing, op8_lm_scoring, op9_secret_scan, op10_exact_dedup, op11_hard_negatives, op12_ngram_join, op13_periodic_runs, language_id_pages, pipeline)}
 
 
 WS = r"[\x20\x09-\x0D]"
@@ -160,6 +166,23 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.lowest, d.doc_id) AS
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
 """
 
+OP11_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), n AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
 OP12_SQL = _words(3) + _LINKED.replace("$percent", "90") + r"""
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.lowest, d.doc_id) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
@@ -211,4 +234,4 @@ FROM d LEFT JOIN h ON h.doc_id = d.doc_id GROUP BY d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": OP2_SQL, "op3_decontamination": OP3_SQL, "op9_secret_scan": _op9_sql(), "op10_exact_dedup": OP10_SQL, "op12_ngram_join": OP12_SQL, "op7_mixing": OP7_SQL, "op5_warc": OP5_SQL}
+    return {"op2_near_dedup": OP2_SQL, "op3_decontamination": OP3_SQL, "op9_secret_scan": _op9_sql(), "op10_exact_dedup": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_ngram_join": OP12_SQL, "op7_mixing": OP7_SQL, "op5_warc": OP5_SQL}
