@@ -7,7 +7,8 @@ threshold of its character class, unless an allow-list of harmless forms suppres
 
 Defined cases: a null or empty text gives counts of 0 and empty span lists; spans are in code points with an
 exclusive end; overlapping spans of different kinds are all reported; repeated rows are rows of their own; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored. A text may be one long candidate or hold very many matches: work
+grows with its length, and no pattern recurses.
 """
 
 from __future__ import annotations
@@ -27,36 +28,66 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Least bits of the best window per class; a window of 20 characters has at most 4.32. Runs of letters count as alnum.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.9}
 #: A word of one case, or a capitalised one; other mixtures of case are judged by their entropy.
-WORD = r"(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)"
-#: Forms that look random and are no secrets: UUIDs, words or snake/kebab names without digits, plain numbers, paths of words.
-ALLOWED = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    rf"^[/_=+-]*{WORD}(?:[/_=+-]+{WORD})*[/_=+-]*$",
-    r"^[0-9/_=+-]+$",
-    rf"^{WORD}(?:[/_-]{WORD})*[/_=-]*[0-9]{{1,6}}$",
-)
+WORD = r"(?:[A-Z][a-z]+|[A-Z]+|[a-z]+)"
+
+
+def _allowed(repeated: str) -> tuple[str, ...]:
+    """Forms that look random and are no secrets: UUIDs, words or snake/kebab names without digits, plain numbers, paths of
+    words. repeated: what repeats a group. Java walks a possessive one in a loop, a plain one by recursion, which a long
+    text ends; separators and words have no character in common, so both match the same."""
+    return (
+        r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+        rf"^[/_=+-]*{WORD}(?:[/_=+-]+{WORD}){repeated}[/_=+-]*$",
+        r"^[0-9/_=+-]+$",
+        rf"^{WORD}(?:[/_-]{WORD}){repeated}[/_=-]*[0-9]{{1,6}}$",
+    )
+
+
+#: As any engine reads them, and as Java's should.
+ALLOWED, ALLOWED_JAVA = _allowed("*"), _allowed("*+")
+CHUNK = 128
+_PLACES = "array<struct<start:int,value:string>>"
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, value>> of the leftmost non-overlapping matches: the pieces between them give the places.
-    Texts without a match cost one search."""
+    Texts without a match cost one search. Places are summed in chunks of CHUNK matches, then inside each chunk, as a list
+    that grows by one match at a time is copied at every step."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    placed = F.aggregate(
-        F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("gap"), found.alias("value")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0))).alias("at"),
-            F.when(
-                x["value"].isNotNull(),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), x["value"].alias("value")))),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), placed).otherwise(F.array().cast("array<struct<start:int,value:string>>"))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
+
+    def place(pairs: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")), lambda i: F.slice(pairs, i * CHUNK + 1, F.lit(CHUNK)))
+        return let(chunks, place_chunks)
+
+    def place_chunks(chunks: Column) -> Column:
+        length = lambda chunk: F.aggregate(chunk, F.lit(0), lambda at, x: at + x["gap"] + F.length(x["value"]))
+        starts = F.aggregate(
+            chunks,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, chunk: F.struct((acc["at"] + length(chunk)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"],
+        )
+        return F.flatten(F.transform(F.arrays_zip(starts.alias("start"), chunks.alias("chunk")), lambda x: within(x["start"], x["chunk"])))
+
+    def within(start: Column, chunk: Column) -> Column:
+        return F.aggregate(
+            chunk,
+            F.struct(start.alias("at"), F.array().cast(_PLACES).alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["gap"] + F.length(x["value"])).alias("at"),
+                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), x["value"].alias("value")))).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
+
+    return F.when(text.rlike(pattern), let(pairs, place)).otherwise(F.array().cast(_PLACES))
 
 
 def spans(found: Column, kind: str) -> Column:
@@ -104,7 +135,7 @@ def is_secret(value: Column) -> Column:
     kind = char_class(value)
     least = F.when(kind == "hex", THRESHOLDS["hex"]).when(kind == "alnum", THRESHOLDS["alnum"]).otherwise(THRESHOLDS["base64"])
     allowed = F.lit(False)
-    for form in ALLOWED:
+    for form in ALLOWED_JAVA:
         allowed = allowed | value.rlike(form)
     return F.when(allowed, False).otherwise(F.round(best_entropy(value), 9) >= least)
 
