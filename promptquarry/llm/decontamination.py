@@ -6,7 +6,7 @@ A window has as many words as the item it is compared with (a shorter document i
 share a shingle with an item of that length are fingerprinted: any other has similarity 0. Fingerprints have 192
 bits in 16 blocks of 12; by pigeonhole two of them within RADIUS = 16 * (BLOCK_ERRORS + 1) - 1 bits agree in some block up
 to BLOCK_ERRORS bits. Each block has a table from every value within that error to the items (79 values an item), so a
-lookup per block finds all of them; of pairs that have nothing in common about a quarter meets. Windows of similarity 0.8 differ in 28 bits on
+lookup per block finds all of them; of pairs that have nothing in common about a third meets. Windows of similarity 0.8 differ in 28 bits on
 average (standard deviation 5), inside the radius of 47. What is found is verified by the weighted Jaccard similarity of
 the shingle multisets.
 
@@ -39,6 +39,7 @@ RADIUS = BLOCKS * (BLOCK_ERRORS + 1) - 1
 BLOCK_WORDS, BLOCK_ITEMS = 2_000_000, 20_000
 FILTER_BITS = 1 << 20
 STARTS = 4096
+CODES = 1 << 20  # of pairs of windows and items that are held at once
 _POPCOUNT = np.array([i.bit_count() for i in range(1 << BLOCK_BITS)], np.uint8)
 #: What values of a block within BLOCK_ERRORS bits differ by.
 _NEAR = np.flatnonzero(_POPCOUNT <= BLOCK_ERRORS).astype(np.uint16)
@@ -93,20 +94,22 @@ class Group:
             order = np.argsort(values, kind="stable")
             self.tables.append((values[order], item[order]))
 
-    def met(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows and items that some block's table brings together."""
-        codes = []
-        for b, (values, item) in enumerate(self.tables):
-            lo = np.searchsorted(values, prints[:, b], "left")
-            n = np.searchsorted(values, prints[:, b], "right") - lo
-            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            codes.append(np.repeat(np.arange(len(prints)), n) * len(self.ids) + item[at])
-        return np.divmod(np.unique(np.concatenate(codes)), len(self.ids))
+    def met(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows and items that some block's table brings together, in runs of windows with about CODES entries."""
+        bounds = [(np.searchsorted(values, prints[:, b], "left"), np.searchsorted(values, prints[:, b], "right")) for b, (values, _) in enumerate(self.tables)]
+        so_far = np.cumsum(sum(hi - lo for lo, hi in bounds))
+        for run in np.split(np.arange(len(prints)), np.flatnonzero(np.diff(so_far // CODES)) + 1):
+            codes = []
+            for (lo, hi), (_, item) in zip(bounds, self.tables):
+                n = hi[run] - lo[run]
+                at = np.repeat(lo[run] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                codes.append(np.repeat(run, n) * len(self.ids) + item[at])
+            yield np.divmod(np.unique(np.concatenate(codes)), len(self.ids))
 
-    def within_radius(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w, i = self.met(prints)
-        ok = _POPCOUNT[prints[w] ^ self.prints[i]].sum(1) <= RADIUS
-        return w[ok], i[ok]
+    def within_radius(self, prints: np.ndarray) -> Iterator[tuple[int, int]]:
+        for w, i in self.met(prints):
+            ok = _POPCOUNT[prints[w] ^ self.prints[i]].sum(1) <= RADIUS
+            yield from zip(w[ok], i[ok])
 
 
 class Index:
@@ -161,7 +164,7 @@ class Index:
         starts = np.flatnonzero(np.cumsum(covered)[: last + 1] > 0)
         if len(starts):
             prints = fingerprints(own, starts, group.width)
-            for w, i in zip(*group.within_radius(prints)):
+            for w, i in group.within_radius(prints):
                 s = int(starts[w])
                 similarity = weighted_similarity(own[s : s + group.width], *group.sets[i])
                 if similarity >= SIMILARITY:
@@ -189,12 +192,12 @@ def sequences(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start_word, similarity: each contaminated document with each item it holds."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()  # repeated rows find the same
     total = items.agg(F.sum(words_count()), F.count("*")).first()
     n_blocks = max(1, math.ceil((total[0] or 0) / BLOCK_WORDS), math.ceil(total[1] / BLOCK_ITEMS))
     out = None
     for block in range(n_blocks):
-        own = items.filter(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == block) if n_blocks > 1 else items
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block) if n_blocks > 1 else items
         found, held = _against(docs, [(r["item_id"], *as_bytes([r["text"]])) for r in own.collect()])
         if n_blocks > 1:  # one block at a time is held, here and on the executors
             found = stored(found, "leaks")
