@@ -55,7 +55,7 @@ def test_outcome_upsert(spark):
 def test_common_lines_in_slices(spark, monkeypatch):
     files = spark.createDataFrame([(i, h) for i in range(40) for h in ("same", f"h{i // 4}", f"own{i}")], "snapshot_id long, content_hash string")
     left, right = files.filter("snapshot_id % 2 = 0").select("snapshot_id").distinct(), files.filter("snapshot_id % 2 = 1").select("snapshot_id").distinct()
-    rows = lambda: sorted(map(tuple, outcomes.snapshot_overlap(files, left, right).collect()))
+    rows = lambda: sorted(map(tuple, outcomes.snapshot_overlap(files, left, right, 0.2).collect()))
     whole = rows()
     monkeypatch.setattr(outcomes, "SLICE", 6)
     monkeypatch.setattr(outcomes, "COMMON_SHARE", 10)
