@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,23 @@ def text_batches(spark: SparkSession) -> None:
             spark.conf.set(name, own)
 
 
+_LEAN: list[bool] = []
+
+
+def lean_memory() -> None:
+    """For Python workers, which stay for later tasks: large arrays and Arrow buffers go back to the system when they are
+    freed, not to a pool of the worker's own."""
+    if not _LEAN:
+        _LEAN.append(True)
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            mallopt = ctypes.CDLL(None).mallopt
+        except (AttributeError, OSError):  # not the GNU library
+            return
+        for option, value in ((-3, 1 << 17), (-1, 1 << 20)):  # least size of a mapping of its own; free bytes at the heap's end
+            mallopt(option, value)
+
+
 def pieces(total: float, per_piece: float, least: int = 1) -> int:
     return max(least, math.ceil(total / per_piece))
 

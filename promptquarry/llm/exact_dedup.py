@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS_BYTES, text_batches
+from .common import WS_BYTES, lean_memory, text_batches
 
 FOLD_BYTES = 48 << 20
 BUCKET_BYTES = 96 << 20
@@ -104,6 +104,7 @@ def _frame(rows: list[list], with_content: bool) -> pd.DataFrame:
 
 def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Map side: normalises and folds equal contents within a table of bounded size."""
+    lean_memory()
     held = ContentTable()
     for frame in frames:
         for doc_id, text in zip(frame["doc_id"].astype(object), frame["text"]):
@@ -158,6 +159,7 @@ def _spilled(path: str) -> Iterator[tuple]:
 
 def unite(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Reduce side: Grace recursion over one hash partition."""
+    lean_memory()
 
     def records() -> Iterator[tuple]:
         for frame in frames:

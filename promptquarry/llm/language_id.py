@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, stored, text_batches
+from .common import LOWER_AZ, lean_memory, stored, text_batches
 
 BUCKETS = 1 << 16
 SAMPLE_PER_LANGUAGE = 400
@@ -70,6 +70,7 @@ def fit_text_model(docs: DataFrame, text: str, label: str, per_language: int = S
     chosen = sampled(labelled, per_language)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean_memory()
         held: dict[str, np.ndarray] = {}
         for frame in frames:
             for lang, texts in frame.groupby("l")["t"]:
@@ -94,6 +95,7 @@ def text_likelihoods(model: np.ndarray):
 
     @F.pandas_udf("array<double>")
     def score(texts: pd.Series) -> pd.Series:
+        lean_memory()
         out = []
         for text in texts:
             codes = trigrams(text) if isinstance(text, str) and any(c.isalpha() for c in text) else ()

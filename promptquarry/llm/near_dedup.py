@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_batches
+from .common import lean_memory, stored, text_batches
 from .components import connected_components
 from .keyfilter import joined_in_slices, only_likely, without
 from .shingles import SET_CHUNK_BYTES, as_bytes, chunks, mix64, shingle_sets, word_shingles
@@ -70,6 +70,7 @@ def signatures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def index_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The keys of each class: per chunk, one for every choice of ERRORS symbols left out."""
+    lean_memory()
     size = SYMBOLS // CHUNKS
     kept = list(combinations(range(size), size - ERRORS))
     for frame in frames:
@@ -103,6 +104,7 @@ def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _confirm(percent: int):
     def confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean_memory()
         for frame in frames:
             ok = []
             for a, b in zip(frame["a"], frame["b"]):
@@ -127,6 +129,7 @@ def _class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataF
 
 
 def _exploded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    lean_memory()
     for frame in frames:
         sets = [np.frombuffer(blob, np.int64) for blob in frame["shingles"]]
         for i in range(0, len(sets), 256):
@@ -136,6 +139,7 @@ def _exploded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _masks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per set MASKS * 64 bits, one of them set by each shingle."""
+    lean_memory()
     for frame in frames:
         bits = np.zeros((len(frame), MASKS * 64), np.uint8)
         for i, blob in enumerate(frame["shingles"]):

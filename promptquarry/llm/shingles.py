@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .common import LOWER_AZ, WS_BYTES
+from .common import LOWER_AZ, WS_BYTES, lean_memory
 
 CHUNK_BYTES = 1 << 20
 #: For sets of shingles, whose arrays take about 50 bytes for each byte of text.
@@ -105,4 +105,5 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> Iterator[np.ndarray]:
 
 
 def as_bytes(texts) -> list[bytes]:
+    lean_memory()
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
