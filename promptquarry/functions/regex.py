@@ -44,6 +44,11 @@ def java(pattern: str) -> str:
     return _spaced(pattern).replace(r"\b", _JAVA_BOUNDARY)
 
 
+def java_ascii(pattern: str) -> str:
+    """For ASCII texts, in which Java's own boundary is that of ASCII word characters and takes much less time."""
+    return _spaced(pattern)
+
+
 def re2(pattern: str) -> str:
     return _spaced(pattern)
 

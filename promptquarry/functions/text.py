@@ -9,11 +9,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
-from .regex import any_of, java
+from .regex import any_of, java, java_ascii
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
 
 
 def matches(text: Column, *patterns: str) -> Column:
-    return text.rlike(java(any_of(*patterns)))
+    pattern = any_of(*patterns)
+    if r"\b" not in pattern:
+        return text.rlike(java(pattern))
+    return F.when(is_ascii(text), text.rlike(java_ascii(pattern))).otherwise(text.rlike(java(pattern)))
 
 
 def replaced(text: Column, pattern: str, by: str = " ") -> Column:

@@ -133,9 +133,13 @@ def corpus_clarify(prompts: DataFrame, retrieved: DataFrame, generator: Question
     return rows.select("prompt_id", kind.alias("type"), message.alias("message"), suggestion.alias("suggestion"), F.when(some & (k > 0), F.col("questions")).alias("questions"))
 
 
+#: fixed value: characters of a snippet
+SNIPPET = 100
+
+
 def grounded(questions: DataFrame, retrieved: DataFrame) -> DataFrame:
     """JN23: question rows (prompt_id, pos, grounded_id) with the snippet of the retrieved prompt, '' if it is missing."""
-    own = retrieved.select("prompt_id", F.col("found_id").alias("grounded_id"), F.substring("content", 1, 120).alias("snippet"))
+    own = retrieved.select("prompt_id", F.col("found_id").alias("grounded_id"), F.substring("content", 1, SNIPPET).alias("snippet"))
     return questions.join(own, ["prompt_id", "grounded_id"], "left").withColumn("snippet", F.coalesce("snippet", F.lit("")))
 
 
@@ -259,7 +263,8 @@ def extractor_message(pairs: DataFrame, most: int = 1500) -> DataFrame:
 def scrubbed(text: Column) -> Column:
     """Extra: personal data by patterns: e-mail addresses, keys, card numbers, IP addresses, phone numbers, home paths."""
     for pattern, by in (
-        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<EMAIL>"),
+        # a run of the name's characters is tried once, from its start or from the end of the match before
+        (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<EMAIL>"),
         (r"\b(?:sk-|pk-|sk_|pk_|(?i:api[_-]?key)=)[A-Za-z0-9_-]{16,}|\bAKIA[A-Z0-9]{16,}", "<KEY>"),
         (r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b", "<CARD>"),
         (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "<IP>"),

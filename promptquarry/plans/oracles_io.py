@@ -160,7 +160,7 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN n = 0 THEN 'No relevant past prompts found in your corpus' WHEN failed THEN 'Corpus-clarify failed: Timeout' || CASE WHEN {_K} % 10 = 0 THEN '(504)' ELSE '' END
                  WHEN k = 0 THEN 'Prompt is clear — no clarification proposed' ELSE k || ' clarifying question' || CASE WHEN k > 1 THEN 's' ELSE '' END || ' grounded in your corpus' END AS message,
             CASE WHEN n > 0 AND failed THEN substr('late ' || content, 1, 200) WHEN n > 0 AND k = 0 THEN 'clear' END AS suggestion, CASE WHEN n > 0 AND NOT failed AND k > 0 THEN k ELSE -1 END::BIGINT AS n_questions FROM clarified""", _CLARIFIED),
-        "grounded_questions": v("SELECT a.prompt_id, CAST(pos AS BIGINT) AS pos, a.prompt_id + pos * 2 AS grounded_id, CASE WHEN pos < 2 THEN coalesce(substr(f.content, 1, 120), '') ELSE '' END AS snippet FROM (SELECT prompt_id, unnest([0, 1, 2]) AS pos FROM prompts WHERE role = 'user') a LEFT JOIN (SELECT * FROM prompts WHERE role = 'user') f ON f.prompt_id = a.prompt_id + a.pos * 2"),
+        "grounded_questions": v("SELECT a.prompt_id, CAST(pos AS BIGINT) AS pos, a.prompt_id + pos * 2 AS grounded_id, CASE WHEN pos < 2 THEN coalesce(substr(f.content, 1, 100), '') ELSE '' END AS snippet FROM (SELECT prompt_id, unnest([0, 1, 2]) AS pos FROM prompts WHERE role = 'user') a LEFT JOIN (SELECT * FROM prompts WHERE role = 'user') f ON f.prompt_id = a.prompt_id + a.pos * 2"),
         "generator_messages": v(f"""SELECT p.prompt_id, 'PROMPT:' || {nl} || '"' || p.content || '"' || {nl} || {nl} || coalesce('PAST PROMPTS (top retrieved from your corpus):' || {nl} || f.lines || {nl} || {nl}, '')
               || CASE WHEN p.prompt_id % 4 = 0 THEN 'PAST CLARIFICATIONS (concrete examples of how you typically nail down ambiguities):' || {nl} || '- (kind=constraint) "' || {_short('p.content', 600)} || '"' || {nl} || {nl} ELSE '' END
               || 'Use the submit_questions tool. Be honest about skip_reason if no clarification is warranted.' AS message
