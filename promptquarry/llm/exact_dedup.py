@@ -26,7 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS_BYTES, lean_memory, text_batches
+from .common import WS_BYTES, lean_memory, stored, text_batches
+from .keyfilter import joined_in_slices, without
 
 FOLD_BYTES = 48 << 20
 BUCKET_BYTES = 96 << 20
@@ -186,17 +187,28 @@ def normalised_digest(text: str = "text"):
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     members = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised_digest().alias("text_sha256"))
-    classes = content_classes(docs).select(F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", "group_size")
-    return members.join(classes, "text_sha256").select(
+    classes = stored(content_classes(docs).select(F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", "group_size"), "exact-classes")
+    total, most = (x or 0 for x in classes.agg(F.sum("group_size"), F.max("group_size")).first())
+    return joined_in_slices(members, classes, "text_sha256", "group_size", total, "doc_id", most).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: the documents that stay, with their own columns; a repeated row stays once."""
-    own = docs.withColumn("__digest", normalised_digest())
-    classes = content_classes(docs).select(F.lower(F.hex("digest")).alias("__class"), F.col("keep_id").alias("__keep_id"))
-    same = (F.col("__digest") == F.col("__class")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__keep_id"))
+    """The pipeline's stage: the documents that stay, with their own columns; a repeated row stays once. Where doc_ids are
+    unique, the ids that go decide and texts aren't shuffled again; only rows whose doc_id is null or repeats are
+    joined by content."""
+    members = docs.select(F.col("doc_id").cast("long").alias("__id"), normalised_digest().alias("__digest"))
+    classes = stored(content_classes(docs).select(F.lower(F.hex("digest")).alias("__class"), F.col("keep_id").alias("__keep_id")), "exact-classes")
+    same = (F.col("__digest") == F.col("__class")) & F.col("__id").eqNullSafe(F.col("__keep_id"))
+    ids = stored(members.join(classes, same, "left").groupBy("__id").agg(F.count("*").alias("n"), F.count("__class").alias("stay")), "exact-ids")
+    key = F.col("doc_id").cast("long")
+    rest = without(docs.filter(key.isNotNull()), key, ids.filter("__id IS NOT NULL AND (n > 1 OR stay = 0)").select("__id"))
+    several = ids.filter("__id IS NULL OR n > 1").select(F.col("__id").alias("__several"))
+    if several.isEmpty():
+        return rest
+    own = docs.join(several, key.eqNullSafe(F.col("__several")), "left_semi").withColumns({"__id": key, "__digest": normalised_digest()})
     # what is left of a class is one doc_id, so these windows hold more than one row only where a doc_id repeats
     one = Window.partitionBy("__digest", "__keep_id").orderBy(F.desc(F.length("text")), "text")
-    return own.join(classes, same).withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = own.join(classes, same).withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rest.unionByName(repeated)

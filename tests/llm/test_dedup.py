@@ -131,6 +131,23 @@ def test_exact_dedup(hard, hard_rows, empty, clashing, spark):
     assert sorted((r["doc_id"] or -1) for r in exact_dedup.drop_copies(twice).collect()) == [-1, 1]
 
 
+def test_exact_dedup_of_a_hot_text(spark, monkeypatch):
+    """Half of all rows have one text: its rows are dealt over slices; ids that repeat or are missing stay right."""
+    from promptquarry.llm import keyfilter
+
+    monkeypatch.setattr(keyfilter, "SLICE", 20)
+    monkeypatch.setattr(keyfilter, "HOT_SHARE", 30)
+    rows = [(i, "same text" if i % 2 else f"text {i // 3}") for i in range(400)] + [(7, "other"), (7, "text 2"), (None, "same text"), (None, "lone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    classes = {}
+    for i, t in rows:
+        classes.setdefault("".join(t.split()), []).append((-len(t), i is None, i))
+    expected = sorted(((i, min(classes["".join(t.split())])[2], len(classes["".join(t.split())])) for i, t in rows), key=str)
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(df).collect()), key=str) == expected
+    kept = sorted((min(c)[2] for c in classes.values()), key=str)
+    assert sorted((r["doc_id"] for r in exact_dedup.drop_copies(df).collect()), key=str) == kept
+
+
 def test_substring_dedup_of_hot_passages(spark, monkeypatch):
     """A passage in many contexts, in small blocks, parts of two levels and with hot pieces."""
     for name, value in {"MOST_PARTS": 3, "PART_BYTES": 2000, "HOT_SHARE": 20, "BLOCK_WINDOWS": 500, "KEYS_PER_BUCKET": 300, "RUN_BYTES": 3000}.items():
