@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..sources.store import kept
 
 RESULT = "array<struct<type:string,message:string,suggestion:string>>"
 
@@ -198,26 +199,62 @@ def enhance(prompts: DataFrame, files: DataFrame, most: int = V.MOST_CONTEXT_TOK
     return rows.select("prompt_id", F.when(F.col("has_files"), text).otherwise(F.col("content")).alias("enhanced"))
 
 
+#: Files of a project, the best by base score, that are scored before all others, and the steps of base scores that the
+#: others' postings lie in.
+FIRST, LEVELS = 64, 20
+#: Room for rounding in bounds of scores, which are compared to nine digits.
+ROOM = 1e-8
+
+
+def _level(base: Column) -> Column:
+    return F.least(F.greatest(F.floor(base * (2 * LEVELS)), F.lit(0)), F.lit(LEVELS)).cast("int")
+
+
+def relevance_candidates(rows: DataFrame, files: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
+    """Scored pairs (prompt_id, project_id, position, score) among which the best of every prompt are: those of the FIRST files
+    of each project, then those others that can still be among the best. rows: prompt_id, project_id, wanted; files:
+    project_id, position, base, words.
+
+    A threshold algorithm. The last of the best of the first files gives a score that all of the best reach. Keywords are
+    then taken the rarest first: a file that is met at one of them first can match no more keywords than are left, so
+    its base score must make up for the rest. Postings lie in steps of base scores, and those below that are never read;
+    common keywords need nearly all of it. Of the files without any keyword only a project's best can be among the best."""
+    by_base = Window.partitionBy("project_id").orderBy(F.desc(F.round("base", 9)), "position")
+    first = kept(files.select("project_id", "position", "base").withColumn("rn", F.row_number().over(by_base)).filter(F.col("rn") <= max(FIRST, top)), "first-files")
+    postings = files.join(first.select("project_id", "position", "rn"), ["project_id", "position"], "left")
+    postings = kept(postings.select("project_id", "position", "base", _level(F.col("base")).alias("level"), "rn", F.explode(F.array_distinct("words")).alias("word")), "keyword-postings")
+    counts = kept(postings.groupBy("project_id", "word").agg(F.count("*").alias("df"), F.max(F.when(F.col("rn").isNull(), F.col("base"))).alias("most")), "keyword-counts")
+    asked = rows.select("prompt_id", "project_id", F.greatest(F.coalesce(F.size("wanted"), F.lit(0)), F.lit(1)).alias("m"), F.explode("wanted").alias("word")).join(counts, ["project_id", "word"])
+    order = Window.partitionBy("prompt_id").orderBy(F.desc("df"), F.desc("word"))
+    asked = kept(asked.withColumn("left", F.row_number().over(order)), "keywords-asked")
+    score = F.col("n") / F.col("m") * 0.5 + F.col("base")
+
+    met = asked.join(postings.filter("rn IS NOT NULL"), ["project_id", "word"]).select("prompt_id", "project_id", "position", "m", "base", F.lit(1).alias("k"))
+    alone = rows.select("prompt_id", "project_id", F.lit(1).alias("m"), F.lit(0).alias("k")).join(first.filter(F.col("rn") <= top), "project_id").select("prompt_id", "project_id", "position", "m", "base", "k")
+    seeds = met.unionByName(alone).groupBy("prompt_id", "project_id", "position", "base").agg(F.sum("k").alias("n"), F.max("m").alias("m"))
+    seeds = kept(seeds.select("prompt_id", "project_id", "position", score.alias("score")), "relevance-seeds")
+    nth = Window.partitionBy("prompt_id").orderBy(F.desc("score"))
+    bound = seeds.withColumn("rn", F.row_number().over(nth)).filter(F.col("rn") == top).select("prompt_id", F.col("score").alias("bound"))
+
+    # with `left` keywords from here on, what a file's base score must be at least
+    needed = F.coalesce(F.col("bound"), F.lit(-1.0)) - 0.5 * F.col("left") / F.col("m") - ROOM
+    open_words = asked.join(bound, "prompt_id", "left").withColumn("needed", needed).filter(F.col("most") >= F.col("needed"))
+    levels = open_words.select("prompt_id", "project_id", "word", "needed", F.explode(F.sequence(_level(F.col("needed")), _level(F.col("most")))).alias("level"))
+    late = levels.join(postings.filter("rn IS NULL"), ["project_id", "word", "level"]).filter(F.col("base") >= F.col("needed")).select("prompt_id", "project_id", "position").distinct()
+    own = late.join(rows.withColumn("m", F.size("wanted")), ["prompt_id", "project_id"]).join(files.select("project_id", "position", "base", "words"), ["project_id", "position"])
+    return seeds, own.withColumn("n", F.size(F.array_intersect("wanted", "words"))).select("prompt_id", "project_id", "position", score.alias("score"))
+
+
 def context_relevance(prompts: DataFrame, files: DataFrame, top: int = 3) -> DataFrame:
-    """REL1, SCL31, JN22, SRT7: prompt_id, name, score, matched: the files that suit a prompt best. A project's files
-    differ in position. Pairs come from common keywords; of the files without any only a project's best can be among
-    the best, so those are all that is added."""
-    rows = prompts.select("prompt_id", "project_id", T.keywords(F.col("content")).alias("wanted"))
-    weight = F.when(F.col("content").isNotNull(), T.relevance(F.col("name")))
-    base = weight * 0.3 + F.least(F.length("content") / 5000, F.lit(1.0)) * 0.2
-    files = files.select("project_id", "name", "position", weight.alias("weight"), F.length("content").alias("length"), base.alias("base"), T.keywords(F.col("content")).alias("words"))
-    light = files.drop("words")
-    common = rows.select("prompt_id", "project_id", F.explode("wanted").alias("word")).join(files.select("project_id", "position", F.explode(F.array_distinct("words")).alias("word")), ["project_id", "word"])
-    common = common.groupBy("prompt_id", "project_id", "position").agg(F.count("*").alias("n"))
-    leading = Window.partitionBy("project_id").orderBy(F.desc(F.round("base", 9)), "position")
-    leading = light.withColumn("rn", F.row_number().over(leading)).filter(F.col("rn") <= top).select("project_id", "position")
-    alone = rows.select("prompt_id", "project_id").join(leading, "project_id").select("prompt_id", "project_id", "position", F.lit(0).cast("long").alias("n"))
-    pairs = common.unionByName(alone).groupBy("prompt_id", "project_id", "position").agg(F.max("n").alias("n"))
-    pairs = pairs.join(rows.select("prompt_id", F.size("wanted").alias("m")), "prompt_id").join(light, ["project_id", "position"])
-    score = F.col("n") / F.greatest(F.col("m"), F.lit(1)) * 0.5 + F.col("weight") * 0.3 + F.least(F.col("length") / 5000, F.lit(1.0)) * 0.2
+    """REL1, SCL31, JN22, SRT7: prompt_id, name, score, matched, place: the files that suit a prompt best. A project's files
+    differ in position."""
+    rows = kept(prompts.select("prompt_id", "project_id", T.keywords(F.col("content")).alias("wanted")), "prompt-keywords")
+    base = F.when(F.col("content").isNotNull(), T.relevance(F.col("name"))) * 0.3 + F.least(F.length("content") / 5000, F.lit(1.0)) * 0.2
+    files = kept(files.select("project_id", "name", "position", base.alias("base"), T.keywords(F.col("content")).alias("words")), "file-keywords")
+    seeds, rest = relevance_candidates(rows, files, top)
     order = Window.partitionBy("prompt_id").orderBy(F.desc(F.round("score", 9)), "position")
-    best = pairs.withColumn("score", score).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= top).select("prompt_id", "project_id", "position", "name", "score", "rn")
-    best = best.join(rows.select("prompt_id", "wanted"), "prompt_id").join(files.select("project_id", "position", "words"), ["project_id", "position"])
+    best = seeds.unionByName(rest).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= top)
+    best = best.join(rows.select("prompt_id", "wanted"), "prompt_id").join(files.select("project_id", "position", "name", "words"), ["project_id", "position"])
     return best.select("prompt_id", "name", "score", F.array_join(F.array_intersect("wanted", "words"), ",").alias("matched"), F.col("rn").cast("int").alias("place"))
 
 
