@@ -130,9 +130,9 @@ def score_tokens(text: Column) -> Column:
 
 
 def keywords(text: Column) -> Column:
-    """SCL13: distinct words of more than three characters."""
-    parts = F.split(replaced(replaced(F.lower(text), r"[^\w\s]"), r"\s+"), " ")
-    return F.array_distinct(F.array_except(F.filter(parts, lambda w: F.length(w) > 3), F.array(*[F.lit(w) for w in V.KEYWORD_STOP])))
+    """SCL13: distinct words of more than three characters, which are longest runs of word characters."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"\w{4,}"), F.lit(0))
+    return F.array_except(found, F.array(*[F.lit(w) for w in V.KEYWORD_STOP]))
 
 
 def jaccard(a: Column, b: Column) -> Column:

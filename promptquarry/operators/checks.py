@@ -241,8 +241,10 @@ def relevance_candidates(rows: DataFrame, files: DataFrame, top: int) -> tuple[D
     open_words = asked.join(bound, "prompt_id", "left").withColumn("needed", needed).filter(F.col("most") >= F.col("needed"))
     levels = open_words.select("prompt_id", "project_id", "word", "needed", F.explode(F.sequence(_level(F.col("needed")), _level(F.col("most")))).alias("level"))
     late = levels.join(postings.filter("rn IS NULL"), ["project_id", "word", "level"]).filter(F.col("base") >= F.col("needed")).select("prompt_id", "project_id", "position").distinct()
-    own = late.join(rows.withColumn("m", F.size("wanted")), ["prompt_id", "project_id"]).join(files.select("project_id", "position", "base", "words"), ["project_id", "position"])
-    return seeds, own.withColumn("n", F.size(F.array_intersect("wanted", "words"))).select("prompt_id", "project_id", "position", score.alias("score"))
+    lookups = asked.select("prompt_id", "project_id", "m", "word").join(late, ["prompt_id", "project_id"])
+    rest = lookups.join(postings.filter("rn IS NULL").select("project_id", "position", "base", "word"), ["project_id", "position", "word"])
+    rest = rest.groupBy("prompt_id", "project_id", "position", "m", "base").agg(F.count("*").alias("n"))
+    return seeds, rest.select("prompt_id", "project_id", "position", score.alias("score"))
 
 
 def context_relevance(prompts: DataFrame, files: DataFrame, top: int = 3) -> DataFrame:
