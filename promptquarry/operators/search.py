@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -48,9 +50,19 @@ def query_terms(queries: DataFrame, porter: bool = True) -> DataFrame:
 COMMON_SHARE, SLICE = 20_000, 8192
 
 
+def _idf() -> Column:
+    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return F.when(idf <= 0, LEAST_IDF).otherwise(idf)
+
+
+def _weight() -> Column:
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
+
+
 def rank(terms: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
-    """FTS3: query_id, prompt_id, project_id, rank (lower is better). Document counts are of the whole index. The postings of
-    common terms, of which there are fewer than COMMON_SHARE, are dealt in slices, so that no task pairs all of a term's."""
+    """FTS3: query_id, prompt_id, project_id, rank (lower is better) of all prompts with a term of the query. Document counts
+    are of the whole index. The postings of common terms, of which there are fewer than COMMON_SHARE, are dealt in
+    slices, so that no task pairs all of a term's."""
     wanted = postings.join(terms.select("term").distinct(), "term", "left_semi")
     counts = wanted.groupBy("term").agg(F.count("*").alias("df"))
     total = counts.agg(F.sum("df")).first()[0] or 0
@@ -59,10 +71,80 @@ def rank(terms: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
     dealt = wanted.join(common, "term", "left").withColumn("slice", F.pmod(F.xxhash64("prompt_id"), one).cast("int")).drop("slices")
     asked = terms.join(counts, "term").join(common, "term", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), one - 1))).drop("slices")
     rows = asked.join(dealt, ["term", "slice"]).crossJoin(F.broadcast(stats))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    return rows.groupBy("query_id", "prompt_id", "project_id").agg((-F.sum(idf * weight)).alias("rank"))
+    return rows.groupBy("query_id", "prompt_id", "project_id").agg((-F.sum(_idf() * _weight())).alias("rank"))
+
+
+#: Steps of impact, from a term's greatest to its least, that its postings lie in.
+STEPS = 16
+#: Room for rounding in bounds, which are compared to nine digits.
+ROOM = 1e-7
+BLOCK = ["term", "project_id", "step", "part"]
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Scored postings of the asked terms (BLOCK, prompt_id, impact) and their blocks (BLOCK, greatest impact, n)."""
+
+    postings: DataFrame
+    blocks: DataFrame
+
+
+def impact_blocks(terms: DataFrame, postings: DataFrame, stats: DataFrame, projects: DataFrame) -> Blocks:
+    """FTS3: a posting's impact is what its term adds to its prompt's score. Postings of the given projects (project_id) in
+    blocks by term, project and step of impact; a step with more than SLICE postings is several blocks."""
+    wanted = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    counts = wanted.groupBy("term").agg(F.count("*").alias("df"))
+    rows = wanted.join(counts, "term").crossJoin(F.broadcast(stats)).select("term", "prompt_id", "project_id", (_idf() * _weight()).alias("impact"), (_idf() * (K1 + 1)).alias("most"))
+    step = F.least(F.floor((1 - F.col("impact") / F.col("most")) * STEPS), F.lit(STEPS - 1)).cast("int")
+    rows = kept(rows.join(projects, "project_id", "left_semi").select("term", "project_id", "prompt_id", "impact", step.alias("step")), "impacts")
+    sizes = rows.groupBy("term", "project_id", "step").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    large = F.broadcast(sizes.filter(F.col("n") > max(SLICE, -(-total // COMMON_SHARE))).select("term", "project_id", "step", F.ceil(F.col("n") / SLICE).cast("int").alias("parts")))
+    parts = F.pmod(F.xxhash64("prompt_id"), F.coalesce("parts", F.lit(1))).cast("int")
+    rows = rows.join(large, ["term", "project_id", "step"], "left").withColumn("part", parts).drop("parts")
+    return Blocks(rows, kept(rows.groupBy(*BLOCK).agg(F.max("impact").alias("greatest"), F.count("*").alias("n")), "impact-blocks"))
+
+
+def scored_blocks(asked: DataFrame, index: Blocks) -> tuple[DataFrame, DataFrame]:
+    """Which blocks are read for each query: (query_id, BLOCK, times) of those that can hold a prompt of the first k, and per
+    query (query_id, bound, unread): the k-th best score of a first few blocks, and the most that blocks that aren't read
+    can add to a prompt. asked: query_id, term, scope (a project, or null for all), k; a term may be asked twice.
+
+    The blocks of greatest impact are scored first, until about k postings are; the k-th best of these partial scores
+    is a bound for what the first k reach. Terms are then taken by their greatest impacts: as long as these add up to
+    less than the bound, prompts with no other terms can't reach it. Of the other terms a block is read only if its
+    greatest impact and those of all other terms reach the bound."""
+    asked = asked.groupBy("query_id", "term", "scope", "k").agg(F.count("*").alias("times"))
+    own = asked.filter("scope IS NOT NULL").withColumnRenamed("scope", "project_id").join(index.blocks, ["term", "project_id"])
+    every = asked.filter("scope IS NULL").drop("scope").join(index.blocks, "term")
+    blocks = own.unionByName(every).withColumn("greatest", F.col("greatest") * F.col("times"))
+    by_term = Window.partitionBy("query_id", "term")
+    by_impact = Window.partitionBy("query_id").orderBy(F.desc("greatest"), *BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = kept(blocks.withColumns({"before": F.coalesce(F.sum("n").over(by_impact), F.lit(0)), "of_term": F.max("greatest").over(by_term)}), "asked-blocks")
+    first = blocks.filter(F.col("before") < F.col("k")).select("query_id", "k", "times", *BLOCK).join(index.postings, BLOCK)
+    first = first.groupBy("query_id", "k", "prompt_id").agg(F.sum(F.col("impact") * F.col("times")).alias("score"))
+    nth = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    bound = first.withColumn("rn", F.row_number().over(nth)).filter(F.col("rn") == F.col("k")).select("query_id", (F.col("score") * (1 - ROOM)).alias("bound"))
+    terms = blocks.select("query_id", "term", "of_term").distinct()
+    upwards = Window.partitionBy("query_id").orderBy("of_term", "term")
+    terms = terms.join(bound, "query_id", "left").withColumns({"bound": F.coalesce("bound", F.lit(0.0)), "sum": F.sum("of_term").over(upwards.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("of_term").over(Window.partitionBy("query_id"))})
+    reaches = (F.col("sum") >= F.col("bound")) & (F.col("greatest") + F.col("all") - F.col("of_term") >= F.col("bound"))
+    blocks = kept(blocks.drop("of_term").join(terms, ["query_id", "term"]).withColumn("read", reaches), "bounded-blocks")
+    unread = blocks.filter("NOT read").groupBy("query_id", "term").agg(F.max("greatest").alias("u")).groupBy("query_id").agg(F.sum("u").alias("unread"))
+    per_query = blocks.select("query_id", "bound").distinct().join(unread, "query_id", "left").select("query_id", "bound", F.coalesce("unread", F.lit(0.0)).alias("unread"))
+    return blocks.filter("read").select("query_id", *BLOCK, "times"), per_query
+
+
+def best_ranked(asked: DataFrame, index: Blocks) -> DataFrame:
+    """FTS3, FTS5: query_id, prompt_id, project_id, rank as rank() gives them, of prompts among which the first k of every
+    query are. What the read blocks and the most that the others can add leave below the bound is dropped; the rest is
+    scored in full."""
+    read, per_query = scored_blocks(asked, index)
+    partial = read.join(index.postings, BLOCK).groupBy("query_id", "prompt_id", "project_id").agg(F.sum(F.col("impact") * F.col("times")).alias("partial"))
+    likely = partial.join(per_query, "query_id").filter(F.col("partial") + F.col("unread") >= F.col("bound")).select("query_id", "prompt_id", "project_id")
+    likely = likely.join(asked.select("query_id", "term"), "query_id")
+    full = likely.join(index.postings.select("term", "project_id", "prompt_id", "impact"), ["term", "project_id", "prompt_id"])
+    return full.groupBy("query_id", "prompt_id", "project_id").agg((-F.sum("impact")).alias("rank"))
 
 
 def top(ranked: DataFrame, prompts: DataFrame, projects: DataFrame, limit: int, own: str = OWN_TOOL) -> DataFrame:
@@ -81,18 +163,19 @@ def retrieve(queries: DataFrame, prompts: DataFrame, projects: DataFrame, limit:
     postings, stats = build_index(prompts, porter)
     postings, terms = kept(postings, "postings"), kept(query_terms(queries, porter), "query-terms")
     scope = kept(queries.select("query_id", F.col("project_id").alias("scope")), "query-scopes")
-    ranked = kept(rank(terms, postings, stats).join(scope, "query_id"), "ranked")
-    inside = kept(top(ranked.filter("scope IS NOT NULL AND scope = project_id").drop("scope"), prompts, projects, limit, own), "inside")
+    ok = projects.filter(foreign_project(F.col("name"), F.col("cwd"), own)).select("project_id")
+    index = impact_blocks(terms, postings, stats, ok)
+    asked = terms.join(scope, "query_id")
+    inside = kept(top(best_ranked(asked.filter("scope IS NOT NULL").withColumn("k", F.lit(OVER * limit)), index), prompts, projects, limit, own), "inside")
     counts = inside.groupBy("query_id").agg(F.count("*").alias("have"))
     need = scope.join(counts, "query_id", "left").withColumn("have", F.coalesce("have", F.lit(0)))
     half = -(-limit // 2)
     need = need.filter(F.col("scope").isNull() | (F.lit(fallback) & (F.col("have") < half))).select("query_id", "scope", (F.lit(limit) - F.col("have")).alias("missing"))
     # of each query three times what is missing (all of it without a scope), each over-retrieved before the filter
     order = Window.partitionBy("query_id").orderBy(F.round("rank", 9), "prompt_id")
-    ok = projects.filter(foreign_project(F.col("name"), F.col("cwd"), own)).select("project_id")
-    wide = ranked.drop("scope").join(need, "query_id").join(ok, "project_id", "left_semi")
-    most = F.when(F.col("scope").isNull(), F.lit(limit)).otherwise(F.col("missing") * 3)
-    wide = wide.withColumn("most", most).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= OVER * F.col("most"))
+    need = kept(need.withColumn("most", F.when(F.col("scope").isNull(), F.lit(limit)).otherwise(F.col("missing") * 3)), "needed")
+    asked = terms.join(need.select("query_id", (OVER * F.col("most")).alias("k")), "query_id").withColumn("scope", F.lit(None).cast(dict(scope.dtypes)["scope"]))
+    wide = best_ranked(asked, index).join(need, "query_id").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= OVER * F.col("most"))
     wide = wide.join(prompts.select("prompt_id", "content"), "prompt_id").filter(~T.synthetic_for_search(F.col("content")))
     wide = wide.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= F.col("most"))
     wide = wide.join(inside.select("query_id", "prompt_id"), ["query_id", "prompt_id"], "left_anti")
