@@ -1,7 +1,9 @@
 """Transcripts: JSON lines of two layouts to sessions, prompts and tool calls.
 
-A transcript file is read whole, because the order of its lines is part of the data; files are the unit of
-parallelism. JSON is kept as VARIANT up to the point where a field is taken from it.
+Files are read line by line and split like any text, so a file may be far larger than a task. The order of its lines is
+part of the data: it is that of the blocks of the file and, inside a block, of the lines as they are read. Turns are
+numbered inside blocks, and counts of the blocks before are added. JSON is kept as VARIANT up to the point where a
+field is taken from it.
 """
 
 from __future__ import annotations
@@ -11,25 +13,28 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .store import kept
 
 # fixed values: layouts of the two sources
 PROJECTS, AUDITS = "claude-code", "cowork"
 MODEL_PREFIX = "claude-code-"
 TURN_BITS = 24
 
-_LINES = "path string, line_no int, v variant"
+def _no_lines(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "path string, block long, line_no long, raw string").select("path", "block", "line_no", F.try_parse_json("raw").alias("v"))
 
 
 def read_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """SRC1, SRC2, SRC4: path, line_no, v of the lines that parse, of all files below root; a missing root is empty."""
+    """SRC1, SRC2, SRC4: path, block, line_no, v of the lines that parse, of all files below root; a missing root is empty.
+    block is where a task's part of the file begins, line_no orders the lines of a block; both together order a file's."""
     try:
-        files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
+        lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(root)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e.getCondition()):
             raise
-        return spark.createDataFrame([], "path string, line_no int, raw string").select("path", "line_no", F.try_parse_json("raw").alias("v"))
-    lines = files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "raw"))
-    parsed = lines.select("path", "line_no", F.try_parse_json("raw").alias("v"))
+        return _no_lines(spark)
+    rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), "value")
+    parsed = rows.select("path", "block", "line_no", F.try_parse_json("value").alias("v"))
     return parsed.filter(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT"))
 
 
@@ -90,8 +95,10 @@ def tool_uses(content: Column) -> Column:
 
 
 def read_events(lines: DataFrame, audit: bool = False) -> DataFrame:
-    """FLT2, FLT5: lines that are no replays, with time, kind, role and content."""
-    kept = lines.filter(~F.coalesce(F.try_variant_get("v", "$.isReplay", "boolean"), F.lit(False)))
+    """FLT2, FLT5: lines that are no replays, with time, kind, role, content and the fields that sessions and turns take.
+    lines without a block are ordered by line_no alone."""
+    lines = lines if "block" in lines.columns else lines.withColumn("block", F.lit(0).cast("long"))
+    rows = lines.filter(~F.coalesce(F.try_variant_get("v", "$.isReplay", "boolean"), F.lit(False)))
     at = T.iso_time(F.try_variant_get("v", "$.timestamp", "variant"))
     if audit:
         at = F.coalesce(T.iso_time(F.try_variant_get("v", "$._audit_timestamp", "variant")), at)
@@ -99,29 +106,36 @@ def read_events(lines: DataFrame, audit: bool = False) -> DataFrame:
     message = F.try_variant_get("v", "$.message.content", "variant")
     has_message = F.try_variant_get("v", "$.message", "variant").isNotNull()
     role = F.when(kind.isin("user", "assistant") & has_message, F.when(string_at("v", "$.message.role") == "assistant", "assistant").otherwise("user"))
-    return kept.select("path", "line_no", "v", at.alias("at"), kind.alias("kind"), role.alias("role"), message.alias("message"), human_text(message).alias("content"))
+    rows = rows.select("path", "block", "line_no", "v", at.alias("at"), kind.alias("kind"), role.alias("role"), message.alias("message"), human_text(message).alias("content"))
+    is_turn = F.coalesce((F.col("role") == "assistant") | ((F.col("role") == "user") & (F.col("content") != "")), F.lit(False))
+    queued = F.when((F.col("kind") == "queue-operation") & (string_at("v", "$.operation") == "enqueue"), string_at("v", "$.content"))
+    named = {name: string_at("v", f"$.{field}") for name, field in FIELDS.items()}
+    return rows.withColumns(named | {"queued": queued, "is_turn": is_turn, "raw": F.when(is_turn, F.to_json("v")), "uses": F.when(F.col("role") == "assistant", tool_uses(F.col("message")))})
+
+
+#: Fields of a line that sessions take.
+FIELDS = {"session_key": "sessionId", "cwd": "cwd", "git_branch": "gitBranch", "user_type": "userType", "version": "version"}
+_ORDER = ("block", "line_no")
 
 
 def _first(value: Column) -> Column:
-    return F.min_by(value, F.when(value.isNotNull(), F.col("line_no")))
+    return F.min_by(value, F.when(value.isNotNull(), F.struct(*_ORDER)))
 
 
 def _last(value: Column) -> Column:
-    return F.max_by(value, F.when(value.isNotNull(), F.col("line_no")))
+    return F.max_by(value, F.when(value.isNotNull(), F.struct(*_ORDER)))
 
 
 def sessions_of_projects(events: DataFrame) -> DataFrame:
     """SRC5, AGG23: first and last by the order in the file. A file without any time has no session."""
     user = F.when((F.col("role") == "user") & (F.col("content") != ""), F.col("content"))
-    queued = F.when((F.col("kind") == "queue-operation") & (string_at("v", "$.operation") == "enqueue"), string_at("v", "$.content"))
     rows = events.groupBy("path").agg(
-        _last(string_at("v", "$.sessionId")).alias("id"), _last(string_at("v", "$.cwd")).alias("cwd"), _last(string_at("v", "$.gitBranch")).alias("git_branch"),
-        _last(string_at("v", "$.userType")).alias("user_type"), _first(string_at("v", "$.version")).alias("version"), _first(F.col("at")).alias("started_at"),
-        _last(F.col("at")).alias("ended_at"), F.coalesce(_first(user), _first(queued), F.lit("")).alias("first_text"),
+        *[_last(F.col(c)).alias(c) for c in ("session_key", "cwd", "git_branch", "user_type")], _first(F.col("version")).alias("version"), _first(F.col("at")).alias("started_at"),
+        _last(F.col("at")).alias("ended_at"), F.coalesce(_first(user), _first(F.col("queued")), F.lit("")).alias("first_text"),
     )
     base = F.regexp_extract("path", r"([^/]+)\.[a-z]+$", 1)
     return rows.filter("started_at IS NOT NULL").select(
-        F.lit(PROJECTS).alias("source"), F.coalesce("id", base).alias("session_id"), F.col("path").alias("source_path"), "cwd", "started_at", "ended_at",
+        F.lit(PROJECTS).alias("source"), F.coalesce("session_key", base).alias("session_id"), F.col("path").alias("source_path"), "cwd", "started_at", "ended_at",
         F.lit(None).cast("string").alias("title"), F.concat(F.lit(MODEL_PREFIX), "version").alias("model"), "git_branch",
         T.scheduled_task(F.col("first_text")).alias("scheduled_task_id"), "user_type", "path",
     )
@@ -160,44 +174,55 @@ def numbered_files(sessions: DataFrame) -> DataFrame:
     return rows.withColumn("file_no", (F.col("__before") + F.col("__nth")).cast("long")).drop("__folder", "__before", "__nth")
 
 
+def numbered_turns(events: DataFrame) -> DataFrame:
+    """WIN5: the turns of a file with turn_index: their place in the block, after the turns of the file's blocks before. So no
+    task needs all turns of a file."""
+    turns = events.filter("is_turn")
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = turns.groupBy("path", "block").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inside = F.row_number().over(Window.partitionBy("path", "block").orderBy("line_no")) - 1
+    return turns.withColumn("turn_index", inside).join(blocks, ["path", "block"]).withColumn("turn_index", (F.col("turn_index") + F.col("before")).cast("long")).drop("before")
+
+
 def prompts_of(events: DataFrame, sessions: DataFrame) -> DataFrame:
     """WIN5: the turns. A user message without human text is none; an assistant's always is one. Ids follow the order
     of source, folder, file and turn. sessions with file_no."""
-    turns = events.filter("role = 'assistant' OR (role = 'user' AND content <> '')")
-    turns = turns.withColumn("turn_index", (F.row_number().over(Window.partitionBy("path").orderBy("line_no")) - 1).cast("long"))
-    rows = turns.join(sessions.select("path", "session_id", "project_id", "eligible", "file_no"), "path")
+    rows = numbered_turns(events).join(sessions.select("path", "session_id", "project_id", "eligible", "file_no"), "path")
     normal = T.normalized(F.col("content"))
     tags = T.prompt_tags(F.col("content"))
     return rows.select(
         (F.shiftleft("file_no", TURN_BITS) + F.col("turn_index")).alias("prompt_id"), "session_id", "project_id", "turn_index", "role", "content", normal.alias("normalized_content"),
-        F.to_json("v").alias("raw_event_json"), F.col("at").alias("timestamp"), *[tags[f"has_{k}"].alias(f"has_{k}") for k in ("files", "tests", "criteria", "constraints", "local_env")],
-        "eligible", "message",
+        F.col("raw").alias("raw_event_json"), F.col("at").alias("timestamp"), *[tags[f"has_{k}"].alias(f"has_{k}") for k in ("files", "tests", "criteria", "constraints", "local_env")],
+        "eligible", "uses",
     )
 
 
 def tool_calls_of(prompts: DataFrame) -> DataFrame:
     """JN24: tool uses with the turn that made them."""
-    rows = prompts.filter("role = 'assistant'").select("prompt_id", "session_id", "timestamp", F.posexplode(tool_uses(F.col("message"))).alias("i", "u"))
+    rows = prompts.filter("role = 'assistant'").select("prompt_id", "session_id", "timestamp", F.posexplode("uses").alias("i", "u"))
     return rows.select(F.struct("prompt_id", "i").alias("tool_call_id"), "prompt_id", "session_id", "u.tool_name", "u.file_path", "u.operation", F.lit(None).cast("boolean").alias("success"), "timestamp")
 
 
 def ingest(spark: SparkSession, projects_root: str | None = None, audits_root: str | None = None, pattern: str = "*.jsonl") -> dict[str, DataFrame]:
-    """ING1, SET5: sessions, prompts, tool_calls and projects of both sources; without a root they are empty."""
-    none = spark.createDataFrame([], "path string, line_no int, raw string").select("path", "line_no", F.try_parse_json("raw").alias("v"))
-    own = read_events(read_lines(spark, projects_root, pattern) if projects_root else none)
-    audits = read_events(read_lines(spark, audits_root, "audit.jsonl") if audits_root else none, audit=True)
+    """ING1, SET5: sessions, prompts, tool_calls and projects of both sources; without a root they are empty. Files are
+    parsed once: their events and sessions are kept as tables that all others are made of."""
+    own = read_events(read_lines(spark, projects_root, pattern) if projects_root else _no_lines(spark))
+    audits = read_events(read_lines(spark, audits_root, "audit.jsonl") if audits_root else _no_lines(spark), audit=True)
+    events = own.withColumn("is_audit", F.lit(False)).unionByName(audits.withColumn("is_audit", F.lit(True)))
+    events = kept(events.drop("v", "message"), "transcript-events")
     manifests = read_manifests(spark, audits_root) if audits_root else spark.createDataFrame([], "folder string, " + ", ".join(f"{c} string" for c in MANIFEST))
-    sessions = sessions_of_projects(own).unionByName(sessions_of_audits(audits, manifests))
-    return corpus_of(own.unionByName(audits), numbered_files(with_projects(sessions)))
+    sessions = sessions_of_projects(events.filter("NOT is_audit")).unionByName(sessions_of_audits(events.filter("is_audit"), manifests))
+    return corpus_of(events, kept(numbered_files(with_projects(sessions)), "transcript-sessions"))
 
 
 def corpus_of(events: DataFrame, sessions: DataFrame) -> dict[str, DataFrame]:
     """The tables of numbered sessions and their events."""
     prompts = prompts_of(events, sessions)
-    turns = prompts.groupBy("session_id").agg(F.count("*").alias("turn_count"))
+    turns = events.filter("is_turn").groupBy("path").agg(F.count("*").alias("turns")).join(sessions.select("path", "session_id"), "path")
+    turns = turns.groupBy("session_id").agg(F.sum("turns").alias("turn_count"))
     return {
         "sessions": sessions.join(turns, "session_id", "left").withColumn("turn_count", F.coalesce("turn_count", F.lit(0))).drop("path", "file_no"),
-        "prompts": prompts.drop("message"),
+        "prompts": prompts.drop("uses"),
         "tool_calls": tool_calls_of(prompts),
         "projects": merged_projects(sessions.withColumn("seq", F.col("file_no"))),
     }
