@@ -125,6 +125,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "transcript_sessions": v("SELECT session_id, cwd, started_at, ended_at, model, user_type, scheduled_task_id, eligible, project_name, turn_count FROM named", *_TRANSCRIPT),
         "transcript_prompts": v(f"SELECT s.session_id, turn_index, role, content, ts AS timestamp, {tags['has_files']} AS has_files, {tags['has_tests']} AS has_tests, s.eligible FROM turns JOIN named s ON s.c = turns.c", *_TRANSCRIPT),
+        "stored_prompts": v(f"SELECT s.session_id, turn_index, role, content, ts AS timestamp, {tags['has_files']} AS has_files, {tags['has_tests']} AS has_tests, s.eligible FROM turns JOIN named s ON s.c = turns.c", *_TRANSCRIPT),
         "transcript_order": v("SELECT session_id, file_no, turn_count AS turns FROM named WHERE turn_count > 0", *_TRANSCRIPT),
         "transcript_tool_calls": v(f"SELECT s.session_id, {_TOOL} AS tool_name, {O._operation(_TOOL)} AS operation, 'src/' || turns.c % 7 || '.py' AS file_path, count(*) AS n FROM turns JOIN named s ON s.c = turns.c WHERE role = 'assistant' AND t % 2 = 1 GROUP BY ALL", *_TRANSCRIPT),
         "transcript_projects": v("SELECT project_id, arg_min(project_name, file_no) AS name, arg_min(cwd, file_no) AS cwd, arg_max(coalesce(ended_at, started_at), file_no) AS last_seen_at FROM named GROUP BY 1", *_TRANSCRIPT),

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import checks, dedupe, evaluation, events, labels, outcomes, pairs, scoring, search, stats, verdicts
 from ..sources import snapshots as S
 from ..sources import store, transcripts
+from ..sources.corpus import merged_into
 from . import recorded
 from .fixture import open_corpus
 
@@ -496,6 +497,16 @@ def transcript_projects(c: Corpus) -> DataFrame:
     return _transcripts(c)["projects"].select("project_id", "name", "cwd", "last_seen_at")
 
 
+@query
+def stored_prompts(c: Corpus) -> DataFrame:
+    """SRC10, SNK1, SNK15: the ingest of all transcripts into a stored corpus, then of every fourth again; what is read back."""
+    root, again = store.scratch_folder(c.spark, "corpus"), store.scratch_folder(c.spark, "transcripts")
+    merged_into(c.spark, root, _transcripts(c))
+    recorded.transcript_files(c.raw_turns).filter("file % 4 = 0").write.partitionBy("file").text(again)
+    merged_into(c.spark, root, transcripts.ingest(c.spark, again, pattern="*.txt"))
+    return store.open_corpus(c.spark, root)["prompts"].select("session_id", "turn_index", "role", "content", "timestamp", "has_files", "has_tests", "eligible")
+
+
 @query
 def tool_result_lines(c: Corpus) -> DataFrame:
     """FLT4: lines whose message holds the result of a tool."""
