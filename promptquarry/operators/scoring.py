@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..sources.store import kept
 
 
 def score_questions(cases: DataFrame, top: int = 3) -> DataFrame:
@@ -52,11 +56,40 @@ def worst_cases(scores: DataFrame, n: int = 3) -> DataFrame:
     return scores.filter("gold_kind IS NOT NULL").orderBy("overlap_at_3", "case_id").limit(n).select("case_id", "overlap_at_3")
 
 
+#: Cases of a run in one range of their order.
+RANGE = 100_000
+
+
 def within_budget(cases: DataFrame, cap: float, order: str = "case_id", group: str = "run_id") -> DataFrame:
-    """WIN10: cases run until the cost so far exceeds the cap, which overshoots by one."""
-    before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum("cost_usd").over(before), F.lit(0.0))
-    return cases.withColumn("spent_before", spent).filter(F.round("spent_before", 9) <= cap)
+    """WIN10: cases run until the cost so far exceeds the cap, which overshoots by one. A run's cases are cut at quantiles of
+    their order (a number); costs are summed per range, then inside each range, so no task sums a whole run."""
+    most = cases.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    k = -(-most // RANGE)
+    if k > 1:
+        cuts = cases.groupBy(group).agg(F.percentile_approx(order, [i / k for i in range(1, k)], F.lit(20 * k)).alias("cuts"))
+        per_run = _beside(cases, kept(cuts, "run-cuts"), [group])
+        rows = per_run.withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(order)))).drop("cuts")
+    else:
+        rows = cases.withColumn("range", F.lit(0))
+    earlier = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(group, "range").agg(F.sum("cost_usd").alias("sum")).withColumn("start", F.coalesce(F.sum("sum").over(earlier), F.lit(0.0))).drop("sum")
+    before = Window.partitionBy(group, "range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("cost_usd").over(before), F.lit(0.0)))
+    spent = _beside(rows, kept(sums, "range-sums"), [group, "range"]).withColumn("spent_before", F.col("start") + F.col("inside"))
+    return spent.filter(F.round("spent_before", 9) <= cap).drop("range", "start", "inside")
+
+
+def _beside(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the one row of per_key that has their keys, null ones too. Few rows are broadcast; a run of very many cases is
+    split by Spark where they aren't, as per_key is a table."""
+    right = per_key.withColumnsRenamed({c: f"__{c}" for c in keys})
+    right = F.broadcast(right) if per_key.count() <= BROADCAST_RANGES else right
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    return rows.join(right, reduce(and_, same)).drop(*[f"__{c}" for c in keys])
+
+
+#: Ranges that are broadcast at most, after they are counted.
+BROADCAST_RANGES = 10_000
 
 
 def instrumented(cases: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import sqlite3
 
 import pytest
@@ -75,6 +76,23 @@ def test_budget_overshoots_by_one(spark):
     assert scoring.within_budget(cases, 2.0).count() == 3
 
 
+def test_budget_in_ranges(spark, monkeypatch):
+    """Sums of ranges and inside of them against a plain sum, with a run without id, costs that are missing and gaps."""
+    r = random.Random(9)
+    rows = [(i * r.choice([1, 1, 3]) + 1000 * i, run, None if i % 13 == 0 else round(r.random(), 3)) for run, n in ((1, 120), (2, 45), (None, 30), (4, 1)) for i in range(n)]
+    expected = set()
+    for run in (1, 2, None, 4):
+        spent = 0.0
+        for i, _, cost in sorted(x for x in rows if x[1] == run):
+            if round(spent, 9) <= 11.0:
+                expected.add((i, run, round(spent, 6)))
+            spent += cost or 0.0
+    cases = spark.createDataFrame(rows, "case_id long, run_id long, cost_usd double").repartition(3)
+    for size in (100_000, 7):
+        monkeypatch.setattr(scoring, "RANGE", size)
+        assert {(x["case_id"], x["run_id"], round(x["spent_before"], 6)) for x in scoring.within_budget(cases, 11.0).collect()} == expected
+
+
 def test_corpus_clarify_shapes(spark):
     prompts = spark.createDataFrame([(i,) for i in range(4)], "prompt_id long")
     found = spark.createDataFrame([(1, 3), (2, 3), (3, 3)], "prompt_id long, n long")
