@@ -279,6 +279,27 @@ def _scrubbed() -> str:
     return f"SELECT doc_id, substr(t, 2, length(t) - 2) AS scrubbed FROM ({rows}) x"
 
 
+def _report() -> str:
+    fact = lambda section, key, metric, value, rest: f"SELECT '{section}' AS section, coalesce(CAST({key} AS VARCHAR), '?') AS key, '{metric}' AS metric, CAST({value} AS BIGINT) AS value FROM {rest}"
+    users = "(SELECT p.project_id AS k, count(CASE WHEN r.role = 'user' THEN 1 END) AS n, count(DISTINCT s.session_id) AS m FROM projects p JOIN sessions s ON s.project_id = p.project_id AND s.eligible JOIN prompts r ON r.session_id = s.session_id GROUP BY 1 ORDER BY 2 DESC, CAST(p.project_id AS VARCHAR) LIMIT 5) x"
+    calls = f"(SELECT {_operation('n')} AS k FROM (SELECT concat(event_type, CASE WHEN event_id % 3 = 0 THEN 'Edit' ELSE '' END) AS n FROM events) y) z"
+    shots = "(SELECT snapshot_type AS k, count(*) AS a, sum(n) AS b, sum(b) AS c FROM snapshots JOIN (SELECT snapshot_id, count(*) AS n, sum(strlen(line)) AS b FROM files GROUP BY 1) f USING (snapshot_id) GROUP BY 1) x"
+    dense = "(SELECT p.project_id AS k, count(*) AS a, count(DISTINCT clarification_kind) AS b, count(DISTINCT r.session_id) AS c FROM rule_pairs r JOIN prompts p ON p.prompt_id = r.originating_prompt_id JOIN projects j ON j.project_id = p.project_id GROUP BY 1 ORDER BY 2 DESC, CAST(p.project_id AS VARCHAR) LIMIT 10) x"
+    sources = "(SELECT source AS k, count(DISTINCT s.session_id) AS a, count(p.prompt_id) AS b FROM sessions s LEFT JOIN prompts p ON p.session_id = s.session_id GROUP BY 1) x"
+    roles = "(SELECT role AS k, count(*) AS a, count(*) FILTER (s.eligible) AS b FROM prompts p JOIN sessions s ON s.session_id = p.session_id GROUP BY 1) x"
+    inside = "user_type IS NOT NULL AND user_type <> 'external' AND scheduled_task_id IS NULL"
+    rows = [fact("sources", "k", "sessions", "a", sources), fact("sources", "k", "events", "b", sources), fact("roles", "k", "total", "a", roles), fact("roles", "k", "eligible", "b", roles)]
+    for metric, condition in (("total", "true"), ("eligible", "eligible"), ("excluded", "NOT eligible"), ("scheduled", "scheduled_task_id IS NOT NULL"), ("non_external", inside)):
+        rows.append(fact("sessions", "'all'", metric, f"count(*) FILTER ({condition})", "sessions"))
+    rows += [fact("projects", "k", "user_prompts", "n", users), fact("projects", "k", "sessions", "m", users), fact("tools", "'all'", "calls", "count(*)", "events")]
+    rows.append(fact("operations", "k", "calls", "n", f"(SELECT k, count(*) AS n FROM {calls} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10) o"))
+    rows += [fact("snapshots", "k", m, x, shots) for m, x in (("snapshots", "a"), ("files", "b"), ("bytes", "c"))]
+    rows.append(fact("outcomes", "k", "sessions", "n", "(SELECT outcome AS k, count(*) AS n FROM outcomes GROUP BY 1) x"))
+    rows.append(fact("kinds", "k", "pairs", "n", "(SELECT clarification_kind AS k, count(*) AS n FROM rule_pairs GROUP BY 1) x"))
+    rows += [fact("pairs", "k", m, x, dense) for m, x in (("pairs", "a"), ("kinds", "b"), ("sessions", "c"))]
+    return with_views(" UNION ALL ".join(f"({r})" for r in rows), *OUTCOME_VIEWS, FLAGGED, RANKED, RULE_PAIRS)
+
+
 def oracle_sql() -> dict[str, str]:
     v = with_views
     key = "session_id, orig_norm, clar_norm"
@@ -305,6 +326,7 @@ def oracle_sql() -> dict[str, str]:
         "score_tokens": v(f"SELECT prompt_id, array_to_string({_TOK('content')}, ' ') AS tokens FROM prompts"),
         "source_counts": v("SELECT source, count(DISTINCT s.session_id) AS sessions, count(p.prompt_id) AS events FROM sessions s LEFT JOIN prompts p ON p.session_id = s.session_id GROUP BY source"),
         "session_eligibility": v(f"SELECT count(*) AS total, {_N.format('eligible')} AS eligible, {_N.format('NOT eligible')} AS excluded, {_N.format('scheduled_task_id IS NOT NULL')} AS scheduled, " + _N.format("user_type IS NOT NULL AND user_type <> 'external' AND scheduled_task_id IS NULL") + " AS non_external FROM sessions"),
+        "stats_report": _report(),
         "top_projects": v("SELECT p.project_id, p.name, count(CASE WHEN r.role = 'user' THEN 1 END) AS user_prompt_count, count(DISTINCT s.session_id) AS session_count FROM projects p JOIN sessions s ON s.project_id = p.project_id AND s.eligible JOIN prompts r ON r.session_id = s.session_id GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 5"),
         "role_counts": v(f"SELECT role, count(*) AS total, {_N.format('s.eligible')} AS eligible FROM prompts p JOIN sessions s ON s.session_id = p.session_id GROUP BY role"),
         "operation_histogram": f"SELECT operation, count(*) AS n FROM (SELECT {_operation('n')} AS operation FROM (SELECT concat(event_type, CASE WHEN event_id % 3 = 0 THEN 'Edit' ELSE '' END) AS n FROM events) x) y GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
