@@ -214,3 +214,29 @@ def languages(docs, trigrams, least=0.5):
         p = 1 / np.exp(x - x.max()).sum()
         out[i] = (names[int(np.argmax(x))] if p >= least else "und", p)
     return out
+
+
+def mix(docs, weights=(3.0, 1.0, 2.0), share=1.5, most=2.0):
+    """doc_id to words taken, for rows of (doc_id, text, source) without repeated ids: documents of a source in the order of
+    a hash, cut where its target ends."""
+    size = {d: len(WORD.findall(t or "")) for d, t, _ in docs}
+    sources = sorted({s for *_, s in docs}, key=lambda s: (s is None, s or ""))
+    own = {s: sum(size[d] for d, _, x in docs if x == s) for s in sources}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(sources)}
+    full = set()
+    while True:
+        rest = [s for s in sources if s not in full]
+        level = (share * sum(own.values()) - sum(most * own[s] for s in full)) / sum(weight[s] for s in rest) if rest else 0.0
+        more = {s for s in rest if weight[s] * level >= most * own[s]}
+        if not more:
+            break
+        full |= more
+    out = {}
+    for s in sources:
+        target = math.floor(most * own[s] if s in full else weight[s] * level)
+        epochs = target // own[s] if own[s] else 0
+        left = target - epochs * own[s]
+        for d in sorted((d for d, _, x in docs if x == s), key=lambda d: (hashlib.md5(f"{d}:mix-1".encode()).hexdigest()[:15], d)):
+            out[d] = epochs * size[d] + min(size[d], max(left, 0))
+            left -= size[d]
+    return out
