@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..functions.regex import java, java_ascii
 from ..sources.store import kept
 
 RESULT = "array<struct<type:string,message:string,suggestion:string>>"
@@ -301,6 +302,10 @@ def extractor_message(pairs: DataFrame, most: int = 1500) -> DataFrame:
 
 def scrubbed(text: Column) -> Column:
     """Extra: personal data by patterns: e-mail addresses, keys, card numbers, IP addresses, phone numbers, home paths."""
+    return F.when(T.is_ascii(text), _scrubbed(text, java_ascii)).otherwise(_scrubbed(text, java))
+
+
+def _scrubbed(text: Column, form: Callable[[str], str]) -> Column:
     for pattern, by in (
         # a run of the name's characters is tried once, from its start or from the end of the match before
         (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<EMAIL>"),
@@ -311,5 +316,5 @@ def scrubbed(text: Column) -> Column:
         (r"(?<![\w.+-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d){7,12})(?![\w-])", "<PHONE>"),
         (r"/(?:Users|home)/\w+|[A-Z]:\\Users\\\w+", "<HOME>"),
     ):
-        text = T.replaced(text, pattern, by)
+        text = F.regexp_replace(text, form(pattern), by)
     return text
