@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.porter import stem_udf
 from ..sources.store import kept
+from . import cells
 from .labels import OWN_TOOL, foreign_project
 
 K1, B = 1.2, 0.75
@@ -102,7 +103,7 @@ def impact_blocks(terms: DataFrame, postings: DataFrame, stats: DataFrame, proje
     large = F.broadcast(sizes.filter(F.col("n") > max(SLICE, -(-total // COMMON_SHARE))).select("term", "project_id", "step", F.ceil(F.col("n") / SLICE).cast("int").alias("parts")))
     parts = F.pmod(F.xxhash64("prompt_id"), F.coalesce("parts", F.lit(1))).cast("int")
     rows = rows.join(large, ["term", "project_id", "step"], "left").withColumn("part", parts).drop("parts")
-    return Blocks(rows, kept(rows.groupBy(*BLOCK).agg(F.max("impact").alias("greatest"), F.count("*").alias("n")), "impact-blocks"))
+    return Blocks(rows, rows.groupBy(*BLOCK).agg(F.max("impact").alias("greatest"), F.count("*").alias("n")))
 
 
 def scored_blocks(asked: DataFrame, index: Blocks) -> tuple[DataFrame, DataFrame]:
@@ -137,14 +138,16 @@ def scored_blocks(asked: DataFrame, index: Blocks) -> tuple[DataFrame, DataFrame
 
 def best_ranked(asked: DataFrame, index: Blocks) -> DataFrame:
     """FTS3, FTS5: query_id, prompt_id, project_id, rank as rank() gives them, of prompts among which the first k of every
-    query are. What the read blocks and the most that the others can add leave below the bound is dropped; the rest is
-    scored in full."""
-    read, per_query = scored_blocks(asked, index)
-    partial = read.join(index.postings, BLOCK).groupBy("query_id", "prompt_id", "project_id").agg(F.sum(F.col("impact") * F.col("times")).alias("partial"))
-    likely = partial.join(per_query, "query_id").filter(F.col("partial") + F.col("unread") >= F.col("bound")).select("query_id", "prompt_id", "project_id")
-    likely = likely.join(asked.select("query_id", "term"), "query_id")
-    full = likely.join(index.postings.select("term", "project_id", "prompt_id", "impact"), ["term", "project_id", "prompt_id"])
-    return full.groupBy("query_id", "prompt_id", "project_id").agg((-F.sum("impact")).alias("rank"))
+    query are. Queries meet the postings of their projects in cells of bounded size that let only first ones out; joined as
+    rows, each query would shuffle its postings. asked as for scored_blocks."""
+    asked = asked.groupBy("query_id", "term", "scope", "k").agg(F.count("*").cast("double").alias("times")).withColumns({"m": F.lit(1.0), "bound": F.lit(0.0)})
+    postings = index.postings.select("project_id", "term", F.col("prompt_id").alias("doc_id"), "impact", F.lit(0.0).alias("base"))
+    rank = (-F.col("total")).alias("rank")
+    own = cells.best(asked.filter("scope IS NOT NULL").withColumnRenamed("scope", "group"), postings.withColumnRenamed("project_id", "group"))
+    every = cells.best(asked.filter("scope IS NULL").drop("scope").withColumn("group", F.lit(0)), postings.drop("project_id").withColumn("group", F.lit(0)))
+    places = index.postings.select("prompt_id", "project_id").distinct()
+    every = every.select("query_id", F.col("doc_id").alias("prompt_id"), rank).join(places, "prompt_id")
+    return own.select("query_id", F.col("doc_id").alias("prompt_id"), F.col("group").alias("project_id"), rank).unionByName(every)
 
 
 def top(ranked: DataFrame, prompts: DataFrame, projects: DataFrame, limit: int, own: str = OWN_TOOL) -> DataFrame:
