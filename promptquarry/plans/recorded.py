@@ -50,13 +50,15 @@ def transcript_lines(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", line.alias("line"))
 
 
-def transcript_files(turns: DataFrame) -> DataFrame:
-    """file, text: a transcript per conversation, some with broken lines before and a system event behind."""
-    lines = transcript_lines(turns).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("body"))
+def transcript_rows(turns: DataFrame) -> DataFrame:
+    """file, line_no, line: a transcript per conversation, some with broken lines before and a system event behind."""
     c = F.col("conv_id")
-    before = F.when(c % 9 == 0, F.lit("\n{broken\nnull\n")).otherwise("")
-    behind = F.when(c % 6 == 0, F.concat(F.lit(f'\n{{"type":"system","timestamp":"{END}","sessionId":"sess-'), c.cast("string"), F.lit('"}'))).otherwise("")
-    return lines.select(c.alias("file"), F.concat(before, "body", behind).alias("text"))
+    named = lambda rows, n, line: rows.select(c.alias("file"), n.cast("long").alias("line_no"), line.alias("line"))
+    own = named(transcript_lines(turns), F.col("turn"), F.col("line"))
+    every = turns.select("conv_id").distinct()
+    before = every.filter(c % 9 == 0).select("conv_id", F.posexplode(F.array(F.lit(""), F.lit("{broken"), F.lit("null"))).alias("i", "line"))
+    behind = named(every.filter(c % 6 == 0), F.lit(2**62), F.concat(F.lit(f'{{"type":"system","timestamp":"{END}","sessionId":"sess-'), c.cast("string"), F.lit('"}')))
+    return own.unionByName(named(before, F.col("i") - 2**62, F.col("line"))).unionByName(behind)
 
 
 def audit_lines(turns: DataFrame) -> DataFrame:

@@ -34,10 +34,28 @@ def read_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> Data
             raise
         return _no_lines(spark)
     rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), "value")
+    return _parsed(rows)
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
     parsed = rows.select("path", "block", "line_no", F.try_parse_json("value").alias("v"))
     return parsed.filter(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT"))
 
 
+def write_bundles(lines: DataFrame, root: str) -> None:
+    """Writes the lines (path, line_no, line) of many transcripts to few files: each line behind its transcript's path and a
+    tab, those of a transcript in order and one file. So the number of files follows the size, not the number of transcripts."""
+    dealt = lines.repartition("path").sortWithinPartitions("path", "line_no")
+    dealt.select(F.concat("path", F.lit("\t"), "line").alias("value")).write.option("lineSep", "\n").text(root)
+
+
+def read_bundles(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
+    """As read_lines, of files as of write_bundles."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(root)
+    path, value = F.substring_index("value", "\t", 1), F.substr("value", F.instr("value", F.lit("\t")) + 1)
+    return _parsed(lines.select(path.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), value.alias("value")))
+
+
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     """SRC3: path of the folder that a manifest describes, and its fields; unreadable ones are left out."""
     try:
@@ -203,10 +221,12 @@ def tool_calls_of(prompts: DataFrame) -> DataFrame:
     return rows.select(F.struct("prompt_id", "i").alias("tool_call_id"), "prompt_id", "session_id", "u.tool_name", "u.file_path", "u.operation", F.lit(None).cast("boolean").alias("success"), "timestamp")
 
 
-def ingest(spark: SparkSession, projects_root: str | None = None, audits_root: str | None = None, pattern: str = "*.jsonl") -> dict[str, DataFrame]:
+def ingest(spark: SparkSession, projects_root: str | None = None, audits_root: str | None = None, pattern: str = "*.jsonl", bundled: bool = False) -> dict[str, DataFrame]:
     """ING1, SET5: sessions, prompts, tool_calls and projects of both sources; without a root they are empty. Files are
-    parsed once: their events and sessions are kept as tables that all others are made of."""
-    own = read_events(read_lines(spark, projects_root, pattern) if projects_root else _no_lines(spark))
+    parsed once: their events and sessions are kept as tables that all others are made of. bundled: the projects' transcripts
+    lie in files as of write_bundles."""
+    read = read_bundles if bundled else read_lines
+    own = read_events(read(spark, projects_root, pattern) if projects_root else _no_lines(spark))
     audits = read_events(read_lines(spark, audits_root, "audit.jsonl") if audits_root else _no_lines(spark), audit=True)
     events = own.withColumn("is_audit", F.lit(False)).unionByName(audits.withColumn("is_audit", F.lit(True)))
     events = kept(events.drop("v", "message"), "transcript-events")

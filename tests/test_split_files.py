@@ -1,5 +1,7 @@
 """Transcripts whose files are split far below their size, and files that are parsed once."""
 
+import glob
+import itertools
 import json
 
 import pytest
@@ -55,3 +57,19 @@ def test_files_are_read_once(spark, root):
     for df in transcripts.ingest(spark, root).values():
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "text" not in [line.split("Relation")[-1] for line in plan.splitlines() if "Relation" in line] and "parse_json" not in plan
+
+
+def test_many_transcripts_lie_in_few_files(spark, sf_dir, tmp_path):
+    """The files that the queries write follow the size, not the number of conversations; bundles give what single files give."""
+    from promptquarry.plans import recorded
+    from promptquarry.plans.queries import Corpus
+
+    lines = recorded.transcript_rows(Corpus(spark, sf_dir).raw_turns)
+    for file, own in itertools.groupby(sorted((r["file"], r["line_no"], r["line"]) for r in lines.collect()), lambda r: r[0]):
+        (tmp_path / "single" / str(file)).mkdir(parents=True)
+        (tmp_path / "single" / str(file) / "session.jsonl").write_text("\n".join(r[2] for r in own))
+    path = F.concat(F.lit(f"file://{tmp_path}/single/"), F.col("file").cast("string"), F.lit("/session.jsonl"))
+    transcripts.write_bundles(lines.select(path.alias("path"), "line_no", "line"), f"{tmp_path}/bundles")
+    assert len(glob.glob(f"{tmp_path}/bundles/*.txt")) <= 4
+    rows = lambda out: {k: sorted((str(sorted((x, str(y)) for x, y in r.asDict(True).items())).replace("file:///", "file:/") for r in df.collect())) for k, df in out.items()}
+    assert rows(transcripts.ingest(spark, f"{tmp_path}/bundles", pattern="*.txt", bundled=True)) == rows(transcripts.ingest(spark, f"{tmp_path}/single"))
