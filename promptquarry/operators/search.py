@@ -84,10 +84,12 @@ BLOCK = ["term", "project_id", "step", "part"]
 
 @dataclass(frozen=True)
 class Blocks:
-    """Scored postings of the asked terms (BLOCK, prompt_id, impact) and their blocks (BLOCK, greatest impact, n)."""
+    """Scored postings of the asked terms (BLOCK, prompt_id, impact), their blocks (BLOCK, greatest impact, n), and the postings
+    before they are dealt to blocks."""
 
     postings: DataFrame
     blocks: DataFrame
+    scored: DataFrame
 
 
 def impact_blocks(terms: DataFrame, postings: DataFrame, stats: DataFrame, projects: DataFrame) -> Blocks:
@@ -98,12 +100,12 @@ def impact_blocks(terms: DataFrame, postings: DataFrame, stats: DataFrame, proje
     rows = wanted.join(counts, "term").crossJoin(F.broadcast(stats)).select("term", "prompt_id", "project_id", (_idf() * _weight()).alias("impact"), (_idf() * (K1 + 1)).alias("most"))
     step = F.least(F.floor((1 - F.col("impact") / F.col("most")) * STEPS), F.lit(STEPS - 1)).cast("int")
     rows = kept(rows.join(projects, "project_id", "left_semi").select("term", "project_id", "prompt_id", "impact", step.alias("step")), "impacts")
-    sizes = rows.groupBy("term", "project_id", "step").agg(F.count("*").alias("n"))
+    scored, sizes = rows, rows.groupBy("term", "project_id", "step").agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     large = F.broadcast(sizes.filter(F.col("n") > max(SLICE, -(-total // COMMON_SHARE))).select("term", "project_id", "step", F.ceil(F.col("n") / SLICE).cast("int").alias("parts")))
     parts = F.pmod(F.xxhash64("prompt_id"), F.coalesce("parts", F.lit(1))).cast("int")
     rows = rows.join(large, ["term", "project_id", "step"], "left").withColumn("part", parts).drop("parts")
-    return Blocks(rows, rows.groupBy(*BLOCK).agg(F.max("impact").alias("greatest"), F.count("*").alias("n")))
+    return Blocks(rows, rows.groupBy(*BLOCK).agg(F.max("impact").alias("greatest"), F.count("*").alias("n")), scored)
 
 
 def scored_blocks(asked: DataFrame, index: Blocks) -> tuple[DataFrame, DataFrame]:
@@ -141,11 +143,11 @@ def best_ranked(asked: DataFrame, index: Blocks) -> DataFrame:
     query are. Queries meet the postings of their projects in cells of bounded size that let only first ones out; joined as
     rows, each query would shuffle its postings. asked as for scored_blocks."""
     asked = asked.groupBy("query_id", "term", "scope", "k").agg(F.count("*").cast("double").alias("times")).withColumns({"m": F.lit(1.0), "bound": F.lit(0.0)})
-    postings = index.postings.select("project_id", "term", F.col("prompt_id").alias("doc_id"), "impact", F.lit(0.0).alias("base"))
+    postings = index.scored.select("project_id", "term", F.col("prompt_id").alias("doc_id"), "impact", F.lit(0.0).alias("base"))
     rank = (-F.col("total")).alias("rank")
     own = cells.best(asked.filter("scope IS NOT NULL").withColumnRenamed("scope", "group"), postings.withColumnRenamed("project_id", "group"))
     every = cells.best(asked.filter("scope IS NULL").drop("scope").withColumn("group", F.lit(0)), postings.drop("project_id").withColumn("group", F.lit(0)))
-    places = index.postings.select("prompt_id", "project_id").distinct()
+    places = index.scored.select("prompt_id", "project_id").distinct()
     every = every.select("query_id", F.col("doc_id").alias("prompt_id"), rank).join(places, "prompt_id")
     return own.select("query_id", F.col("doc_id").alias("prompt_id"), F.col("group").alias("project_id"), rank).unionByName(every)
 
