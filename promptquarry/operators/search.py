@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,15 +31,31 @@ def stemmed(terms: DataFrame, column: str = "term") -> DataFrame:
     return terms.join(stems, column).drop(column).withColumnRenamed("__stem", column)
 
 
+def _counted(own: DataFrame) -> DataFrame:
+    """A row for each distinct one of a row's words: term, tf, counted as runs of the sorted words, so that no shuffle meets them."""
+    none, keys = F.array(F.lit(None).cast("string")), [c for c in own.columns if c != "words"]
+    rows = own.withColumn("words", F.array_sort("words")).select(*keys, F.concat(none, "words").alias("before"), F.concat("words", none).alias("term"))
+    rows = rows.withColumn("run", F.transform(F.arrays_zip("before", "term"), lambda x, i: F.struct(x["before"].alias("before"), x["term"].alias("term"), i.alias("at"))))
+    rows = rows.select(*keys, F.filter("run", lambda x: ~x["before"].eqNullSafe(x["term"])).alias("run"))
+    rows = rows.withColumn("next", F.slice("run", F.lit(2), F.size("run"))).select(*keys, F.explode(F.arrays_zip("run", "next")).alias("x"))
+    return rows.filter("x.next IS NOT NULL").select(*keys, F.col("x.run.term").alias("term"), (F.col("x.next.at") - F.col("x.run.at")).cast("long").alias("tf"))
+
+
 def build_index(prompts: DataFrame, porter: bool = True) -> tuple[DataFrame, DataFrame]:
     """FTS1, SNK15, JN25: postings (term, prompt_id, project_id, tf, length) over eligible user prompts, and one row of
-    statistics (n_docs, avg_length). prompts with normalized_content."""
+    statistics (n_docs, avg_length). prompts with normalized_content. Words are counted prompt by prompt; only stems and the
+    rows of an id that occurs more than once are counted together."""
     own = prompts.filter((F.col("role") == "user") & F.col("eligible")).select("prompt_id", "project_id", _folded(F.col("normalized_content")).alias("words"))
     own = own.withColumn("length", F.size("words").cast("long"))
-    terms = own.select("prompt_id", "project_id", "length", F.explode("words").alias("term"))
-    terms = stemmed(terms) if porter else terms
-    postings = terms.groupBy("term", "prompt_id", "project_id", "length").agg(F.count("*").alias("tf"))
-    return postings, own.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
+    together = lambda rows: rows.groupBy("term", "prompt_id", "project_id", "length").agg(F.sum("tf").alias("tf"))
+    stats = own.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
+    if porter:
+        return together(stemmed(_counted(own))), stats
+    often = kept(own.groupBy("prompt_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("prompt_id").alias("often")), "ids-of-several")
+    columns, same = ("term", "prompt_id", "project_id", "length", "tf"), F.col("prompt_id").eqNullSafe(F.col("often"))
+    if often.isEmpty():
+        return _counted(own).select(*columns), stats
+    return _counted(own.join(often, same, "left_anti")).select(*columns).unionByName(together(_counted(own.join(often, same, "left_semi")))), stats
 
 
 def query_terms(queries: DataFrame, porter: bool = True) -> DataFrame:
@@ -84,28 +101,37 @@ BLOCK = ["term", "project_id", "step", "part"]
 
 @dataclass(frozen=True)
 class Blocks:
-    """Scored postings of the asked terms (BLOCK, prompt_id, impact), their blocks (BLOCK, greatest impact, n), and the postings
-    before they are dealt to blocks."""
+    """Scored postings of the asked terms (term, project_id, prompt_id, impact, step); on first use, those dealt to blocks (BLOCK,
+    prompt_id, impact) and the blocks (BLOCK, greatest impact, n)."""
 
-    postings: DataFrame
-    blocks: DataFrame
     scored: DataFrame
 
+    @cached_property
+    def postings(self) -> DataFrame:
+        sizes = self.scored.groupBy("term", "project_id", "step").agg(F.count("*").alias("n"))
+        total = sizes.agg(F.sum("n")).first()[0] or 0
+        large = F.broadcast(sizes.filter(F.col("n") > max(SLICE, -(-total // COMMON_SHARE))).select("term", "project_id", "step", F.ceil(F.col("n") / SLICE).cast("int").alias("parts")))
+        parts = F.pmod(F.xxhash64("prompt_id"), F.coalesce("parts", F.lit(1))).cast("int")
+        return self.scored.join(large, ["term", "project_id", "step"], "left").withColumn("part", parts).drop("parts")
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return self.postings.groupBy(*BLOCK).agg(F.max("impact").alias("greatest"), F.count("*").alias("n"))
+
 
 def impact_blocks(terms: DataFrame, postings: DataFrame, stats: DataFrame, projects: DataFrame) -> Blocks:
     """FTS3: a posting's impact is what its term adds to its prompt's score. Postings of the given projects (project_id) in
     blocks by term, project and step of impact; a step with more than SLICE postings is several blocks."""
     wanted = postings.join(terms.select("term").distinct(), "term", "left_semi")
-    counts = wanted.groupBy("term").agg(F.count("*").alias("df"))
+    return Blocks(_scored(wanted, stats, projects))
+
+
+def _scored(wanted: DataFrame, stats: DataFrame, projects: DataFrame) -> DataFrame:
+    # a small table of counts is sent to the postings; as an aggregate its size would be known after they are shuffled
+    counts = kept(wanted.groupBy("term").agg(F.count("*").alias("df")), "term-counts")
     rows = wanted.join(counts, "term").crossJoin(F.broadcast(stats)).select("term", "prompt_id", "project_id", (_idf() * _weight()).alias("impact"), (_idf() * (K1 + 1)).alias("most"))
     step = F.least(F.floor((1 - F.col("impact") / F.col("most")) * STEPS), F.lit(STEPS - 1)).cast("int")
-    rows = kept(rows.join(projects, "project_id", "left_semi").select("term", "project_id", "prompt_id", "impact", step.alias("step")), "impacts")
-    scored, sizes = rows, rows.groupBy("term", "project_id", "step").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    large = F.broadcast(sizes.filter(F.col("n") > max(SLICE, -(-total // COMMON_SHARE))).select("term", "project_id", "step", F.ceil(F.col("n") / SLICE).cast("int").alias("parts")))
-    parts = F.pmod(F.xxhash64("prompt_id"), F.coalesce("parts", F.lit(1))).cast("int")
-    rows = rows.join(large, ["term", "project_id", "step"], "left").withColumn("part", parts).drop("parts")
-    return Blocks(rows, rows.groupBy(*BLOCK).agg(F.max("impact").alias("greatest"), F.count("*").alias("n")), scored)
+    return kept(rows.join(projects, "project_id", "left_semi").select("term", "project_id", "prompt_id", "impact", step.alias("step")), "impacts")
 
 
 def scored_blocks(asked: DataFrame, index: Blocks) -> tuple[DataFrame, DataFrame]:
@@ -166,10 +192,12 @@ def retrieve(queries: DataFrame, prompts: DataFrame, projects: DataFrame, limit:
     """FTS4, SET3, JN21: queries (query_id, text, project_id or null). Rows of the query's project; if they are fewer
     than half the limit, rows of all projects follow, without those seen."""
     postings, stats = build_index(prompts, porter)
-    postings, terms = kept(postings, "postings"), kept(query_terms(queries, porter), "query-terms")
+    terms = kept(query_terms(queries, porter), "query-terms")
+    wanted = kept(terms.select("term").distinct(), "wanted-terms")
+    postings = kept(postings.join(wanted, "term", "left_semi"), "postings")
     scope = kept(queries.select("query_id", F.col("project_id").alias("scope")), "query-scopes")
     ok = projects.filter(foreign_project(F.col("name"), F.col("cwd"), own)).select("project_id")
-    index = impact_blocks(terms, postings, stats, ok)
+    index = Blocks(_scored(postings, stats, kept(ok.distinct(), "foreign-projects")))
     asked = terms.join(scope, "query_id")
     inside = kept(top(best_ranked(asked.filter("scope IS NOT NULL").withColumn("k", F.lit(OVER * limit)), index), prompts, projects, limit, own), "inside")
     counts = inside.groupBy("query_id").agg(F.count("*").alias("have"))
