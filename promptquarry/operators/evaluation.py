@@ -32,8 +32,9 @@ def _of_pairs(rows: DataFrame, prompts: DataFrame) -> DataFrame:
 
 
 def gold_cases(pairs: DataFrame, prompts: DataFrame, projects: DataFrame, own: str = labels.OWN_TOOL) -> DataFrame:
-    """JN9: manual pairs of foreign projects; a rejection has no kind."""
-    ok = projects.filter(labels.foreign_project(F.col("name"), F.col("cwd"), own)).select("project_id")
+    """JN9: manual pairs of foreign projects; a rejection has no kind. As a table the projects are known to be few, and no text is
+    shuffled by its project."""
+    ok = kept(projects.filter(labels.foreign_project(F.col("name"), F.col("cwd"), own)).select("project_id").distinct(), "foreign-projects")
     return _of_pairs(labels.by_method(pairs, "manual"), prompts).join(ok, "project_id", "left_semi")
 
 
