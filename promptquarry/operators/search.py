@@ -127,8 +127,8 @@ def impact_blocks(terms: DataFrame, postings: DataFrame, stats: DataFrame, proje
 
 
 def _scored(wanted: DataFrame, stats: DataFrame, projects: DataFrame) -> DataFrame:
-    # a small table of counts is sent to the postings; as an aggregate its size would be known after they are shuffled
-    counts = kept(wanted.groupBy("term").agg(F.count("*").alias("df")), "term-counts")
+    # as an aggregate, the size of the counts would be known only after the postings are shuffled
+    counts = cells.sent(kept(wanted.groupBy("term").agg(F.count("*").alias("df")), "term-counts"))
     rows = wanted.join(counts, "term").crossJoin(F.broadcast(stats)).select("term", "prompt_id", "project_id", (_idf() * _weight()).alias("impact"), (_idf() * (K1 + 1)).alias("most"))
     step = F.least(F.floor((1 - F.col("impact") / F.col("most")) * STEPS), F.lit(STEPS - 1)).cast("int")
     return kept(rows.join(projects, "project_id", "left_semi").select("term", "project_id", "prompt_id", "impact", step.alias("step")), "impacts")
@@ -193,7 +193,7 @@ def retrieve(queries: DataFrame, prompts: DataFrame, projects: DataFrame, limit:
     than half the limit, rows of all projects follow, without those seen."""
     postings, stats = build_index(prompts, porter)
     terms = kept(query_terms(queries, porter), "query-terms")
-    wanted = kept(terms.select("term").distinct(), "wanted-terms")
+    wanted = cells.sent(kept(terms.select("term").distinct(), "wanted-terms"))
     postings = kept(postings.join(wanted, "term", "left_semi"), "postings")
     scope = kept(queries.select("query_id", F.col("project_id").alias("scope")), "query-scopes")
     ok = projects.filter(foreign_project(F.col("name"), F.col("cwd"), own)).select("project_id")

@@ -3,8 +3,11 @@
 import random
 from collections import Counter
 
+import pytest
+
 from promptquarry.operators import cells, search
 
+FOUND = []
 SCHEMA = "prompt_id long, project_id long, role string, eligible boolean, normalized_content string"
 
 
@@ -51,3 +54,25 @@ def test_nothing_asked(spark):
     asked = spark.createDataFrame([], "query_id long, group string, term string, times double, k int, m double, bound double")
     rows = cells.best(asked, spark.createDataFrame([("g", "t", 1, 1.0, 0.0)], "group string, term string, doc_id long, impact double, base double"))
     assert rows.count() == 0 and rows.dtypes == [("group", "string"), ("query_id", "bigint"), ("doc_id", "bigint"), ("total", "double")]
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_few_terms_are_sent_to_postings(spark, monkeypatch, most):
+    monkeypatch.setattr(cells, "BROADCAST_TERMS", most)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = [(i, i % 3, "user", True, f"please change the login handler number{i % 4} in the server module") for i in range(50)]
+        own = spark.createDataFrame(texts, SCHEMA).selectExpr("*", "normalized_content AS content")
+        projects = spark.createDataFrame([(i, f"p{i}", "/home/x") for i in range(3)], "project_id long, name string, cwd string")
+        queries = spark.createDataFrame([(1, "login number2", None), (2, "handler number3", 1)], "query_id long, text string, project_id long")
+        kinds, made = [], search.kept
+        monkeypatch.setattr(search, "kept", lambda df, label: (kinds.append((label, df._jdf.queryExecution().executedPlan().toString())), made(df, label))[1])
+        got = sorted((r["query_id"], r["prompt_id"]) for r in search.retrieve(queries, own, projects, 4, porter=False).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    plan = dict(kinds)["postings"]
+    assert ("SortMergeJoin" in plan) == (most == 0) and ("BroadcastHashJoin" in plan) == (most > 0)
+    assert len(got) == len(set(got)) and {q for q, _ in got} == {1, 2}
+    FOUND.append(got)
+    assert all(x == got for x in FOUND)
