@@ -9,15 +9,17 @@ parts of its group one after another, so that k rows a prompt leave it, however
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vocabulary as V
 from ..sources.store import kept
-from .cells import NEAR, sent
+from .cells import NEAR
 
-#: Postings of a part, about; asked words of a block, about, where there are enough for all cores and at most.
-PART, LEAST_BLOCK, MOST_BLOCK = 4_000_000, 20_000, 400_000
+#: Characters of a part's files, about; asked words of a block, about, where there are enough for all cores and at most.
+PART, LEAST_BLOCK, MOST_BLOCK = 50_000_000, 20_000, 1_000_000
 #: Words of more than one in so many files of a part have a row of bits; of the others files are listed.
 DENSE = 256
 #: 64-bit words that one step of the counters covers, for as many prompts as fit.
@@ -26,6 +28,8 @@ STEP = 16384
 WIDER = 16
 #: Rows that are merged at once, about.
 MERGED = 1_000_000
+#: Bytes of text that are cut in words at once, about.
+TEXT = 4_000_000
 #: Tasks that meet blocks at most.
 MOST_TASKS = 10_000
 
@@ -46,40 +50,88 @@ def _ranges(lo: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - ends + lengths, lengths)
 
 
-def _part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Postings of a part by term, as places in its list of files, best base first."""
-    doc, base, terms = rows["doc_id"].to_numpy(), rows["base"].to_numpy(), list(rows["terms"])
-    order = np.lexsort((doc, -base))
-    new = _starts(base[order], doc[order])
-    place = np.empty(len(rows), dtype="int32")
-    place[order] = np.repeat(np.arange(len(new), dtype="int32"), np.diff(np.r_[new, len(rows)]))
-    places, terms = np.repeat(place, [len(x) for x in terms]), np.concatenate(terms)
-    by_term = np.lexsort((places, terms))
-    found, counts = np.unique(terms, return_counts=True)
-    own = {"terms": found, "counts": counts.astype("int32"), "places": places[by_term], "docs": doc[order[new]], "bases": base[order[new]]}
-    return pd.DataFrame({"group": [key[0]]} | {c: [x] for c, x in own.items()})
+def _packed(**columns) -> bytes:
+    """Arrays of any lengths as bytes, which the JVM hands over as they are."""
+    lists = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x))
+    table, out = pa.table({c: lists(x) for c, x in columns.items()}), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(value: pa.BinaryScalar) -> dict[str, pa.Array]:
+    row = pa.ipc.open_stream(value.as_buffer()).read_next_batch()
+    return {c: row.column(c)[0].values for c in row.schema.names}
+
+
+def _coded(words: pa.ChunkedArray | pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words once, and the place of each word among these."""
+    words = words.dictionary_encode()
+    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+    return words.dictionary, words.indices.to_numpy().astype("int64")
+
+
+_IN_WORD = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_", dtype="uint8"))
 
 
-def _block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Asked terms of a block, query by query."""
-    rows = rows.sort_values(["query_id", "term_id"])
-    query = _starts(rows["query_id"].to_numpy())
-    own = {"queries": rows["query_id"].to_numpy()[query], "m": rows["m"].to_numpy()[query], "cuts": np.r_[query, len(rows)].astype("int32"), "asked": rows["term_id"].to_numpy()}
-    return pd.DataFrame({"asks": [key[0]], "block": [key[1]]} | {c: [x] for c, x in own.items()})
+def _words(texts: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
+    """How many words of more than three characters each text has, and these words, as `text.keywords` finds them: longest runs
+    of ASCII word characters. A word may be there more than once."""
+    cuts = np.frombuffer(texts.buffers()[1], dtype="int32", count=len(texts) + 1, offset=texts.offset * 4).astype("int64")
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype="uint8")[cuts[0] : cuts[-1]]
+    cuts = cuts - cuts[0]
+    inside = np.r_[False, _IN_WORD[data], False]
+    first, last = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    edges = cuts[(cuts > 0) & (cuts < len(data))]
+    first[edges], last[edges - 1] = inside[edges + 1], inside[edges]
+    lo, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    lo, n = lo[ends - lo > 3], (ends - lo)[ends - lo > 3]
+    words = pa.StringArray.from_buffers(len(lo), pa.py_buffer(np.r_[0, np.cumsum(n)].astype("int32")), pa.py_buffer(data[_ranges(lo, n)]))
+    return np.diff(np.searchsorted(lo, cuts)), words
+
+
+def _part(key: tuple, table: pa.Table) -> pa.Table:
+    """Postings of a part by word, as places in its list of files, best base first."""
+    doc, base = (table.column(c).to_numpy() for c in ("doc_id", "base"))
+    found = []
+    for texts in table.column("text").cast(pa.string()).chunks:
+        at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype="int64") // TEXT
+        cuts = np.r_[_starts(at), len(texts)]
+        found += [_words(texts.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:])]
+    words, word = _coded(pa.chunked_array([x for _, x in found], pa.string()))
+    order = np.lexsort((doc, -base))
+    place = np.empty(len(doc), dtype="int64")
+    place[order] = np.arange(len(doc))
+    met = np.sort(word * len(doc) + np.repeat(place, np.concatenate([n for n, _ in found])))
+    met = met[_starts(met)]
+    word, places = np.divmod(met, len(doc))
+    counts = np.bincount(word, minlength=len(words)).astype("int32")
+    # stop words are no keywords
+    stop = pc.is_in(words, value_set=pa.array(V.KEYWORD_STOP)).to_numpy(zero_copy_only=False)
+    places, words, counts = places[~stop[word]], words.filter(pa.array(~stop)), counts[~stop]
+    data = _packed(words=words, counts=counts, places=places.astype("uint16" if len(doc) <= 1 << 16 else "int32"), docs=doc[order], bases=base[order])
+    return pa.table({"group": pa.array([key[0].as_py()], key[0].type), "part": pa.array([data], pa.binary())})
+
+
+def _block(key: tuple, table: pa.Table) -> pa.Table:
+    """Asked words of a block, query by query."""
+    lists = table.column("words").cast(pa.list_(pa.string()))
+    words, word = _coded(pa.chunked_array([x.flatten() for x in lists.chunks], pa.string()))
+    data = _packed(queries=table.column("query_id").to_numpy(), asked=words, m=pc.list_value_length(lists).to_numpy().astype("int64"), term=word.astype("int32"))
+    return pa.table({"asks": pa.array([key[0].as_py()], key[0].type), "number": pa.array([key[1].as_py()], pa.int64()), "block": pa.array([data], pa.binary())})
 
 
 class _Block:
     """The queries of a block and the best rows of each so far."""
 
     def __init__(self, row: dict, k: int, scale: float):
-        self.group, self.queries, self.m, self.k, self.scale = row["asks"], row["queries"], row["m"], k, scale
-        self.terms, self.term = np.unique(row["asked"], return_inverse=True)
-        self.query = np.repeat(np.arange(len(self.m)), np.diff(row["cuts"]))
+        self.queries, self.words, self.m, self.term, self.k, self.scale = row["queries"].to_numpy(), row["asked"], row["m"].to_numpy(), row["term"].to_numpy().astype("int64"), k, scale
+        self.query = np.repeat(np.arange(len(self.m)), self.m)
         self.bound = np.full(len(self.m), -np.inf)
-        self.best = [np.empty(0, dtype=t) for t in ("int64", "int64", "int64", "float64", "float64")]
+        self.best = [np.empty(0, dtype=t) for t in ("int64", "int64", "int64", "float64", "float64", "int64", "object")]
 
     def add(self, rows: list) -> None:
-        """Merges rows (query, doc, n, base, score); of those of a query that are left some may be beyond k, by rounding."""
+        """Merges rows (query, doc, n, base, score, place, shared); of those of a query that are left some may be beyond k, by rounding."""
         touched = np.zeros(len(self.m), dtype=bool)
         touched[rows[0]] = True
         old = touched[self.best[0]]
@@ -99,15 +151,22 @@ class _Block:
         while lo < cell.width:
             cell.meet(lo, min(hi, cell.width))
             lo, hi = hi, hi * WIDER
+        q, place, shared = self.best[0], *self.best[5:]
+        new = np.flatnonzero(place >= 0)
+        if len(new):
+            shared[new] = cell.shared(q[new], place[new])
+            place[new] = -1
 
 
 class _Cell:
     def __init__(self, block: _Block, part: dict):
-        self.block, self.docs, self.bases, self.places = block, part["docs"], part["bases"], part["places"]
+        self.block = block
+        self.docs, self.bases, counts = (part[c].to_numpy() for c in ("docs", "bases", "counts"))
+        self.places = part["places"].to_numpy().astype("int32")
         self.width = -(-len(self.docs) // 64)
-        at = np.minimum(np.searchsorted(part["terms"], block.terms), len(part["terms"]) - 1)
-        ends, has = np.cumsum(part["counts"], dtype="int64"), part["terms"][at] == block.terms
-        count = np.where(has, part["counts"][at], 0).astype("int64")
+        at = pc.fill_null(pc.index_in(block.words, value_set=part["words"]), -1).to_numpy().astype("int64")
+        self.counts, self.at, ends = counts, at, np.cumsum(counts, dtype="int64")
+        count = np.where(at >= 0, counts[at], 0).astype("int64")
         dense = count > len(self.docs) // DENSE
         rows = np.where(dense, np.cumsum(dense) - 1, -1)
         self.bits = np.zeros((int(dense.sum()) + 1, self.width), dtype="uint64")
@@ -149,6 +208,17 @@ class _Cell:
                 block.add([np.concatenate(x) for x in zip(*found)])
                 found, n = [], 0
 
+    def shared(self, q: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The words that each query shares with a file, in the order in which it asks for them."""
+        block, n = self.block, len(self.docs)
+        own, there = block.m[q], np.repeat(np.arange(len(self.counts)) * n, self.counts) + self.places
+        words = block.term[_ranges((np.cumsum(block.m) - block.m)[q], own)]
+        asked = self.at[words] * n + np.repeat(place, own)
+        here = (self.at[words] >= 0) & (there[np.minimum(np.searchsorted(there, asked), len(there) - 1)] == asked)
+        out = np.empty(len(q), dtype="object")
+        out[:] = [words[a:b][here[a:b]] for a, b in zip(np.cumsum(own) - own, np.cumsum(own))]
+        return out
+
     def _listed(self, q: np.ndarray, lo: int, width: int) -> list:
         """Rows of bits for the listed words of queries; the i-th row has the files of which i words before are listed too."""
         own = np.diff(self.list_cuts)[q]
@@ -170,7 +240,7 @@ class _Cell:
         return out
 
     def _candidates(self, q: np.ndarray, lo: int, tops: np.ndarray) -> list | None:
-        """Rows (query, doc, n, base, score) of the files below 64-bit words from lo that reach their query's bound."""
+        """Rows (query, doc, n, base, score, place, shared) of the files below 64-bit words from lo that reach their query's bound."""
         block, width = self.block, len(tops)
         m, bound = block.m[q][:, None], block.bound[q][:, None]
         need = np.ceil((bound - NEAR - tops) / block.scale * m - 1e-6)
@@ -232,61 +302,57 @@ class _Cell:
         score = n / block.m[at] * block.scale + self.bases[place]
         here = score >= block.bound[at] - NEAR
         place = place[here]
-        return [at[here], self.docs[place], n[here], self.bases[place], score[here]] if len(place) else None
+        return [at[here], self.docs[place], n[here], self.bases[place], score[here], place, np.full(len(place), None)] if len(place) else None
 
 
 def _cells(k: int, scale: float, first: int):
-    def run(frames):
+    def run(batches):
         blocks = {}
-        for frame in frames:
-            for row in frame.to_dict("records"):
-                if row["block"] not in blocks:
-                    blocks[row["block"]] = _Block(row, k, scale)
-                blocks[row["block"]].meet(row, first)
-        for x in blocks.values():
-            q, doc, n, base, _ = x.best
-            yield pd.DataFrame({"group": [x.group] * len(q), "query_id": x.queries[q], "m": x.m[q], "doc_id": doc, "n": n, "base": base})
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                key = row["number"].as_py()
+                if key not in blocks:
+                    blocks[key] = (row["group"], _Block(_unpacked(row["block"]), k, scale))
+                blocks[key][1].meet(_unpacked(row["part"]), first)
+        for group, x in blocks.values():
+            q, doc, n, base, _, _, shared = x.best
+            words = x.words.take(pa.array(np.concatenate([np.empty(0, dtype="int64"), *shared])))
+            shared = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), words), ",")
+            own = {"group": pa.array([group.as_py()] * len(q), group.type), "query_id": x.queries[q], "m": x.m[q], "doc_id": doc, "n": n, "base": base, "shared": shared}
+            yield from pa.table(own).to_batches(10_000)
 
     return run
 
 
-def _by_file(frames):
-    """Rows of one term each as rows of a file's terms; a file's rows stand together, but may lie in two frames."""
-    for frame in frames:
-        if len(frame):
-            starts = _starts(frame["group"].to_numpy(), frame["doc_id"].to_numpy())
-            yield frame[["group", "doc_id", "base"]].iloc[starts].assign(terms=np.split(frame["term_id"].to_numpy(), starts[1:]))
-
-
 def _dealt(rows: DataFrame, sizes: DataFrame, most: int, by: str, into: str) -> DataFrame:
     """rows with the number of the share that they go to, of one group and about most units. sizes: group, size."""
-    shares = sizes.withColumn("shares", F.ceil(F.col("size") / most).cast("long"))
+    shares = sizes.select("group", F.greatest(F.ceil(F.col("size") / most).cast("long"), F.lit(1)).alias("shares"))
     before = F.coalesce(F.sum("shares").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(shares.select("group", "shares", before.alias("before")), "group").withColumn(into, F.col("before") + F.pmod(F.xxhash64(by), "shares")).drop("shares", "before")
+    return rows.join(shares.withColumn("before", before), "group").withColumn(into, F.col("before") + F.pmod(F.xxhash64(by), "shares")).drop("shares", "before")
 
 
-def best(asked: DataFrame, files: DataFrame, k: int, scale: float, first: int) -> DataFrame:
-    """group, query_id, m, doc_id, n, base: how many words a query and a file of its group share, for files among which are the first k of
-    every query by n / m * scale + base and id, of those that share a word. asked: query_id, group, m, term, a term once; files:
-    group, doc_id, base, words, a word once. Ids are whole numbers. first: files of a part that are scored before all others."""
+def best(asked: DataFrame, files: DataFrame, sizes: DataFrame, k: int, scale: float, first: int) -> DataFrame:
+    """group, query_id, m, doc_id, n, base, shared: how many of its m words a query shares with a file of its group, and which, for files
+    among which are the first k of every query by n / m * scale + base and id, of those that share a word. asked: query_id, group,
+    words, a word once; files: group, doc_id, base, text, in lower case, of which words are cut as in `text.keywords`; sizes: group, size,
+    the characters of its files, by which they are dealt to parts. Ids are whole numbers. first: files of a part that are scored
+    before all others. files are read once."""
     kind = dict(files.dtypes)["group"]
-    ids = sent(kept(asked.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()), "asked-terms"))
-    asked = kept(asked.join(ids, "term").select("group", "query_id", F.col("m").cast("long"), "term_id"), "asked-ids")
-    asks = kept(asked.groupBy("group").agg(F.count("*").alias("size")), "asked-sizes")
-    postings = files.join(asks, "group", "left_semi").select("group", "doc_id", "base", F.explode("words").alias("term")).join(ids, "term")
-    postings = kept(postings.select("group", "doc_id", "base", "term_id").mapInPandas(_by_file, f"group {kind}, doc_id long, base double, terms array<long>"), "file-terms")
-    sizes = kept(postings.groupBy("group").agg(F.sum(F.size("terms")).alias("size")), "file-sizes")
-    parts = _dealt(postings, sizes, PART, "doc_id", "part").groupBy("group", "part")
-    parts = kept(parts.applyInPandas(_part, f"group {kind}, terms array<long>, counts array<int>, places array<int>, docs array<long>, bases array<double>"), "file-parts")
+    asked = asked.filter(F.size("words") > 0)
+    sizes = kept(sizes, "file-sizes")
+    asks = kept(asked.groupBy("group").agg(F.sum(F.size("words")).alias("size")).join(sizes, "group", "left_semi"), "asked-sizes")
+    sizes = sizes.join(asks, "group", "left_semi")
+    parts = _dealt(files.filter("text <> ''"), sizes, PART, "doc_id", "part").groupBy("group", "part")
+    parts = kept(parts.applyInArrow(_part, f"group {kind}, part binary"), "file-parts")
 
     # two blocks for each core, unless they would be very short or long
-    asks = asks.join(sizes, "group", "left_semi")
     total = asks.agg(F.sum("size")).first()[0] or 0
     most = min(max(total // (2 * files.sparkSession.sparkContext.defaultParallelism), LEAST_BLOCK), MOST_BLOCK)
-    blocks = _dealt(asked, asks, most, "query_id", "block").groupBy("group", "block")
-    blocks = kept(blocks.applyInPandas(_block, f"asks {kind}, block long, queries array<long>, m array<long>, cuts array<int>, asked array<long>"), "asked-blocks")
+    blocks = _dealt(asked, asks, most, "query_id", "number").groupBy("group", "number")
+    blocks = kept(blocks.applyInArrow(_block, f"asks {kind}, number long, block binary"), "asked-blocks")
     n = min(max(blocks.count(), 1), MOST_TASKS)
     # a task for each block, which reads the parts of its group from the shared folder one after another
-    blocks = blocks.repartitionById(n, F.pmod("block", F.lit(n)).cast("int"))
+    blocks = blocks.repartitionById(n, F.pmod("number", F.lit(n)).cast("int"))
     cells = parts.coalesce(1).hint("shuffle_replicate_nl").join(blocks, F.col("group") == F.col("asks"))
-    return cells.mapInPandas(_cells(k, scale, first), f"group {kind}, query_id long, m long, doc_id long, n long, base double")
+    return cells.mapInArrow(_cells(k, scale, first), f"group {kind}, query_id long, m long, doc_id long, n long, base double, shared string")
