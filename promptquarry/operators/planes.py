@@ -21,7 +21,7 @@ from .cells import NEAR
 #: Characters of a part's files, about; asked words of a block, about, where there are enough for all cores and at most.
 PART, LEAST_BLOCK, MOST_BLOCK = 50_000_000, 20_000, 1_000_000
 #: Words of more than one in so many files of a part have a row of bits; of the others files are listed.
-DENSE = 256
+DENSE = 512
 #: 64-bit words that one step of the counters covers, for as many prompts as fit.
 STEP = 16384
 #: A range of a part's files is so much longer than all before it, whose scores prune it.
@@ -168,7 +168,7 @@ class _Cell:
         self.counts, self.at, ends = counts, at, np.cumsum(counts, dtype="int64")
         count = np.where(at >= 0, counts[at], 0).astype("int64")
         dense = count > len(self.docs) // DENSE
-        rows = np.where(dense, np.cumsum(dense) - 1, -1)
+        rows = self.row = np.where(dense, np.cumsum(dense) - 1, -1)
         self.bits = np.zeros((int(dense.sum()) + 1, self.width), dtype="uint64")
         self._fill(ends[at[dense]] - count[dense], count[dense])
         # entries of queries: those with a row of bits, and those with a list
@@ -211,10 +211,15 @@ class _Cell:
     def shared(self, q: np.ndarray, place: np.ndarray) -> np.ndarray:
         """The words that each query shares with a file, in the order in which it asks for them."""
         block, n = self.block, len(self.docs)
-        own, there = block.m[q], np.repeat(np.arange(len(self.counts)) * n, self.counts) + self.places
-        words = block.term[_ranges((np.cumsum(block.m) - block.m)[q], own)]
-        asked = self.at[words] * n + np.repeat(place, own)
-        here = (self.at[words] >= 0) & (there[np.minimum(np.searchsorted(there, asked), len(there) - 1)] == asked)
+        own = block.m[q]
+        words, place = block.term[_ranges((np.cumsum(block.m) - block.m)[q], own)], np.repeat(place, own)
+        row = self.row[words]
+        here = (row >= 0) & (self.bits[row, place >> 6] >> (place & 63).astype("uint64") & np.uint64(1)).astype("bool")
+        rest = np.flatnonzero((row < 0) & (self.list_n[words] > 0))
+        if len(rest):
+            there = np.repeat(np.arange(len(self.counts)) * n, self.counts) + self.places
+            asked = self.at[words[rest]] * n + place[rest]
+            here[rest] = there[np.minimum(np.searchsorted(there, asked), len(there) - 1)] == asked
         out = np.empty(len(q), dtype="object")
         out[:] = [words[a:b][here[a:b]] for a, b in zip(np.cumsum(own) - own, np.cumsum(own))]
         return out
@@ -243,12 +248,12 @@ class _Cell:
         """Rows (query, doc, n, base, score, place, shared) of the files below 64-bit words from lo that reach their query's bound."""
         block, width = self.block, len(tops)
         m, bound = block.m[q][:, None], block.bound[q][:, None]
-        need = np.ceil((bound - NEAR - tops) / block.scale * m - 1e-6)
-        need = np.clip(need, 1, m + 1).astype("uint64")
+        need = np.ceil((bound - NEAR) * m / block.scale - 1e-6 - tops * (m / block.scale))
+        need = np.clip(need, 1, m + 1, out=need).astype("int64")
         depth = int(m.max() + 1).bit_length()
-        start = np.uint64(1 << depth) - need
-        planes = [np.uint64(0) - (start >> np.uint64(i) & np.uint64(1)) for i in range(depth)]
-        over, waiting, spare, t = np.zeros_like(need), [None] * depth, [], np.empty_like(need)
+        start = np.uint64(1 << depth) - np.arange(int(m.max()) + 2, dtype="uint64")
+        planes = [np.take(np.uint64(0) - (start >> np.uint64(i) & np.uint64(1)), need) for i in range(depth)]
+        over, waiting, t = np.zeros_like(planes[0]), [None] * depth, np.empty_like(planes[0])
 
         def put(x: np.ndarray, i: int, alone: bool = False) -> None:
             while i < depth:
@@ -268,20 +273,16 @@ class _Cell:
                     np.bitwise_and(t, p, out=y)
                     np.bitwise_xor(p, t, out=p)
                     np.bitwise_or(x, y, out=x)
-                    spare.append(y)
                 i += 1
                 alone = False
             np.bitwise_or(over, x, out=over)
-            spare.append(x)
 
         n = np.diff(self.row_cuts)[q]
         rows = np.full((int(n.max()), len(q)), len(self.bits) - 1)
         rows[_ranges(np.zeros(len(q), dtype="int64"), n), np.repeat(np.arange(len(q)), n)] = self.rows[_ranges(self.row_cuts[q], n)]
         bits = self.bits[:, lo : lo + width]
         for r in rows:
-            x = spare.pop() if spare else np.empty_like(need)
-            x[...] = bits[r]
-            put(x, 0)
+            put(bits[r], 0)
         for x in self._listed(q, lo, width):
             put(x, 0)
         for i in range(depth):
@@ -294,7 +295,7 @@ class _Cell:
             return None
         i, bit = np.nonzero(np.unpackbits(over.reshape(-1)[word].astype("<u8").view("uint8").reshape(-1, 8), axis=1, bitorder="little"))
         word, bit = word[i], bit.astype("uint64")
-        n = need.reshape(-1)[word].astype("int64")
+        n = need.reshape(-1)[word]
         for i, p in enumerate(planes):
             n += ((p.reshape(-1)[word] >> bit & np.uint64(1)) << np.uint64(i)).astype("int64")
         at = q[word // width]
