@@ -8,6 +8,8 @@ parts of its group one after another, so that k rows a prompt leave it, however
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,7 +21,7 @@ from ..sources.store import kept
 from .cells import NEAR
 
 #: Characters of a part's files, about; asked words of a block, about, where there are enough for all cores and at most.
-PART, LEAST_BLOCK, MOST_BLOCK = 50_000_000, 20_000, 1_000_000
+PART, LEAST_BLOCK, MOST_BLOCK = 30_000_000, 20_000, 1_000_000
 #: Words of more than one in so many files of a part have a row of bits; of the others files are listed.
 DENSE = 512
 #: 64-bit words that one step of the counters covers, for as many prompts as fit.
@@ -50,6 +52,17 @@ def _ranges(lo: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - ends + lengths, lengths)
 
 
+def _lean() -> None:
+    """For Python workers, which stay for later tasks: large arrays go back to the system when they are freed."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError):  # not the GNU library
+        return
+    for option, value in ((-3, 1 << 20), (-1, 1 << 20)):  # least size of a mapping of its own; free bytes at the heap's end
+        mallopt(option, value)
+
+
 def _packed(**columns) -> bytes:
     """Arrays of any lengths as bytes, which the JVM hands over as they are."""
     lists = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x))
@@ -68,7 +81,7 @@ def _coded(words: pa.ChunkedArray | pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words once, and the place of each word among these."""
     words = words.dictionary_encode()
     words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
-    return words.dictionary, words.indices.to_numpy().astype("int64")
+    return words.dictionary, words.indices.to_numpy()
 
 
 _IN_WORD = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_", dtype="uint8"))
@@ -92,19 +105,33 @@ def _words(texts: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
 
 def _part(key: tuple, table: pa.Table) -> pa.Table:
     """Postings of a part by word, as places in its list of files, best base first."""
+    _lean()
     doc, base = (table.column(c).to_numpy() for c in ("doc_id", "base"))
-    found = []
-    for texts in table.column("text").cast(pa.string()).chunks:
-        at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype="int64") // TEXT
-        cuts = np.r_[_starts(at), len(texts)]
-        found += [_words(texts.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:])]
-    words, word = _coded(pa.chunked_array([x for _, x in found], pa.string()))
     order = np.lexsort((doc, -base))
     place = np.empty(len(doc), dtype="int64")
     place[order] = np.arange(len(doc))
-    met = np.sort(word * len(doc) + np.repeat(place, np.concatenate([n for n, _ in found])))
-    met = met[_starts(met)]
-    word, places = np.divmod(met, len(doc))
+    found, counts = [], []
+    for texts in table.column("text").cast(pa.string()).chunks:
+        at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype="int64") // TEXT
+        cuts = np.r_[_starts(at), len(texts)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            n, own = _words(texts.slice(a, b - a))
+            found.append(own)
+            counts.append(n)
+    words, coded = _coded(pa.chunked_array(found, pa.string()))
+    ends, lo = np.cumsum([len(x) for x in found]), 0
+    found.clear()
+    # a file's words are in one piece, so those that it has more than once are dropped piece by piece
+    met = []
+    for n, a, b in zip(counts, np.r_[0, ends], ends):
+        own = np.sort(coded[a:b].astype("int64") * len(doc) + np.repeat(place[lo : lo + len(n)], n))
+        met.append(own[_starts(own)])
+        lo += len(n)
+    del coded, counts
+    met = np.concatenate(met)
+    met.sort()
+    word, places = (met // len(doc)).astype("int32"), (met % len(doc)).astype("int32")
+    del met
     counts = np.bincount(word, minlength=len(words)).astype("int32")
     # stop words are no keywords
     stop = pc.is_in(words, value_set=pa.array(V.KEYWORD_STOP)).to_numpy(zero_copy_only=False)
@@ -308,6 +335,7 @@ class _Cell:
 
 def _cells(k: int, scale: float, first: int):
     def run(batches):
+        _lean()
         blocks = {}
         for batch in batches:
             for i in range(batch.num_rows):
