@@ -78,3 +78,11 @@ def test_words_are_keywords(spark, monkeypatch):
             for _ in range(n):
                 got.setdefault(docs[next(places)], []).append(word)
         assert {d: sorted(w) for d, w in got.items()} == {x["doc_id"]: sorted(x["words"]) for x in rows if x["words"]}
+
+
+def test_matched_words(spark):
+    files = [(1, "SOUL.md", 1, "Gamma alpha with beta"), (1, "README.md", 2, None), (1, "README.md", 3, "")]
+    prompts = [(1, 1, "beta delta ALPHA, beta"), (2, 1, None), (3, 1, "nothing"), (4, 2, "alpha")]
+    found = checks.context_relevance(spark.createDataFrame(prompts, "prompt_id long, project_id long, content string"), spark.createDataFrame(files, "project_id long, name string, position long, content string"))
+    got = {(x["prompt_id"], x["place"]): (x["name"], x["matched"]) for x in found.collect()}
+    assert got == {(p, k): (name, "beta,alpha" if (p, k) == (1, 1) else "") for p in (1, 2, 3) for k, name in ((1, "SOUL.md"), (2, "README.md"), (3, "README.md"))}
